@@ -430,8 +430,8 @@ FROM {source}"""
 
 def _series(source: str, pairs: dict[str, tuple[str, str]]) -> str:
     return " UNION ALL ".join(
-        f"SELECT hour, '{metric}' AS metric, round(CAST({now} AS DOUBLE), 6) AS \"current\","
-        f" round(CAST({base} AS DOUBLE), 6) AS baseline FROM {source}"
+        f"SELECT hour, '{metric}' AS metric, round(CAST({now} AS DOUBLE), 8) AS \"current\","
+        f" round(CAST({base} AS DOUBLE), 8) AS baseline FROM {source}"
         for metric, (now, base) in pairs.items()
     )
 
@@ -456,7 +456,7 @@ def _settled(source: str, *doubles: str) -> str:
     """All columns, floating-point ones rounded like the Spark side rounds them."""
     if not doubles:
         return f"SELECT * FROM {source}"
-    rounded = ", ".join(f"round({d}, 6) AS {d}" for d in doubles)
+    rounded = ", ".join(f"round({d}, 8) AS {d}" for d in doubles)
     return f"SELECT * REPLACE ({rounded}) FROM {source}"
 
 
@@ -493,7 +493,7 @@ ORACLE: dict[str, str] = {
     "bank_yesterday": _daily(_settled("q9", "gtv", "trans_percentage")),
     "bank_yesterday_by_state": _daily(_settled("q10", "gtv", "trans_percentage")),
     "bank_state_90d_trend": _daily(
-        "SELECT date, final_state, round(gtv, 6) AS gtv, round(success_rate, 6) AS trans_percentage"
+        "SELECT date, final_state, round(gtv, 8) AS gtv, round(success_rate, 8) AS trans_percentage"
         " FROM q11"
     ),
     # facts and building blocks
@@ -544,7 +544,7 @@ GROUP BY day, answer_day, final_state"""),
     ),
     "state_metrics_from_fact": _daily(_settled("q5", *_Q5_DOUBLES)),
     "state_metrics_per_day": _daily(f"""
-SELECT * REPLACE ({", ".join(f"round({d}, 6) AS {d}" for d in _Q5_DOUBLES)}) FROM (
+SELECT * REPLACE ({", ".join(f"round({d}, 8) AS {d}" for d in _Q5_DOUBLES)}) FROM (
   SELECT q5.* EXCLUDE (same_weekday_median_gtv, same_weekday_median_success_rate,
                        same_day_month_median_gtv, same_day_month_median_success_rate),
          w.m_gtv AS same_weekday_median_gtv, w.m_rate AS same_weekday_median_success_rate,
@@ -580,14 +580,14 @@ SELECT 'bio', hour, fa2_succ_flag, fa2_rate_yesterday FROM q4"""),
     # overview reports
     "health_score": _hourly(
         """
-SELECT round(txn, 6) AS txn_score, round(bio, 6) AS bio_score,
-       round(txn * 0.7 + bio * 0.3, 6) AS overall_score FROM scores""",
+SELECT round(txn, 8) AS txn_score, round(bio, 8) AS bio_score,
+       round(txn * 0.7 + bio * 0.3, 8) AS overall_score FROM scores""",
         _SCORES,
     ),
     "health_bands": _hourly(_bands("scores", (95, 85)), _SCORES),
     "health_bands_basic": _hourly(_bands("basic_scores", (90, 80)), _SCORES),
     "gtv_pace": _hourly("""
-SELECT round(g, 6) AS total_gtv, round(a, 6) AS avg_gtv_per_hour, round(m, 6) AS median_gtv,
+SELECT round(g, 8) AS total_gtv, round(a, 8) AS avg_gtv_per_hour, round(m, 8) AS median_gtv,
        CASE WHEN g > m * 24 THEN 'up' WHEN g < m * 20 THEN 'down' ELSE 'flat' END AS pace
 FROM (SELECT coalesce(sum(total_amount_cr), 0) AS g, avg(total_amount_cr) AS a,
              avg(median_amount_cr) AS m FROM q1)"""),
@@ -597,16 +597,16 @@ SELECT t AS txn_anomalies, b AS bio_anomalies, t + b AS total_anomalies,
 FROM (SELECT (SELECT count(*) FROM q1 WHERE success_rate_anomaly <> 'normal') AS t,
              (SELECT count(*) FROM q2 WHERE fa2_succ_flag <> 'Normal') AS b)"""),
     "aggregator_means": _hourly("""
-SELECT round(y, 6) AS avg_ybl_rate, round(n, 6) AS avg_nsdl_rate, round(yn, 6) AS avg_ybln_rate,
-       round(by_, 6) AS avg_ybl_bio_rate, round(bn, 6) AS avg_nsdl_bio_rate
+SELECT round(y, 8) AS avg_ybl_rate, round(n, 8) AS avg_nsdl_rate, round(yn, 8) AS avg_ybln_rate,
+       round(by_, 8) AS avg_ybl_bio_rate, round(bn, 8) AS avg_nsdl_bio_rate
 FROM (SELECT avg(ybl_success_rate) AS y, avg(nsdl_success_rate) AS n,
              avg(ybln_success_rate) AS yn FROM q3),
      (SELECT avg(ybl_rate_yesterday) AS by_, avg(nsdl_rate_yesterday) AS bn FROM q4)"""),
     "txn_totals": _hourly("""
 SELECT CAST(coalesce(sum(total_txns), 0) AS BIGINT) AS total_transactions,
        CAST(coalesce(sum(success_txns), 0) AS BIGINT) AS success_transactions,
-       round(coalesce(sum(total_amount_cr), 0), 6) AS total_gtv,
-       round(avg(total_amount_cr), 6) AS avg_gtv_per_hour, max(hour) AS last_hour FROM q3"""),
+       round(coalesce(sum(total_amount_cr), 0), 8) AS total_gtv,
+       round(avg(total_amount_cr), 8) AS avg_gtv_per_hour, max(hour) AS last_hour FROM q3"""),
     "bio_totals": _hourly("""
 SELECT CAST(coalesce(sum(total_attempts), 0) AS BIGINT) AS total_bio_attempts,
        CAST(coalesce(sum(successful_attempts), 0) AS BIGINT) AS successful_bio_attempts FROM q4"""),
@@ -624,14 +624,14 @@ SELECT hour, fa2_succ_flag, fa2_rate_yesterday FROM q4 WHERE fa2_succ_flag LIKE
     "bio_anomalies_basic": _hourly("""
 SELECT hour, fa2_succ_flag, fa2_rate_yesterday FROM q2 WHERE fa2_succ_flag <> 'Normal'"""),
     "gtv_anomaly_k": _hourly("""
-SELECT hour, round(total_amount_cr, 6) AS total_amount_cr,
+SELECT hour, round(total_amount_cr, 8) AS total_amount_cr,
        CASE WHEN total_amount_cr < avg_amount_cr - stddev_amount_cr THEN 'low' ELSE 'high' END
          AS amount_cr_anomaly
 FROM q3
 WHERE total_amount_cr < avg_amount_cr - stddev_amount_cr
    OR total_amount_cr > avg_amount_cr + stddev_amount_cr"""),
     "volume_status": _hourly("""
-SELECT h AS last_hour, c AS current_volume, round(a, 6) AS avg_volume,
+SELECT h AS last_hour, c AS current_volume, round(a, 8) AS avg_volume,
        CASE WHEN c > a * 1.2 THEN 'High' WHEN c < a * 0.8 THEN 'Low' ELSE 'Normal' END
          AS volume_status
 FROM (SELECT max(hour) AS h, arg_max(total_txns, hour) AS c, avg(total_txns) AS a FROM q3)"""),
@@ -640,12 +640,12 @@ FROM (SELECT max(hour) AS h, arg_max(total_txns, hour) AS c, avg(total_txns) AS
     ),
     "failed_summary": _hourly("""
 SELECT s AS total_success, f AS total_failed,
-       round(coalesce(s / nullif(s + f, 0) * 100, 0), 6) AS success_pct,
-       round(100 - coalesce(s / nullif(s + f, 0) * 100, 0), 6) AS failed_pct
+       round(coalesce(s / nullif(s + f, 0) * 100, 0), 8) AS success_pct,
+       round(100 - coalesce(s / nullif(s + f, 0) * 100, 0), 8) AS failed_pct
 FROM (SELECT CAST(coalesce(sum(success_txns), 0) AS BIGINT) AS s,
              CAST(coalesce(sum(total_txns - success_txns), 0) AS BIGINT) AS f FROM q3)"""),
     "success_range": _hourly("""
-SELECT round(avg(overall_success_rate), 6) AS avg_success_rate,
+SELECT round(avg(overall_success_rate), 8) AS avg_success_rate,
        min(overall_success_rate) AS min_success_rate,
        max(overall_success_rate) AS max_success_rate FROM q3"""),
     "txn_detail": _hourly("""
@@ -685,22 +685,22 @@ WHERE final_state IN (SELECT final_state FROM q6 GROUP BY final_state
     ),
     "available_states": _daily("SELECT DISTINCT final_state FROM q6"),
     "state_detail_30d": _daily("""
-SELECT date, final_state, round(gtv, 6) AS gtv, transactions,
-       round(success_rate, 6) AS success_rate,
-       round(coalesce((SELECT median_90d_gtv FROM q5 WHERE final_state = 'NATION_10'), 0), 6)
+SELECT date, final_state, round(gtv, 8) AS gtv, transactions,
+       round(success_rate, 8) AS success_rate,
+       round(coalesce((SELECT median_90d_gtv FROM q5 WHERE final_state = 'NATION_10'), 0), 8)
          AS median_90d_gtv
 FROM q7 WHERE final_state = 'NATION_10'"""),
     "state_summary": _daily("""
 SELECT count(*) AS total_states, count(*) FILTER (WHERE yesterday_gtv > 0) AS active_states,
-       round(coalesce(sum(yesterday_gtv), 0), 6) AS total_gtv,
-       round(avg(yesterday_success_rate), 6) AS avg_success FROM q5"""),
+       round(coalesce(sum(yesterday_gtv), 0), 8) AS total_gtv,
+       round(avg(yesterday_success_rate), 8) AS avg_success FROM q5"""),
     "top_states": _daily("""
-SELECT final_state, round(yesterday_gtv, 6) AS yesterday_gtv FROM q5
+SELECT final_state, round(yesterday_gtv, 8) AS yesterday_gtv FROM q5
 ORDER BY q5.yesterday_gtv DESC NULLS LAST, final_state LIMIT 10"""),
     "state_share_others": _daily(_settled("folded", "yesterday_gtv")),
     "state_variation": _daily("""
-SELECT final_state, round(yesterday_gtv, 6) AS yesterday_gtv,
-       round(median_90d_gtv, 6) AS median_90d_gtv, variation,
+SELECT final_state, round(yesterday_gtv, 8) AS yesterday_gtv,
+       round(median_90d_gtv, 8) AS median_90d_gtv, variation,
        CASE WHEN variation > 10 THEN 'above' ELSE 'below' END AS side
 FROM variation WHERE variation > 10 OR variation < -10"""),
     "above_median": _daily("""
@@ -747,6 +747,6 @@ SELECT cust_bank_name, transaction_count, round_even(gtv, 2) AS gtv,
         + " WHERE final_state = (SELECT final_state FROM default_state)"
     ),
     "state_90d_series": _daily("""
-SELECT date, final_state, round(gtv, 6) AS gtv, round(success_rate, 6) AS trans_percentage
+SELECT date, final_state, round(gtv, 8) AS gtv, round(success_rate, 8) AS trans_percentage
 FROM q11 WHERE final_state = (SELECT final_state FROM default_state)"""),
 }

@@ -26,7 +26,7 @@ NINETY_DAYS = days_before(DAILY_AS_OF, 90)
 DETAIL_STATE = "NATION_10"
 
 
-def settled(df: DataFrame, digits: int = 6) -> DataFrame:
+def settled(df: DataFrame, digits: int = 8) -> DataFrame:
     """Round floating-point columns, whose last bits depend on the engine."""
     return df.select(
         [

@@ -57,9 +57,38 @@ def median_of(column: str, exact: bool = True, accuracy: int = 10_000) -> Column
     return F.percentile_approx(column, 0.5, accuracy)
 
 
-def spread_of(value: Column, kind: str = "samp") -> Column:
-    """Standard deviation of the sample (NULL for one value) or of the population (0)."""
-    return {"samp": F.stddev_samp, "pop": F.stddev_pop}[kind](value)
+def _sorted_values(column: str) -> Column:
+    return F.array_sort(F.collect_list(F.col(column).cast("double")))
+
+
+def _total_of(values: Column, term) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda total, x: total + term(x))
+
+
+def mean_of(column: str, ordered: bool = True) -> Column:
+    """Mean of a named column, NULLs ignored.
+
+    The ordered form adds a group's values in sorted order, so that the last bit,
+    and a flag that hangs on it, does not depend on the order in which rows arrive.
+    It is meant for groups with a bounded number of values, such as days.
+    """
+    if not ordered:
+        return F.avg(column)
+    values = _sorted_values(column)
+    return F.try_divide(_total_of(values, lambda x: x), F.size(values))
+
+
+def spread_of(column: str, kind: str = "samp", ordered: bool = True) -> Column:
+    """Standard deviation of the sample (NULL for one value) or of the population (0).
+
+    ``ordered`` as for ``mean_of``.
+    """
+    if not ordered:
+        return {"samp": F.stddev_samp, "pop": F.stddev_pop}[kind](column)
+    values, mean = _sorted_values(column), mean_of(column)
+    squares = _total_of(values, lambda x: (x - mean) * (x - mean))
+    degrees = F.size(values) - {"samp": 1, "pop": 0}[kind]
+    return F.when(degrees > 0, F.sqrt(F.try_divide(squares, degrees)))
 
 
 def clamp(value: Column, low: float, high: float) -> Column:

@@ -8,7 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from railpulse.functions.measures import median_of, spread_of
+from railpulse.functions.measures import mean_of, median_of, spread_of
 
 
 class Stat(NamedTuple):
@@ -21,7 +21,7 @@ class Stat(NamedTuple):
 
 def _statistic(column: str, stat: Stat) -> Column:
     if stat.how == "mean":
-        value = F.avg(column)
+        value = mean_of(column)
     elif stat.how == "sum":
         value = F.sum(column)
     elif stat.how == "median":
@@ -29,7 +29,7 @@ def _statistic(column: str, stat: Stat) -> Column:
     elif stat.how == "approx_median":
         value = median_of(column, exact=False)
     else:
-        value = spread_of(F.col(column), stat.how)
+        value = spread_of(column, stat.how)
     return value if stat.digits is None else F.round(value, stat.digits)
 
 
