@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import fields
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,12 +11,12 @@ from pyspark.sql import types as T
 from checks.sample_tables import BANK_RANGE, DAILY_AS_OF, HOURLY_AS_OF, sample_tables
 from railpulse.functions.timeparts import DayRange, days_before
 from railpulse.operators.cdc import cdc_pair, latest_by
-from railpulse.operators.durable import checkpoint_dir
+from railpulse.operators.durable import checkpoint_dir, keep
 from railpulse.plans import banks, daily, hourly, overview, states
 from railpulse.plans.catalog import dataset, query_days
 from railpulse.session import configure
 from railpulse.sources.export import export_hourly, export_states
-from railpulse.sources.tables import PaymentTables, scan_days
+from railpulse.sources.tables import SCHEMAS, PaymentTables, scan_days
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -45,31 +44,40 @@ def _on_tables(build: Callable[[PaymentTables], DataFrame]) -> Query:
 
 
 def _q1(t: PaymentTables) -> DataFrame:
-    return hourly.txn_hourly_median(t, HOURLY_AS_OF)
+    return hourly.txn_hourly_median(t, HOURLY_AS_OF, ordered=False)
 
 
 def _q2(t: PaymentTables) -> DataFrame:
-    return hourly.bio_hourly_8d(t, HOURLY_AS_OF)
+    return hourly.bio_hourly_8d(t, HOURLY_AS_OF, ordered=False)
 
 
 def _q3(t: PaymentTables) -> DataFrame:
-    return hourly.txn_hourly_health(t, HOURLY_AS_OF)
+    return hourly.txn_hourly_health(t, HOURLY_AS_OF, ordered=False)
 
 
 def _q4(t: PaymentTables) -> DataFrame:
-    return hourly.bio_hourly_health(t, HOURLY_AS_OF)
+    return hourly.bio_hourly_health(t, HOURLY_AS_OF, ordered=False)
 
 
 def _states(t: PaymentTables) -> DataFrame:
-    return daily.state_metrics(t, DAILY_AS_OF)
+    return daily.state_metrics(t, DAILY_AS_OF, ordered=False)
 
 
 def _trend(depth: int) -> Callable[[PaymentTables], DataFrame]:
-    return lambda t: daily.state_trend(t, DAILY_AS_OF, depth)
+    return lambda t: daily.state_trend(t, DAILY_AS_OF, depth, ordered=False)
 
 
 def _by_state(t: PaymentTables) -> DataFrame:
-    return daily.bank_yesterday_by_state(t, DAILY_AS_OF)
+    return daily.bank_yesterday_by_state(t, DAILY_AS_OF, ordered=False)
+
+
+def _state_detail(t: PaymentTables) -> DataFrame:
+    fact = keep(daily.daily_state_fact(t, NINETY_DAYS))
+    return states.state_detail(
+        daily.state_trend_from_fact(fact, DAILY_AS_OF, 30, ordered=False),
+        daily.state_metrics_from_fact(fact, DAILY_AS_OF, ordered=False),
+        DETAIL_STATE,
+    )
 
 
 def _hourly_log(t: PaymentTables) -> DataFrame:
@@ -101,19 +109,20 @@ def _bound_dates(t: PaymentTables) -> DataFrame:
         WHERE to_date(log_date_time) BETWEEN :start_date AND :end_date
         GROUP BY cust_bank_name
     """
-    return query_days(t, text, {"start_date": BANK_RANGE[0], "end_date": BANK_RANGE[1]})
+    days = {"start_date": BANK_RANGE[0], "end_date": BANK_RANGE[1]}
+    return query_days(t, text, days, "daily_requests")
 
 
 def _table_counts(t: PaymentTables) -> DataFrame:
     """Rows and distinct keys of every source table."""
     parts = []
-    for f in fields(t):
-        df = getattr(t, f.name)
-        key = "retailer_id" if f.name == "client_locations" else "request_id"
+    for name in SCHEMAS:
+        df = getattr(t, name)
+        key = "retailer_id" if name == "client_locations" else "request_id"
         per_key = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
         parts.append(
             per_key.agg(F.sum("n").alias("row_count"), F.count(key).alias("distinct_keys"))
-            .select(F.lit(f.name).alias("table_name"), "row_count", "distinct_keys")
+            .select(F.lit(name).alias("table_name"), "row_count", "distinct_keys")
         )
     out = parts[0]
     for part in parts[1:]:
@@ -157,16 +166,16 @@ def _csv_states(t: PaymentTables) -> DataFrame:
 
 _ON_TABLES: dict[str, Callable[[PaymentTables], DataFrame]] = {
     # named datasets
-    "txn_hourly_median": _q1,
-    "bio_hourly_8d": _q2,
-    "txn_hourly_health": _q3,
-    "bio_hourly_health": _q4,
-    "state_metrics": _states,
-    "state_10d_trend": _trend(10),
-    "state_30d_trend": _trend(30),
+    "txn_hourly_median": lambda t: dataset("txn_hourly_median", t, HOURLY_AS_OF),
+    "bio_hourly_8d": lambda t: dataset("bio_hourly_8d", t, HOURLY_AS_OF),
+    "txn_hourly_health": lambda t: dataset("txn_hourly_health", t, HOURLY_AS_OF),
+    "bio_hourly_health": lambda t: dataset("bio_hourly_health", t, HOURLY_AS_OF),
+    "state_metrics": lambda t: dataset("state_metrics", t, DAILY_AS_OF),
+    "state_10d_trend": lambda t: dataset("state_10d_trend", t, DAILY_AS_OF),
+    "state_30d_trend": lambda t: dataset("state_30d_trend", t, DAILY_AS_OF),
     "bank_health": lambda t: dataset("bank_health", t, start=BANK_RANGE[0], end=BANK_RANGE[1]),
     "bank_yesterday": lambda t: dataset("bank_yesterday", t, DAILY_AS_OF),
-    "bank_yesterday_by_state": _by_state,
+    "bank_yesterday_by_state": lambda t: dataset("bank_yesterday_by_state", t, DAILY_AS_OF),
     "bank_state_90d_trend": lambda t: dataset("bank_state_90d_trend", t, DAILY_AS_OF),
     # facts and building blocks
     "table_counts": _table_counts,
@@ -219,10 +228,10 @@ _ON_TABLES: dict[str, Callable[[PaymentTables], DataFrame]] = {
     "top_decliners": lambda t: states.top_decliners(_states(t)),
     "top10_state_trend": lambda t: states.top_state_trend(_trend(10)(t)),
     "available_states": lambda t: states.available_states(_trend(10)(t)),
-    "state_detail_30d": lambda t: states.state_detail(_trend(30)(t), _states(t), DETAIL_STATE),
+    "state_detail_30d": _state_detail,
     "state_summary": lambda t: states.state_summary(_states(t)),
     "top_states": lambda t: states.top_states(_states(t)),
-    "state_share_others": lambda t: states.state_share_others(_states(t)),
+    "state_share_others": lambda t: states.state_share_others(keep(_states(t))),
     "state_variation": lambda t: states.state_variation(_states(t)),
     "above_median": lambda t: states.above_median(_states(t)),
     "below_median": lambda t: states.below_median(_states(t)),
@@ -235,9 +244,9 @@ _ON_TABLES: dict[str, Callable[[PaymentTables], DataFrame]] = {
     "state_table": lambda t: states.state_table(_states(t)),
     # bank reports
     "bank_table": lambda t: banks.bank_table(daily.bank_yesterday(t, DAILY_AS_OF)),
-    "default_state_banks": lambda t: banks.state_banks(_by_state(t)),
+    "default_state_banks": lambda t: banks.state_banks(keep(_by_state(t))),
     "state_90d_series": lambda t: banks.state_90d_series(
-        daily.bank_state_90d_trend(t, DAILY_AS_OF), _by_state(t)
+        daily.bank_state_90d_trend(t, DAILY_AS_OF, ordered=False), _by_state(t)
     ),
 }
 

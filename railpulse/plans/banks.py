@@ -15,7 +15,10 @@ def default_state(by_state: DataFrame) -> Column:
 
 
 def state_banks(by_state: DataFrame, state: str | Column | None = None) -> DataFrame:
-    """Bank rows of one state, the one with the largest value unless named."""
+    """Bank rows of one state, the one with the largest value unless named.
+
+    Without a name ``by_state`` is read twice: ``keep`` it first.
+    """
     chosen = default_state(by_state) if state is None else state
     return by_state.where(F.col("final_state") == chosen).orderBy(F.desc("gtv"), "cust_bank_name")
 

@@ -57,7 +57,9 @@ def dataset(
     return DATASETS[key](tables, as_of)
 
 
-def query_days(tables: PaymentTables, text: str, days: Mapping[str, date]) -> DataFrame:
-    """Run SQL over the tables with ``:name`` markers bound to dates."""
-    tables.as_views()
+def query_days(
+    tables: PaymentTables, text: str, days: Mapping[str, date], *names: str
+) -> DataFrame:
+    """Run SQL over the named tables (all by default) with ``:name`` markers bound to dates."""
+    tables.as_views(*names)
     return tables.spark.sql(text, args=dict(days))

@@ -1,4 +1,8 @@
-"""Daily value, volume and success by state and bank."""
+"""Daily value, volume and success by state and bank.
+
+The datasets are sorted for reading; ``ordered=False`` leaves the sort, and its
+shuffle, out for reports that go on from them.
+"""
 
 from __future__ import annotations
 
@@ -153,7 +157,9 @@ def _success_rate(part: str = "successes", whole: str = "txns") -> Column:
     return rate(F.col(part), F.col(whole))
 
 
-def state_metrics_of(days: DataFrame, as_of: date, per_day: bool = False) -> DataFrame:
+def state_metrics_of(
+    days: DataFrame, as_of: date, per_day: bool = False, ordered: bool = True
+) -> DataFrame:
     """State metrics from ``state_days`` rows of the 90-day window and of yesterday."""
     yesterday = days_before(as_of, 1).last
     amount = in_crore(F.col("success_amount"))
@@ -196,7 +202,7 @@ def state_metrics_of(days: DataFrame, as_of: date, per_day: bool = False) -> Dat
                 f"{name}_median_success_rate",
                 _success_rate(f"_{name}_successes", f"_{name}_txns"),
             )
-    return out.select(
+    out = out.select(
         "final_state", "yesterday_gtv", "yesterday_transactions", "yesterday_success_rate",
         "median_90d_gtv", "median_90d_success_rate", "stddev_90d_gtv", "stddev_90d_success_rate",
         "same_weekday_median_gtv", "same_weekday_median_success_rate",
@@ -205,40 +211,52 @@ def state_metrics_of(days: DataFrame, as_of: date, per_day: bool = False) -> Dat
         safe_ratio(F.col("yesterday_success_rate"), F.col("median_90d_success_rate")).alias(
             "success_vs_median_ratio"
         ),
-    ).orderBy(F.desc("yesterday_gtv"), "final_state")
+    )
+    return out.orderBy(F.desc("yesterday_gtv"), "final_state") if ordered else out
 
 
-def state_metrics(tables: PaymentTables, as_of: date, per_day: bool = False) -> DataFrame:
+def state_metrics(
+    tables: PaymentTables, as_of: date, per_day: bool = False, ordered: bool = True
+) -> DataFrame:
     """Yesterday per state against the 89 days before it.
 
     ``same_weekday_*`` and ``same_day_month_*`` are totals over all such days of the
     window, which is what their established definition amounts to; ``per_day=True``
     gives medians of the single days instead.
     """
-    return state_metrics_of(state_days(tables, _metrics_windows(as_of)), as_of, per_day)
+    days = state_days(tables, _metrics_windows(as_of))
+    return state_metrics_of(days, as_of, per_day, ordered)
 
 
-def state_metrics_from_fact(fact: DataFrame, as_of: date, per_day: bool = False) -> DataFrame:
-    return state_metrics_of(windows_of_fact(fact, _metrics_windows(as_of)), as_of, per_day)
+def state_metrics_from_fact(
+    fact: DataFrame, as_of: date, per_day: bool = False, ordered: bool = True
+) -> DataFrame:
+    days = windows_of_fact(fact, _metrics_windows(as_of))
+    return state_metrics_of(days, as_of, per_day, ordered)
 
 
-def state_trend_of(days: DataFrame) -> DataFrame:
-    return days.select(
+def state_trend_of(days: DataFrame, ordered: bool = True) -> DataFrame:
+    out = days.select(
         F.col("day").alias("date"),
         "final_state",
         in_crore(F.col("success_amount")).alias("gtv"),
         F.col("txns").alias("transactions"),
         _success_rate().alias("success_rate"),
-    ).orderBy(F.desc("date"), F.desc("gtv"))
+    )
+    return out.orderBy(F.desc("date"), F.desc("gtv"), "final_state") if ordered else out
 
 
-def state_trend(tables: PaymentTables, as_of: date, depth: int) -> DataFrame:
+def state_trend(
+    tables: PaymentTables, as_of: date, depth: int, ordered: bool = True
+) -> DataFrame:
     """Value, volume and success rate per state and day, the last ``depth`` days."""
-    return state_trend_of(state_days(tables, [days_before(as_of, depth)]))
+    return state_trend_of(state_days(tables, [days_before(as_of, depth)]), ordered)
 
 
-def state_trend_from_fact(fact: DataFrame, as_of: date, depth: int) -> DataFrame:
-    return state_trend_of(windows_of_fact(fact, [days_before(as_of, depth)]))
+def state_trend_from_fact(
+    fact: DataFrame, as_of: date, depth: int, ordered: bool = True
+) -> DataFrame:
+    return state_trend_of(windows_of_fact(fact, [days_before(as_of, depth)]), ordered)
 
 
 def state_10d_trend(tables: PaymentTables, as_of: date) -> DataFrame:
@@ -249,13 +267,20 @@ def state_30d_trend(tables: PaymentTables, as_of: date) -> DataFrame:
     return state_trend(tables, as_of, 30)
 
 
-def bank_state_90d_trend(tables: PaymentTables, as_of: date) -> DataFrame:
-    """Value and success rate per state and day, 90 days."""
-    return state_trend(tables, as_of, 90).select(
+def as_percentage(trend: DataFrame) -> DataFrame:
+    """A trend under the names of the bank page, without the volume."""
+    return trend.select(
         "date", "final_state", "gtv", F.col("success_rate").alias("trans_percentage")
     )
 
 
+def bank_state_90d_trend(
+    tables: PaymentTables, as_of: date, ordered: bool = True
+) -> DataFrame:
+    """Value and success rate per state and day, 90 days."""
+    return as_percentage(state_trend(tables, as_of, 90, ordered))
+
+
 def daily_bank_fact(tables: PaymentTables, days: DayRange) -> DataFrame:
     """(day, final_state, bank) totals of requests made and answered inside ``days``."""
     pairs = daily_pairs(tables, [days], by_bank=True)
@@ -314,19 +339,18 @@ def bank_yesterday(tables: PaymentTables, as_of: date, n: int = 25) -> DataFrame
     return top_rows(banks, n, F.desc("gtv"), "cust_bank_name")
 
 
-def bank_yesterday_by_state(tables: PaymentTables, as_of: date) -> DataFrame:
+def bank_yesterday_by_state(
+    tables: PaymentTables, as_of: date, ordered: bool = True
+) -> DataFrame:
     """Banks of every state yesterday."""
     pairs = at_location(daily_pairs(tables, [days_before(as_of, 1)], by_bank=True), tables)
-    return (
-        total(pairs, ["final_state", "cust_bank_name"])
-        .select(
-            "final_state",
-            "cust_bank_name",
-            F.col("txns").alias("transaction_count"),
-            F.col("successes").alias("success_count"),
-            F.col("txns").alias("total_count"),
-            in_crore(F.col("success_amount")).alias("gtv"),
-            _success_rate().alias("trans_percentage"),
-        )
-        .orderBy(F.desc("gtv"), "final_state", "cust_bank_name")
+    out = total(pairs, ["final_state", "cust_bank_name"]).select(
+        "final_state",
+        "cust_bank_name",
+        F.col("txns").alias("transaction_count"),
+        F.col("successes").alias("success_count"),
+        F.col("txns").alias("total_count"),
+        in_crore(F.col("success_amount")).alias("gtv"),
+        _success_rate().alias("trans_percentage"),
     )
+    return out.orderBy(F.desc("gtv"), "final_state", "cust_bank_name") if ordered else out

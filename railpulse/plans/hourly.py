@@ -1,4 +1,8 @@
-"""Hour-of-day health of transactions and of biometric authentication."""
+"""Hour-of-day health of transactions and of biometric authentication.
+
+The datasets are sorted for reading; ``ordered=False`` leaves the sort, and its
+shuffle, out for reports that go on from them.
+"""
 
 from __future__ import annotations
 
@@ -148,7 +152,7 @@ def bio_cells(tables: PaymentTables, days: DayRange) -> DataFrame:
     return _day_and_label(by_client.groupBy("hour_ts").agg(*[total(c) for c in columns]))
 
 
-def txn_hourly_median(tables: PaymentTables, as_of: date) -> DataFrame:
+def txn_hourly_median(tables: PaymentTables, as_of: date, ordered: bool = True) -> DataFrame:
     """Today's hours against 7-day medians; rate flag at median ± 1 σ of the population.
 
     Center and spread are rounded before they are compared. Hours seen only in the
@@ -179,7 +183,7 @@ def txn_hourly_median(tables: PaymentTables, as_of: date) -> DataFrame:
     out = against_history(
         cells, "hour", within(day, single_day(as_of)), within(day, past), today, history
     )
-    return out.select(
+    out = out.select(
         "date",
         "hour",
         *[c for c in today if c != "date"],
@@ -194,10 +198,13 @@ def txn_hourly_median(tables: PaymentTables, as_of: date) -> DataFrame:
             low="lower anomaly ↓",
             high="upper anomaly ↑",
         ).alias("success_rate_anomaly"),
-    ).orderBy("hour")
+    )
+    return out.orderBy("hour") if ordered else out
 
 
-def txn_hourly_health(tables: PaymentTables, as_of: date, k: float = 2.0) -> DataFrame:
+def txn_hourly_health(
+    tables: PaymentTables, as_of: date, k: float = 2.0, ordered: bool = True
+) -> DataFrame:
     """Hours seen today against 7-day means; rate and value flags at mean ± k σ.
 
     Rates are rounded, and 0 where there is nothing to count, before they are averaged.
@@ -235,16 +242,17 @@ def txn_hourly_health(tables: PaymentTables, as_of: date, k: float = 2.0) -> Dat
     def flag(value: str, what: str) -> Column:
         return band_flag(F.col(value), F.col(f"avg_{what}"), F.col(f"stddev_{what}"), k)
 
-    return out.select(
+    out = out.select(
         "*",
         flag("overall_success_rate", "success_rate").alias("success_rate_anomaly"),
         flag("total_amount_cr", "amount_cr").alias("amount_cr_anomaly"),
-    ).orderBy("hour")
+    )
+    return out.orderBy("hour") if ordered else out
 
 
 def _bio_hourly(
     tables: PaymentTables, as_of: date, depth: int, normal: str, missing: str | None,
-    with_counts: bool,
+    with_counts: bool, ordered: bool,
 ) -> DataFrame:
     past = days_before(as_of, depth)
     cells = bio_cells(tables, DayRange(past.first, as_of))
@@ -296,14 +304,15 @@ def _bio_hourly(
         columns += [shown[name], f"median_{name}"]
     if with_counts:
         columns += ["total_attempts", "successful_attempts"]
-    return out.select(*columns, flag.alias("fa2_succ_flag")).orderBy("hour")
+    out = out.select(*columns, flag.alias("fa2_succ_flag"))
+    return out.orderBy("hour") if ordered else out
 
 
-def bio_hourly_8d(tables: PaymentTables, as_of: date) -> DataFrame:
+def bio_hourly_8d(tables: PaymentTables, as_of: date, ordered: bool = True) -> DataFrame:
     """Authentication hours against 8-day medians; hours without answers are ``No Data``."""
-    return _bio_hourly(tables, as_of, 8, "Normal", "No Data", with_counts=False)
+    return _bio_hourly(tables, as_of, 8, "Normal", "No Data", False, ordered)
 
 
-def bio_hourly_health(tables: PaymentTables, as_of: date) -> DataFrame:
+def bio_hourly_health(tables: PaymentTables, as_of: date, ordered: bool = True) -> DataFrame:
     """Authentication hours with counts against 7-day medians, flagged at ± 1 σ."""
-    return _bio_hourly(tables, as_of, 7, "normal", None, with_counts=True)
+    return _bio_hourly(tables, as_of, 7, "normal", None, True, ordered)

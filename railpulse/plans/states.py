@@ -108,7 +108,10 @@ def top_states(states: DataFrame, n: int = 10) -> DataFrame:
 
 
 def state_share_others(states: DataFrame, min_share: float = 2.0) -> DataFrame:
-    """Each state's share of yesterday's value, small states folded into one row."""
+    """Each state's share of yesterday's value, small states folded into one row.
+
+    ``states`` is read twice, for the total and for the shares: ``keep`` it first.
+    """
     return fold_small(states, "final_state", "yesterday_gtv", min_share)
 
 
@@ -204,14 +207,14 @@ def state_reports(tables: PaymentTables, as_of: date) -> dict[str, DataFrame]:
     and so are the state metrics, because many reports start from them.
     """
     fact = keep(daily.daily_state_fact(tables, days_before(as_of, 90)))
-    states = keep(daily.state_metrics_from_fact(fact, as_of))
-    trend = daily.state_trend_from_fact(fact, as_of, 10)
+    states = keep(daily.state_metrics_from_fact(fact, as_of, ordered=False))
+    trend = daily.state_trend_from_fact(fact, as_of, 10, ordered=False)
     return {
-        "state_metrics": states,
-        "state_10d_trend": trend,
+        "state_metrics": states.orderBy(F.desc("yesterday_gtv"), "final_state"),
+        "state_10d_trend": daily.state_trend_from_fact(fact, as_of, 10),
         "state_30d_trend": daily.state_trend_from_fact(fact, as_of, 30),
-        "bank_state_90d_trend": daily.state_trend_from_fact(fact, as_of, 90).select(
-            "date", "final_state", "gtv", F.col("success_rate").alias("trans_percentage")
+        "bank_state_90d_trend": daily.as_percentage(
+            daily.state_trend_from_fact(fact, as_of, 90)
         ),
         "top_gainers": top_gainers(states),
         "top_decliners": top_decliners(states),

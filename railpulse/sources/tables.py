@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-from dataclasses import dataclass, fields
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,24 +54,32 @@ _CLOCK = {
 }
 
 
-@dataclass(frozen=True)
 class PaymentTables:
-    txn_requests: DataFrame
-    txn_responses: DataFrame
-    txn_devices: DataFrame
-    bio_log: DataFrame
-    daily_requests: DataFrame
-    daily_responses: DataFrame
-    client_locations: DataFrame
+    """The seven tables as attributes, each read when it is first asked for.
 
-    @property
-    def spark(self) -> SparkSession:
-        return self.txn_requests.sparkSession
+    A plan lists the files only of the tables it uses.
+    """
+
+    def __init__(self, spark: SparkSession, read: Callable[[str], DataFrame]):
+        self.spark = spark
+        self._read = read
+
+    @classmethod
+    def of(cls, spark: SparkSession, **frames: DataFrame) -> PaymentTables:
+        """Tables from frames at hand."""
+        return cls(spark, lambda name: conform(frames[name], name))
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name not in SCHEMAS:
+            raise AttributeError(name)
+        df = self._read(name)
+        setattr(self, name, df)
+        return df
 
-    def as_views(self) -> None:
-        """Register every table as a temp view of the same name for ``spark.sql``."""
-        for f in fields(self):
-            getattr(self, f.name).createOrReplaceTempView(f.name)
+    def as_views(self, *names: str) -> None:
+        """Register tables (all by default) as temp views for ``spark.sql``."""
+        for name in names or SCHEMAS:
+            getattr(self, name).createOrReplaceTempView(name)
 
 
 def conform(df: DataFrame, table: str, rename: Mapping[str, str] | None = None) -> DataFrame:
@@ -111,10 +118,8 @@ def load_tables(
     """Read ``<root>/<table>`` Parquet data sets. Nothing is inferred beyond the footer."""
     rename = rename or {}
     return PaymentTables(
-        **{
-            name: conform(spark.read.parquet(f"{root}/{name}"), name, rename.get(name))
-            for name in SCHEMAS
-        }
+        spark,
+        lambda name: conform(spark.read.parquet(f"{root}/{name}"), name, rename.get(name)),
     )
 
 
