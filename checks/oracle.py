@@ -412,6 +412,17 @@ basic_scores AS (
 )"""
 
 
+_ANSWERED = """
+answered AS (
+  SELECT q.request_id, date_trunc('hour', q.op_time) AS h, lower(q.aggregator) AS agg, q.trans_amt,
+         arg_max(lower(u.message) = 'success', u.op_time) AS ok
+  FROM txn_requests q JOIN txn_responses u ON u.request_id = q.request_id
+  WHERE q.master_trans_type = 'CW' AND u.op_name = 'UPDATE'
+    AND u.op_time BETWEEN q.op_time AND q.op_time + INTERVAL 10 MINUTE
+  GROUP BY ALL
+)"""
+
+
 def _light(value: str, green: int, yellow: int) -> str:
     return (
         f"CASE WHEN {value} >= {green} THEN 'green' WHEN {value} >= {yellow} THEN 'yellow'"
@@ -749,4 +760,33 @@ SELECT cust_bank_name, transaction_count, round_even(gtv, 2) AS gtv,
     "state_90d_series": _daily("""
 SELECT date, final_state, round(gtv, 8) AS gtv, round(success_rate, 8) AS trans_percentage
 FROM q11 WHERE final_state = (SELECT final_state FROM default_state)"""),
+    # closed hours of the streams, which wait 10 minutes for late rows
+    "stream_hourly_metrics": _sql(
+        (_TABLES, _ANSWERED),
+        "SELECT strftime(h, '%Y-%m-%d %H:%M') AS hour_start, "
+        + ", ".join(
+            f"count(*) FILTER (WHERE {mine}) AS {name}_txns,"
+            f" count(*) FILTER (WHERE {mine} AND ok) AS {name}_success,"
+            f" round(coalesce(sum(trans_amt) FILTER (WHERE {mine} AND ok), 0) / 1e7, 8)"
+            f" AS {name}_gtv"
+            for name, mine in (
+                ("total", "true"), ("ybl", "agg = 'ybl'"), ("nsdl", "agg = 'nsdl'"),
+                ("ybln", "agg = 'ybln'"),
+            )
+        )
+        + """
+FROM answered
+WHERE h + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE
+GROUP BY h""",
+    ),
+    "stream_latest_update": _sql(
+        (_TABLES,),
+        """
+SELECT strftime(date_trunc('hour', op_time), '%Y-%m-%d %H:%M') AS hour_start, request_id,
+       arg_max(message, op_time) AS message
+FROM txn_responses
+WHERE op_name = 'UPDATE' AND date_trunc('hour', op_time) + INTERVAL 1 HOUR
+      <= (SELECT max(op_time) FROM txn_responses WHERE op_name = 'UPDATE') - INTERVAL 10 MINUTE
+GROUP BY date_trunc('hour', op_time), request_id""",
+    ),
 }

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from checks.sample_tables import BANK_RANGE, DAILY_AS_OF, HOURLY_AS_OF, sample_tables
+from checks.sample_tables import (
+    BANK_RANGE, DAILY_AS_OF, EVENTS, HOURLY_AS_OF, LOGS, sample_tables,
+)
 from railpulse.functions.timeparts import DayRange, days_before
 from railpulse.operators.cdc import cdc_pair, latest_by
 from railpulse.operators.durable import checkpoint_dir, keep
@@ -16,6 +19,7 @@ from railpulse.plans import banks, daily, hourly, overview, states
 from railpulse.plans.catalog import dataset, query_days
 from railpulse.session import configure
 from railpulse.sources.export import export_hourly, export_states
+from railpulse.streaming import hourly as live
 from railpulse.sources.tables import SCHEMAS, PaymentTables, scan_days
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -250,4 +254,37 @@ _ON_TABLES: dict[str, Callable[[PaymentTables], DataFrame]] = {
     ),
 }
 
+
+def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reader = spark.readStream.schema(EVENTS).option("pathGlobFilter", "events.parquet")
+    return reader.parquet(sf_dir)
+
+
+def _streamed(build: Callable[[Callable[[], DataFrame]], DataFrame]) -> Query:
+    """Run a streaming query over all events to its end and read what it wrote."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        configure(spark)
+        run = f"{checkpoint_dir(spark)}/streams/{uuid4().hex}"
+        stream = build(lambda: _event_stream(spark, sf_dir))
+        live.start(stream, f"{run}/rows", f"{run}/progress", every=None).awaitTermination()
+        hours = spark.read.schema(stream.schema).parquet(f"{run}/rows")
+        return settled(
+            hours.withColumn("hour_start", F.date_format("hour_start", "yyyy-MM-dd HH:mm"))
+        )
+
+    return query
+
+
+_STREAMED: dict[str, Callable[[Callable[[], DataFrame]], DataFrame]] = {
+    "stream_hourly_metrics": lambda ev: live.hourly_metrics(
+        LOGS["txn_requests"](ev()), LOGS["txn_responses"](ev())
+    ),
+    "stream_latest_update": lambda ev: live.latest_update(LOGS["txn_responses"](ev())).drop(
+        "last_time"
+    ),
+    "stream_active_users": lambda ev: live.active_users(LOGS["bio_log"](ev())),
+}
+
 QUERIES: dict[str, Query] = {name: _on_tables(build) for name, build in _ON_TABLES.items()}
+QUERIES |= {name: _streamed(build) for name, build in _STREAMED.items()}
