@@ -40,6 +40,10 @@ def settled(df: DataFrame, digits: int = 8) -> DataFrame:
     )
 
 
+def _new_folder(spark: SparkSession, kind: str) -> str:
+    return f"{checkpoint_dir(spark)}/{kind}/{uuid4().hex}"
+
+
 def _on_tables(build: Callable[[PaymentTables], DataFrame]) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         return settled(build(sample_tables(configure(spark), sf_dir)))
@@ -137,8 +141,8 @@ def _table_counts(t: PaymentTables) -> DataFrame:
 def _csv_hourly(t: PaymentTables) -> DataFrame:
     """Both hourly exports, written and read back."""
     spark = t.spark
-    txn, bio = _q3(t), _q4(t)
-    paths = export_hourly(txn, bio, f"{checkpoint_dir(spark)}/exports", HOURLY_AS_OF)
+    txn, bio = keep(_q3(t)), keep(_q4(t))
+    paths = export_hourly(txn, bio, _new_folder(spark, "exports"), HOURLY_AS_OF)
     txn_back, bio_back = (
         spark.read.schema(df.schema).option("header", True).csv(path)
         for df, path in zip((txn, bio), paths)
@@ -157,9 +161,9 @@ def _csv_hourly(t: PaymentTables) -> DataFrame:
 def _csv_states(t: PaymentTables) -> DataFrame:
     """The filtered and the full state export, written and read back."""
     spark = t.spark
-    full = _states(t)
+    full = keep(_states(t))
     filtered = states.filter_states(full, min_gtv=1.0, only_active=True)
-    paths = export_states(filtered, full, f"{checkpoint_dir(spark)}/exports", DAILY_AS_OF)
+    paths = export_states(filtered, full, _new_folder(spark, "exports"), DAILY_AS_OF)
     few, every = (
         spark.read.schema(full.schema).option("header", True).csv(path) for path in paths
     )
@@ -265,7 +269,7 @@ def _streamed(build: Callable[[Callable[[], DataFrame]], DataFrame]) -> Query:
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         configure(spark)
-        run = f"{checkpoint_dir(spark)}/streams/{uuid4().hex}"
+        run = _new_folder(spark, "streams")
         stream = build(lambda: _event_stream(spark, sf_dir))
         live.start(stream, f"{run}/rows", f"{run}/progress", every=None).awaitTermination()
         hours = spark.read.schema(stream.schema).parquet(f"{run}/rows")

@@ -61,10 +61,6 @@ def _sorted_values(column: str) -> Column:
     return F.array_sort(F.collect_list(F.col(column).cast("double")))
 
 
-def _total_of(values: Column, term) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda total, x: total + term(x))
-
-
 def mean_of(column: str, ordered: bool = True) -> Column:
     """Mean of a named column, NULLs ignored.
 
@@ -75,7 +71,8 @@ def mean_of(column: str, ordered: bool = True) -> Column:
     if not ordered:
         return F.avg(column)
     values = _sorted_values(column)
-    return F.try_divide(_total_of(values, lambda x: x), F.size(values))
+    total = F.aggregate(values, F.lit(0.0), lambda total, x: total + x)
+    return F.try_divide(total, F.size(values))
 
 
 def spread_of(column: str, kind: str = "samp", ordered: bool = True) -> Column:
@@ -85,8 +82,17 @@ def spread_of(column: str, kind: str = "samp", ordered: bool = True) -> Column:
     """
     if not ordered:
         return {"samp": F.stddev_samp, "pop": F.stddev_pop}[kind](column)
-    values, mean = _sorted_values(column), mean_of(column)
-    squares = _total_of(values, lambda x: (x - mean) * (x - mean))
+    values = _sorted_values(column)
+    # The mean rides along in the accumulator and is computed once per group.
+    begin = F.struct(mean_of(column).alias("mean"), F.lit(0.0).alias("squares"))
+
+    def add(state: Column, x: Column) -> Column:
+        off = x - state["mean"]
+        return F.struct(
+            state["mean"].alias("mean"), (state["squares"] + off * off).alias("squares")
+        )
+
+    squares = F.aggregate(values, begin, add, lambda state: state["squares"])
     degrees = F.size(values) - {"samp": 1, "pop": 0}[kind]
     return F.when(degrees > 0, F.sqrt(F.try_divide(squares, degrees)))
 

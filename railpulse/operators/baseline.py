@@ -49,16 +49,19 @@ def against_history(
     join). Both halves come out of one aggregation: ``cells`` is computed once and
     joined with nothing.
     """
+    # Statistics of the same Column share its values.
+    earlier = {id(s.of): s.of for s in history.values()}
+    column_of = {ref: f"_h{i}" for i, ref in enumerate(earlier)}
     masked = cells.select(
         key,
         is_today.alias("_today"),
         *[F.when(is_today, c).alias(f"_t{i}") for i, c in enumerate(today.values())],
-        *[F.when(is_history, s.of).alias(f"_h{i}") for i, s in enumerate(history.values())],
+        *[F.when(is_history, c).alias(column_of[ref]) for ref, c in earlier.items()],
     )
     out = masked.groupBy(key).agg(
         F.max("_today").alias("_has_today"),
         *[F.max(f"_t{i}").alias(name) for i, name in enumerate(today)],
-        *[_statistic(f"_h{i}", s).alias(name) for i, (name, s) in enumerate(history.items())],
+        *[_statistic(column_of[id(s.of)], s).alias(name) for name, s in history.items()],
     )
     if only_today:
         out = out.where("_has_today")

@@ -162,12 +162,12 @@ def state_metrics_of(
 ) -> DataFrame:
     """State metrics from ``state_days`` rows of the 90-day window and of yesterday."""
     yesterday = days_before(as_of, 1).last
-    amount = in_crore(F.col("success_amount"))
+    amount, success = in_crore(F.col("success_amount")), _success_rate()
     history = {
         "median_90d_gtv": Stat(amount, "median"),
-        "median_90d_success_rate": Stat(_success_rate(), "median"),
+        "median_90d_success_rate": Stat(success, "median"),
         "stddev_90d_gtv": Stat(amount, "samp"),
-        "stddev_90d_success_rate": Stat(_success_rate(), "samp"),
+        "stddev_90d_success_rate": Stat(success, "samp"),
     }
     alike = {
         "same_weekday": F.dayofweek("day") == F.dayofweek(F.lit(yesterday)),
@@ -176,7 +176,7 @@ def state_metrics_of(
     for name, same in alike.items():
         if per_day:
             history[f"{name}_median_gtv"] = Stat(F.when(same, amount), "median")
-            history[f"{name}_median_success_rate"] = Stat(F.when(same, _success_rate()), "median")
+            history[f"{name}_median_success_rate"] = Stat(F.when(same, success), "median")
         else:
             # One group per weekday (or day of month): its total, not a median of days.
             for measure in ("txns", "successes", "success_amount"):
@@ -189,7 +189,7 @@ def state_metrics_of(
         {
             "yesterday_gtv": amount,
             "yesterday_transactions": F.col("txns"),
-            "yesterday_success_rate": _success_rate(),
+            "yesterday_success_rate": success,
         },
         history,
         only_today=True,

@@ -27,6 +27,11 @@ BIO_SUCCESS_CODE = "00"
 CASH_WITHDRAWAL = "CW"
 
 
+def _by_hour(df: DataFrame) -> DataFrame:
+    """Sort one row per hour: 24 at most, so one task does it without a shuffle."""
+    return df.coalesce(1).sortWithinPartitions("hour")
+
+
 def _day_and_label(cells: DataFrame) -> DataFrame:
     return cells.withColumn("date", F.to_date("hour_ts")).withColumn(
         "hour", hour_label("hour_ts")
@@ -171,14 +176,16 @@ def txn_hourly_median(tables: PaymentTables, as_of: date, ordered: bool = True)
         "success_txns": F.col("success_txns"),
         **{n: rate(F.col(s), F.col(t), digits=2) for n, (s, t) in rates.items()},
     }
+    exact = {n: rate(F.col(part), F.col(whole)) for n, (part, whole) in rates.items()}
     history = {
         "median_amount_cr": Stat(amount, "median", 2),
         "median_success_txns": Stat(F.col("success_txns").cast("double"), "median", 0),
-        "stddev_success_rate": Stat(rate(F.col("success_txns"), F.col("total_txns")), "pop", 2),
+        "stddev_success_rate": Stat(exact["overall_success_rate"], "pop", 2),
+        **{
+            f"median_{name.removeprefix('overall_')}": Stat(value, "median", 2)
+            for name, value in exact.items()
+        },
     }
-    for name, (part, whole) in rates.items():
-        short = name.removeprefix("overall_")
-        history[f"median_{short}"] = Stat(rate(F.col(part), F.col(whole)), "median", 2)
     day = F.col("date")
     out = against_history(
         cells, "hour", within(day, single_day(as_of)), within(day, past), today, history
@@ -199,7 +206,7 @@ def txn_hourly_median(tables: PaymentTables, as_of: date, ordered: bool = True)
             high="upper anomaly ↑",
         ).alias("success_rate_anomaly"),
     )
-    return out.orderBy("hour") if ordered else out
+    return _by_hour(out) if ordered else out
 
 
 def txn_hourly_health(
@@ -247,7 +254,7 @@ def txn_hourly_health(
         flag("overall_success_rate", "success_rate").alias("success_rate_anomaly"),
         flag("total_amount_cr", "amount_cr").alias("amount_cr_anomaly"),
     )
-    return out.orderBy("hour") if ordered else out
+    return _by_hour(out) if ordered else out
 
 
 def _bio_hourly(
@@ -273,6 +280,7 @@ def _bio_hourly(
         part, whole, scale = rates[name]
         return rate(F.col(part), F.col(whole), scale, digits)
 
+    exact = {name: of(name) for name in rates}
     day = F.col("date")
     out = against_history(
         cells,
@@ -286,8 +294,8 @@ def _bio_hourly(
             **{shown[name]: of(name, 2) for name in rates},
         },
         {
-            **{f"median_{name}": Stat(of(name), "median", 2) for name in rates},
-            "stddev_succ_rate": Stat(of("fa2_succ_rate"), "samp"),
+            **{f"median_{name}": Stat(value, "median", 2) for name, value in exact.items()},
+            "stddev_succ_rate": Stat(exact["fa2_succ_rate"], "samp"),
         },
     )
     flag = band_flag(
@@ -305,7 +313,7 @@ def _bio_hourly(
     if with_counts:
         columns += ["total_attempts", "successful_attempts"]
     out = out.select(*columns, flag.alias("fa2_succ_flag"))
-    return out.orderBy("hour") if ordered else out
+    return _by_hour(out) if ordered else out
 
 
 def bio_hourly_8d(tables: PaymentTables, as_of: date, ordered: bool = True) -> DataFrame:

@@ -135,16 +135,19 @@ def scan_days(df: DataFrame, clock: str, days: DayRange) -> DataFrame:
     return kept
 
 
-def write_partitioned(df: DataFrame, table: str, path: str, mode: str = "append") -> None:
+def write_partitioned(
+    df: DataFrame, table: str, path: str, files_per_day: int = 1, mode: str = "append"
+) -> None:
     """Write one of the log tables as Parquet, partitioned by its day.
 
-    Rows are first spread by (day, request), so that a day larger than the others
-    is written by many tasks.
+    A day becomes ``files_per_day`` files of about equal size, whatever ids it holds:
+    rows are spread by a hash of request and time, which a retried task repeats.
     """
     clock = _CLOCK[table]
+    part = F.pmod(F.xxhash64("request_id", clock), F.lit(files_per_day))
     (
         df.withColumn(DAY_COLUMN, F.to_date(clock))
-        .repartition(DAY_COLUMN, "request_id")
+        .repartition(DAY_COLUMN, part)
         .write.mode(mode)
         .partitionBy(DAY_COLUMN)
         .parquet(path)
@@ -155,11 +158,17 @@ def save_bucketed(
     df: DataFrame, table: str, name: str, buckets: int, path: str | None = None,
     mode: str = "overwrite",
 ) -> None:
-    """Save a log table as a catalog table partitioned by day and bucketed by request.
+    """Save a log table as a catalog table bucketed by request within days.
 
     With all log tables bucketed alike, grouping and joining by ``request_id``
-    needs no shuffle.
+    needs no shuffle. A bucket is read by one task, so a request id with more rows
+    than two average buckets is refused; ``write_partitioned`` takes such logs.
     """
+    rows, heaviest = (
+        df.groupBy("request_id").count().agg(F.sum("count"), F.max("count")).first()
+    )
+    if rows and heaviest > max(2 * rows / buckets, 1000):
+        raise ValueError(f"{table}: one request_id has {heaviest} of {rows} rows")
     writer = (
         df.withColumn(DAY_COLUMN, F.to_date(_CLOCK[table]))
         .repartition(buckets, "request_id")

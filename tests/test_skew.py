@@ -4,6 +4,7 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
+from railpulse.functions.timeparts import days_before
 from railpulse.operators.cdc import count_copies
 from railpulse.plans import daily, hourly
 from railpulse.sources.tables import PaymentTables
@@ -69,6 +70,43 @@ def test_daily_counts_with_a_hot_request_client_and_bank(spark):
     assert daily.bank_yesterday(tables, after).first().transaction_count == pairs
 
 
+def test_a_hot_client_is_split_where_the_locations_are_not_broadcast(spark):
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "128KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.shuffle.partitions": "16",
+    }
+    before = {key: spark.conf.get(key, None) for key in settings}
+    many = 5 * N
+    row = spark.range(many, numPartitions=8)
+    client = F.when(row.id % 3 == 0, F.lit(0)).otherwise(F.col("id"))
+    rows = row.select(
+        F.col("id").alias("request_id"), client.alias("client_id"),
+        F.expr("timestamp'2024-01-30 10:00:00'").alias("log_date_time"),
+        F.col("id").alias("trans_amt"), F.lit("A").alias("cust_bank_name"),
+        F.lit("SUCCESS").alias("message"),
+    )
+    tables = PaymentTables.of(
+        spark, daily_requests=rows, daily_responses=rows,
+        client_locations=spark.range(many).select(
+            F.col("id").alias("retailer_id"), F.concat(F.lit("X"), F.col("id") % 30).alias("final_state")
+        ),
+    )
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        states = daily.state_days(tables, [days_before(date(2024, 1, 31), 1)])
+        assert sum(row.txns for row in states.collect()) == many - 1  # request 0 has no amount
+        assert "SortMergeJoin(skew=true)" in states._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 def test_hot_rows_are_combined_before_the_shuffle(spark):
     """Every map task sends at most one row for the hot request."""
     requests = frames(spark).txn_requests

@@ -7,7 +7,9 @@ from railpulse.functions.timeparts import DayRange
 from railpulse.operators.durable import checkpoint_dir, keep
 from railpulse.plans.catalog import query_days
 from railpulse.sources.export import export_csv, export_hourly, export_states
-from railpulse.sources.tables import SCHEMAS, conform, load_tables, scan_days, write_partitioned
+from railpulse.sources.tables import (
+    SCHEMAS, conform, load_tables, save_bucketed, scan_days, write_partitioned,
+)
 
 DAYS = DayRange(date(2024, 1, 29), date(2024, 1, 30))
 
@@ -47,6 +49,24 @@ def test_partitioned_tables_round_trip_and_prune(spark, logs, tmp_path):
     assert "PushedFilters: [IsNotNull(op_time), GreaterThanOrEqual(op_time" in plan
 
 
+def test_days_are_written_as_the_given_number_of_files(spark, logs, tmp_path):
+    for i in range(60):
+        logs.txn(i % 2, f"2024-01-{29 + i % 2} 10:{i // 2:02}:00")
+    write_partitioned(logs.frame("txn_requests"), "txn_requests", f"{tmp_path}/t", files_per_day=2)
+    for day in (29, 30):
+        assert len(list((tmp_path / "t" / f"log_day=2024-01-{day}").glob("*.parquet"))) <= 2
+    assert spark.read.parquet(f"{tmp_path}/t").count() == 60
+
+
+def test_bucketing_refuses_a_hot_request(spark):
+    df = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("request_id"),
+        F.expr("timestamp'2024-01-30 10:00:00'").alias("op_time"),
+    )
+    with pytest.raises(ValueError, match="2000 of 6000"):
+        save_bucketed(df.unionAll(df).where("op_time > '2000-01-01'"), "txn_devices", "no", 8)
+
+
 def test_unknown_table(logs):
     with pytest.raises(AttributeError):
         logs.tables().nonsense
