@@ -521,6 +521,19 @@ ORACLE: dict[str, str] = {
             )
         ),
     ),
+    "date_scan": _sql(
+        (_TABLES,),
+        """
+SELECT request_id, client_id, trans_amt, aggregator FROM txn_requests
+WHERE CAST(op_time AS DATE) BETWEEN DATE '2024-01-23' AND DATE '2024-01-30'""",
+    ),
+    "approx_medians": _daily(f"""
+SELECT final_state, quantile_disc(amount, 0.5) AS median_amount,
+       quantile_disc(txns, 0.5) AS median_txns
+FROM (SELECT final_state, day, count(CASE WHEN trans_amt > 0 THEN request_id END) AS txns,
+             CAST(sum(CASE WHEN ok AND trans_amt > 0 THEN trans_amt END) AS BIGINT) AS amount
+      FROM state_rows WHERE {_in("2024-01-23", "2024-04-21")} GROUP BY final_state, day)
+GROUP BY final_state"""),
     "txn_cells": _hourly("SELECT * FROM txn_cells"),
     "bio_cells": _hourly(
         "SELECT * REPLACE (CAST(attempts AS BIGINT) AS attempts) FROM q4_cells"

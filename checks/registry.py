@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from checks.sample_tables import (
     BANK_RANGE, DAILY_AS_OF, EVENTS, HOURLY_AS_OF, LOGS, sample_tables,
 )
+from railpulse.functions.measures import median_of
 from railpulse.functions.timeparts import DayRange, days_before
 from railpulse.operators.cdc import cdc_pair, latest_by
 from railpulse.operators.durable import checkpoint_dir, keep
@@ -187,6 +188,13 @@ _ON_TABLES: dict[str, Callable[[PaymentTables], DataFrame]] = {
     "bank_state_90d_trend": lambda t: dataset("bank_state_90d_trend", t, DAILY_AS_OF),
     # facts and building blocks
     "table_counts": _table_counts,
+    "date_scan": lambda t: scan_days(t.txn_requests, "op_time", HOURLY_DAYS).select(
+        "request_id", "client_id", "trans_amt", "aggregator"
+    ),
+    "approx_medians": lambda t: daily.state_days(t, [NINETY_DAYS]).groupBy("final_state").agg(
+        median_of("success_amount", exact=False).alias("median_amount"),
+        median_of("txns", exact=False).alias("median_txns"),
+    ),
     "txn_cells": lambda t: hourly.txn_cells(t, HOURLY_DAYS).drop("hour_ts"),
     "bio_cells": lambda t: hourly.bio_cells(t, HOURLY_DAYS).drop("hour_ts"),
     "latest_update": _latest_update,

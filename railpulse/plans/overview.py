@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import date
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +15,9 @@ from railpulse.functions.flags import band_flag, grade, is_flagged, mentions
 from railpulse.functions.measures import clamp, rate, sum_or_zero
 from railpulse.functions.timeparts import hour_number
 from railpulse.operators.columns import round_numbers, select_available, to_long
+from railpulse.operators.durable import keep
+from railpulse.plans import hourly
+from railpulse.sources.tables import PaymentTables
 
 # Weights of the overall score and traffic-light limits (green, yellow).
 TXN_WEIGHT, BIO_WEIGHT = 0.7, 0.3
@@ -292,8 +296,15 @@ BIO_PAIRS = {
 }
 
 
+def health_reports(tables: PaymentTables, as_of: date, k: float = 2.0) -> dict[str, DataFrame]:
+    """All reports of the health page, the two frames under them computed once."""
+    txn = keep(hourly.txn_hourly_health(tables, as_of))
+    bio = keep(hourly.bio_hourly_health(tables, as_of))
+    return overview_reports(txn, bio, k)
+
+
 def overview_reports(txn: DataFrame, bio: DataFrame, k: float = 2.0) -> dict[str, DataFrame]:
-    """All reports of the health page over two frames, which callers should ``keep`` first."""
+    """The reports of the health page over two frames at hand."""
     return {
         "health_score": health_score(txn, bio),
         "health_bands": health_bands(txn, bio),

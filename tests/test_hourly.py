@@ -1,6 +1,6 @@
 from datetime import date
 
-from railpulse.plans import hourly
+from railpulse.plans import hourly, overview
 from tests.conftest import by
 
 TODAY = date(2024, 1, 30)
@@ -117,3 +117,10 @@ def test_hour_belongs_to_the_answer(logs):
     logs.bio(1, "2024-01-30 05:59:00")
     logs.rows["bio_log"][1]["op_time"] = logs.rows["bio_log"][1]["op_time"].replace(hour=6)
     assert set(q4(logs)) == {"06:00"}
+
+
+def test_all_health_reports(logs):
+    logs.txn(1, "2024-01-30 05:10:00").bio(1, "2024-01-30 05:10:00")
+    reports = overview.health_reports(logs.tables(), TODAY)
+    assert reports["health_score"].first().overall_score == 100.0
+    assert reports["txn_totals"].first().total_transactions == 1
