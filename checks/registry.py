@@ -279,7 +279,11 @@ def _streamed(build: Callable[[Callable[[], DataFrame]], DataFrame]) -> Query:
         configure(spark)
         run = _new_folder(spark, "streams")
         stream = build(lambda: _event_stream(spark, sf_dir))
-        live.start(stream, f"{run}/rows", f"{run}/progress", every=None).awaitTermination()
+        on_one_machine = spark.sparkContext.master.startswith("local")
+        live.start(
+            stream, f"{run}/rows", f"{run}/progress", every=None,
+            partitions=2 if on_one_machine else None,
+        ).awaitTermination()
         hours = spark.read.schema(stream.schema).parquet(f"{run}/rows")
         return settled(
             hours.withColumn("hour_start", F.date_format("hour_start", "yyyy-MM-dd HH:mm"))

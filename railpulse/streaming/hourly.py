@@ -121,11 +121,23 @@ def start(
     path: str,
     checkpoint: str,
     every: str | None = REFRESH,
+    partitions: int | None = None,
 ) -> StreamingQuery:
-    """Write closed hours to Parquet every ``every``; with None take what is there and stop."""
+    """Write closed hours to Parquet every ``every``; with None take what is there and stop.
+
+    ``partitions`` is the number of state partitions, by default the session's number
+    of shuffle partitions. It stays as it was when the checkpoint was begun.
+    """
     writer = stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
     if every is None:
         writer = writer.trigger(availableNow=True)
     else:
         writer = writer.trigger(processingTime=every)
-    return writer.format("parquet").start(path)
+    conf, key = stream.sparkSession.conf, "spark.sql.shuffle.partitions"
+    before = conf.get(key)
+    if partitions is not None:
+        conf.set(key, str(partitions))
+    try:
+        return writer.format("parquet").start(path)
+    finally:
+        conf.set(key, before)

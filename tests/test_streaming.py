@@ -10,7 +10,9 @@ def write(logs, folder, *tables):
 
 
 def run(stream, folder):
-    live.start(stream, f"{folder}/out", f"{folder}/progress", every=None).awaitTermination(120)
+    live.start(
+        stream, f"{folder}/out", f"{folder}/progress", every=None, partitions=2
+    ).awaitTermination(120)
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
@@ -32,6 +34,9 @@ def test_stream_equals_batch_for_closed_hours(spark, logs, tmp_path):
     )
     batch = live.hourly_metrics(logs.frame("txn_requests"), logs.frame("txn_responses"))
     streamed, expected = hours(run(stream, tmp_path)), hours(batch)
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "4"
+    assert {p.name for p in (tmp_path / "progress" / "state" / "0").iterdir()} >= {"0", "1"}
+    assert not (tmp_path / "progress" / "state" / "0" / "2").exists()
     assert set(expected) == {"08:00", "09:00", "10:00", "13:00"}
     assert streamed == {h: r for h, r in expected.items() if h != "13:00"}
     assert streamed["08:00"]["total_txns"] == 20 and streamed["08:00"]["nsdl_success"] == 7
