@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from checks.sample_tables import (
     BANK_RANGE, DAILY_AS_OF, EVENTS, HOURLY_AS_OF, LOGS, sample_tables,
 )
-from railpulse.functions.measures import median_of
+from railpulse.functions.measures import as_count, median_of
 from railpulse.functions.timeparts import DayRange, days_before
 from railpulse.operators.cdc import cdc_pair, latest_by
 from railpulse.operators.durable import checkpoint_dir, keep
@@ -89,6 +89,17 @@ def _state_detail(t: PaymentTables) -> DataFrame:
     )
 
 
+def _whole(df: DataFrame) -> DataFrame:
+    """Measures of a fact, which are whole numbers kept as doubles, as integers."""
+    return df.select(
+        [
+            as_count(F.col(f.name)).alias(f.name) if isinstance(f.dataType, T.DoubleType)
+            else F.col(f.name)
+            for f in df.schema.fields
+        ]
+    )
+
+
 def _hourly_log(t: PaymentTables) -> DataFrame:
     return scan_days(t.txn_responses, "op_time", HOURLY_DAYS)
 
@@ -191,17 +202,17 @@ _ON_TABLES: dict[str, Callable[[PaymentTables], DataFrame]] = {
     "date_scan": lambda t: scan_days(t.txn_requests, "op_time", HOURLY_DAYS).select(
         "request_id", "client_id", "trans_amt", "aggregator"
     ),
-    "approx_medians": lambda t: daily.state_days(t, [NINETY_DAYS]).groupBy("final_state").agg(
+    "approx_medians": lambda t: _whole(daily.state_days(t, [NINETY_DAYS])).groupBy("final_state").agg(
         median_of("success_amount", exact=False).alias("median_amount"),
         median_of("txns", exact=False).alias("median_txns"),
     ),
-    "txn_cells": lambda t: hourly.txn_cells(t, HOURLY_DAYS).drop("hour_ts"),
-    "bio_cells": lambda t: hourly.bio_cells(t, HOURLY_DAYS).drop("hour_ts"),
+    "txn_cells": lambda t: _whole(hourly.txn_cells(t, HOURLY_DAYS).drop("hour_ts")),
+    "bio_cells": lambda t: _whole(hourly.bio_cells(t, HOURLY_DAYS).drop("hour_ts")),
     "latest_update": _latest_update,
     "cdc_pairs": _cdc_pairs,
     "cdc_all_pairs": _cdc_all_pairs,
-    "daily_state_fact": lambda t: daily.daily_state_fact(t, NINETY_DAYS),
-    "daily_bank_fact": lambda t: daily.daily_bank_fact(t, DayRange(*BANK_RANGE)),
+    "daily_state_fact": lambda t: _whole(daily.daily_state_fact(t, NINETY_DAYS)),
+    "daily_bank_fact": lambda t: _whole(daily.daily_bank_fact(t, DayRange(*BANK_RANGE))),
     "state_metrics_from_fact": lambda t: daily.state_metrics_from_fact(
         daily.daily_state_fact(t, NINETY_DAYS), DAILY_AS_OF
     ),

@@ -140,8 +140,10 @@ LOGS = {
 
 
 def client_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    customer = spark.read.schema("c_custkey bigint, c_nationkey int").parquet(
+        f"{sf_dir}/customer.parquet"
+    )
+    nation = spark.read.schema("n_nationkey int, n_name string").parquet(f"{sf_dir}/nation.parquet")
     return customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
         F.col("c_custkey").alias("retailer_id"),
         F.when(F.col("c_nationkey") != 24, F.col("n_name")).alias("final_state"),

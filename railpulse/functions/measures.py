@@ -10,7 +10,7 @@ CRORE = 10_000_000.0
 
 
 def in_crore(amount: Column) -> Column:
-    """Amounts stay whole numbers until here, so that sums do not depend on order."""
+    """Amounts are whole numbers until here, so that sums do not depend on order."""
     return amount / F.lit(CRORE)
 
 
@@ -37,6 +37,23 @@ def rate(
     return value
 
 
+def times(*factors: Column) -> Column:
+    """Product of counts and amounts as a double.
+
+    Whole numbers are exact up to 2^53, in any order of adding; the copies of one id
+    in several logs may multiply to more than 64 bits, which must not end the job.
+    """
+    product = factors[0].cast("double")
+    for factor in factors[1:]:
+        product = product * factor.cast("double")
+    return product
+
+
+def as_count(value: Column) -> Column:
+    """A count for reading: a 64-bit number, NULL where it does not fit."""
+    return value.try_cast("bigint")
+
+
 def sum_where(condition: Column, value: Column) -> Column:
     """NULL where no row of the group qualifies."""
     return F.sum(F.when(condition, value))

@@ -53,7 +53,7 @@ def cdc_pair(
     The column maps go from output name to log column and say which side a value
     is taken from. With ``latest_update`` (a time column) only the latest UPDATE of a
     request takes part, otherwise all do. The result has one row per distinct
-    combination and ``copies``, the number of pairs it stands for.
+    combination and ``copies``, the number of pairs it stands for (NULL beyond 64 bits).
     """
     inserts = log.where(F.col(op_column) == INSERT)
     updates = log.where(F.col(op_column) == UPDATE)
@@ -70,7 +70,7 @@ def cdc_pair(
         key,
         *insert_columns,
         *update_columns,
-        (F.col("_inserts") * F.col("_updates")).alias("copies"),
+        F.try_multiply("_inserts", "_updates").alias("copies"),
     )
 
 

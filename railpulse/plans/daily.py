@@ -12,7 +12,9 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from railpulse.functions.measures import in_crore, rate, safe_ratio, sum_where
+from railpulse.functions.measures import (
+    as_count, in_crore, rate, safe_ratio, sum_where, times,
+)
 from railpulse.functions.timeparts import DayRange, days_before, within
 from railpulse.operators.baseline import Stat, against_history
 from railpulse.operators.cdc import count_copies
@@ -50,13 +52,14 @@ def _response_side(scan: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def _paired(requests: DataFrame, responses: DataFrame, on: Sequence[str]) -> DataFrame:
     """Counts and amount of all request × response pairs, from counts of each side."""
-    successes = F.col("paid") * F.col("good_answers")
+    successes = times(F.col("paid"), F.col("good_answers"))
     return (
         responses.join(requests, list(on))
-        .withColumn("txns", F.col("paid") * F.col("answers"))
+        .withColumn("txns", times(F.col("paid"), F.col("answers")))
         .withColumn("successes", successes)
         .withColumn(
-            "success_amount", F.when(successes > 0, F.col("amount") * F.col("good_answers"))
+            "success_amount",
+            F.when(successes > 0, times(F.col("amount"), F.col("good_answers"))),
         )
         .drop("paid", "answers", "good_answers", "amount", "request_id")
     )
@@ -110,7 +113,7 @@ def at_location(pairs: DataFrame, tables: PaymentTables) -> DataFrame:
     return joined.select(
         *[c for c in pairs.columns if c not in (*measures, "client_id")],
         "final_state",
-        *[(F.col(m) * F.col("places")).alias(m) for m in measures],
+        *[times(F.col(m), F.col("places")).alias(m) for m in measures],
     )
 
 
@@ -188,7 +191,7 @@ def state_metrics_of(
         F.col("window") == 0,
         {
             "yesterday_gtv": amount,
-            "yesterday_transactions": F.col("txns"),
+            "yesterday_transactions": as_count(F.col("txns")),
             "yesterday_success_rate": success,
         },
         history,
@@ -240,7 +243,7 @@ def state_trend_of(days: DataFrame, ordered: bool = True) -> DataFrame:
         F.col("day").alias("date"),
         "final_state",
         in_crore(F.col("success_amount")).alias("gtv"),
-        F.col("txns").alias("transactions"),
+        as_count(F.col("txns")).alias("transactions"),
         _success_rate().alias("success_rate"),
     )
     return out.orderBy(F.desc("date"), F.desc("gtv"), "final_state") if ordered else out
@@ -298,7 +301,7 @@ def bank_health(tables: PaymentTables, start: date, end: date, top: int = 5) ->
         .groupBy("final_state", "cust_bank_name")
         .agg(
             F.sum("success_amount").alias("amount"),
-            F.sum("txns").alias("bank_total_transactions"),
+            F.sum("txns").alias("bank_txns"),
             F.sum("successes").alias("bank_successes"),
             F.collect_list(F.struct("day", "txns", "successes", "success_amount")).alias("days"),
         )
@@ -312,14 +315,12 @@ def bank_health(tables: PaymentTables, start: date, end: date, top: int = 5) ->
             "final_state",
             F.col("d.day").alias("date"),
             "cust_bank_name",
-            F.col("d.txns").alias("transaction_count"),
+            as_count(F.col("d.txns")).alias("transaction_count"),
             in_crore(F.col("d.success_amount")).alias("gtv"),
             rate(F.col("d.successes"), F.col("d.txns")).alias("trans_percentage"),
             in_crore(F.col("amount")).alias("bank_total_gtv"),
-            "bank_total_transactions",
-            rate(F.col("bank_successes"), F.col("bank_total_transactions")).alias(
-                "bank_success_rate"
-            ),
+            as_count(F.col("bank_txns")).alias("bank_total_transactions"),
+            rate(F.col("bank_successes"), F.col("bank_txns")).alias("bank_success_rate"),
             "active_days",
         )
         .orderBy(F.desc("date"), "final_state", F.desc("gtv"))
@@ -332,7 +333,7 @@ def bank_yesterday(tables: PaymentTables, as_of: date, n: int = 25) -> DataFrame
     pairs = daily_pairs(tables, [yesterday], by_client=False, by_bank=True)
     banks = total(pairs, ["cust_bank_name"]).select(
         "cust_bank_name",
-        F.col("txns").alias("transaction_count"),
+        as_count(F.col("txns")).alias("transaction_count"),
         in_crore(F.col("success_amount")).alias("gtv"),
         _success_rate().alias("trans_percentage"),
     )
@@ -347,9 +348,9 @@ def bank_yesterday_by_state(
     out = total(pairs, ["final_state", "cust_bank_name"]).select(
         "final_state",
         "cust_bank_name",
-        F.col("txns").alias("transaction_count"),
-        F.col("successes").alias("success_count"),
-        F.col("txns").alias("total_count"),
+        as_count(F.col("txns")).alias("transaction_count"),
+        as_count(F.col("successes")).alias("success_count"),
+        as_count(F.col("txns")).alias("total_count"),
         in_crore(F.col("success_amount")).alias("gtv"),
         _success_rate().alias("trans_percentage"),
     )

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from railpulse.functions.flags import band_flag
-from railpulse.functions.measures import in_crore, rate, sum_where
+from railpulse.functions.measures import as_count, in_crore, rate, sum_where, times
 from railpulse.functions.timeparts import (
     DayRange, days_before, hour_label, hour_start, single_day, within,
 )
@@ -67,7 +67,7 @@ def txn_cells(tables: PaymentTables, days: DayRange) -> DataFrame:
     devices = count_copies(
         scan_days(tables.txn_devices, "op_time", days), ["request_id"], "devices"
     )
-    copies = F.col("inserts") * F.col("devices")
+    copies = times(F.col("inserts"), F.col("devices"))
     joined = (
         outcomes.join(devices, "request_id")
         .join(requests, "request_id")
@@ -75,14 +75,14 @@ def txn_cells(tables: PaymentTables, days: DayRange) -> DataFrame:
             "hour_ts",
             "aggregator",
             "succeeded",
-            (F.col("requests") * copies).alias("txns"),
-            (F.col("amount") * copies).alias("amount"),
+            times(F.col("requests"), copies).alias("txns"),
+            times(F.col("amount"), copies).alias("amount"),
         )
     )
     succeeded = F.col("succeeded")
 
     def count_of(condition: Column) -> Column:
-        return F.coalesce(sum_where(condition, F.col("txns")), F.lit(0))
+        return F.coalesce(sum_where(condition, F.col("txns")), F.lit(0.0))
 
     measures = [
         sum_where(succeeded, F.col("amount")).alias("success_amount"),
@@ -128,7 +128,7 @@ def bio_cells(tables: PaymentTables, days: DayRange) -> DataFrame:
         "updates",
     )
     pairs = attempts.join(answers, "request_id").withColumn(
-        "attempts", F.col("inserts") * F.col("updates")
+        "attempts", times(F.col("inserts"), F.col("updates"))
     )
     succeeded = F.col("succeeded")
 
@@ -137,7 +137,7 @@ def bio_cells(tables: PaymentTables, days: DayRange) -> DataFrame:
 
     by_client = pairs.groupBy("hour_ts", "client_id").agg(
         F.sum("attempts").alias("attempts"),
-        F.coalesce(sum_where(succeeded, F.col("attempts")), F.lit(0)).alias("successes"),
+        F.coalesce(sum_where(succeeded, F.col("attempts")), F.lit(0.0)).alias("successes"),
         seen(succeeded).alias("any_success"),
         *[
             column
@@ -173,13 +173,13 @@ def txn_hourly_median(tables: PaymentTables, as_of: date, ordered: bool = True)
     today = {
         "date": F.col("date"),
         "total_amount_cr": amount,
-        "success_txns": F.col("success_txns"),
+        "success_txns": as_count(F.col("success_txns")),
         **{n: rate(F.col(s), F.col(t), digits=2) for n, (s, t) in rates.items()},
     }
     exact = {n: rate(F.col(part), F.col(whole)) for n, (part, whole) in rates.items()}
     history = {
         "median_amount_cr": Stat(amount, "median", 2),
-        "median_success_txns": Stat(F.col("success_txns").cast("double"), "median", 0),
+        "median_success_txns": Stat(F.col("success_txns"), "median", 0),
         "stddev_success_rate": Stat(exact["overall_success_rate"], "pop", 2),
         **{
             f"median_{name.removeprefix('overall_')}": Stat(value, "median", 2)
@@ -233,8 +233,8 @@ def txn_hourly_health(
         {
             "overall_success_rate": overall,
             "total_amount_cr": amount,
-            "total_txns": F.col("total_txns"),
-            "success_txns": F.col("success_txns"),
+            "total_txns": as_count(F.col("total_txns")),
+            "success_txns": as_count(F.col("success_txns")),
             **{f"{a}_success_rate": rounded(f"{a}_success", f"{a}_total") for a in AGGREGATORS},
         },
         {
@@ -289,8 +289,8 @@ def _bio_hourly(
         within(day, past),
         {
             "date": day,
-            "total_attempts": F.col("attempts"),
-            "successful_attempts": F.col("successes"),
+            "total_attempts": as_count(F.col("attempts")),
+            "successful_attempts": as_count(F.col("successes")),
             **{shown[name]: of(name, 2) for name in rates},
         },
         {

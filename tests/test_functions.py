@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from railpulse.functions.flags import band_flag, grade, is_flagged, mentions
 from railpulse.functions.measures import (
-    clamp, mean_of, median_of, rate, safe_ratio, spread_of, sum_or_zero, sum_where,
+    as_count, clamp, mean_of, median_of, rate, safe_ratio, spread_of, sum_or_zero, sum_where, times,
 )
 from railpulse.functions.timeparts import hour_label, hour_number, hour_start
 from railpulse.operators.columns import round_numbers, select_available, to_long
@@ -50,6 +50,14 @@ def test_rates_with_nothing_to_count(spark):
     assert one(spark, safe_ratio(F.lit(3), F.lit(2))) == 1.5
 
 
+def test_products_do_not_overflow(spark):
+    big = F.lit(10**12)
+    assert one(spark, times(big, big)) == 1e24
+    assert one(spark, as_count(times(big, big))) is None
+    assert one(spark, as_count(times(big, F.lit(7)))) == 7 * 10**12
+    assert one(spark, times(big, F.lit(None).cast("bigint"))) is None
+
+
 def test_clamp(spark):
     values = [one(spark, clamp(F.lit(v).cast("double"), 0.0, 100.0)) for v in (-1, 50, 101, None)]
     assert values == [0.0, 50.0, 100.0, 0.0]

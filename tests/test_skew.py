@@ -2,6 +2,7 @@
 
 from datetime import date
 
+import pytest
 from pyspark.sql import functions as F
 
 from railpulse.functions.timeparts import days_before
@@ -26,7 +27,7 @@ def frames(spark):
     return PaymentTables.of(
         spark,
         txn_requests=base.select(
-            "*", F.lit("INSERT").alias("op_name"), F.lit(1).alias("trans_amt"),
+            "*", F.lit("INSERT").alias("op_name"), F.lit(10**10).alias("trans_amt"),
             F.lit("CW").alias("master_trans_type"), nothing.alias("trans_mode"),
             F.lit("ybl").alias("aggregator"),
         ),
@@ -53,6 +54,8 @@ def test_hourly_counts_with_a_hot_request(spark):
     # the hot request: requests × INSERT rows × device rows, far too many to list
     assert row["total_txns"] == HOT**3 + (N - HOT)
     assert row["overall_success_rate"] == 100.0
+    # their amount is beyond 64 bits
+    assert row["total_amount_cr"] == pytest.approx((HOT**3 + N - HOT) * 1e10 / 1e7)
 
 
 def test_authentication_with_a_hot_request(spark):
