@@ -1,30 +1,30 @@
-"""Cutting a plan at a result that several reports read."""
+"""Cutting a plan at a result that several later steps read."""
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints that the session names.
+    """The shared folder for intermediate results.
 
-    Only a local session without the setting gets a folder of its own; on a
-    cluster such a folder would be lost with its executor, so that is an error.
+    The folder that ``spark.checkpoint.dir`` names, else one in the warehouse, which
+    all executors share as well. There is no machine-local default.
     """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if named is None:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        named = tempfile.mkdtemp(prefix="railpulse-")
+        named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(named)
     return named
 
 
 def keep(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once, on reliable storage, and go on from there."""
+    """Compute ``df`` once, on reliable storage, and go on from there.
+
+    The files go with the frame where ``spark.cleaner.referenceTracking.cleanCheckpoints``
+    is set, as ``session.local_session`` does; on a cluster set it at start.
+    """
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
