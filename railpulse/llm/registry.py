@@ -7,16 +7,28 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from railpulse.llm import exact_dedup, mixing, token_counts, url_filter
+from railpulse.llm import (
+    exact_dedup, mixing, quality_rules, token_counts, toxicity, url_filter,
+)
 from railpulse.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    )
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
@@ -31,7 +43,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _QUERIES: tuple[Query, ...] = (
-    op5_exact_dedup, op8_url_filter, op9_source_mix, op10_token_counts,
+    op2_quality_rules, op5_exact_dedup, op7_toxicity, op8_url_filter, op9_source_mix,
+    op10_token_counts,
 )
 
 
@@ -40,4 +53,8 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": exact_dedup.ORACLE_SQL, "op9_source_mix": mixing.ORACLE_SQL}
+    return {
+        "op2_quality_rules": quality_rules.ORACLE_SQL,
+        "op5_exact_dedup": exact_dedup.ORACLE_SQL,
+        "op9_source_mix": mixing.ORACLE_SQL,
+    }
