@@ -6,6 +6,7 @@ from collections.abc import Iterable, Iterator
 from typing import Any
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,7 +41,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int) -> Iterat
     for batch in batches:
         sizes = batch.column(column)
         start, total = 0, 0
-        for i, size in enumerate(pa.compute.binary_length(sizes).to_pylist()):
+        for i, size in enumerate(pc.binary_length(sizes).to_pylist()):
             total += size or 0
             if total >= limit:
                 yield batch.slice(start, i + 1 - start)

@@ -19,7 +19,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401  used as pa.compute
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -85,7 +85,7 @@ def with_fingerprints(docs: DataFrame) -> DataFrame:
 
     def prints(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "body", 8 << 20):
-            lengths = pa.compute.binary_length(batch.column("body")).to_pylist()
+            lengths = pc.binary_length(batch.column("body")).to_pylist()
             found = [
                 fingerprint(np.frombuffer(s.as_buffer(), dtype=np.uint8) if n else np.empty(0, np.uint8))
                 for s, n in zip(batch.column("body"), lengths)

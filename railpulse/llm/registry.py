@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from railpulse.llm import (
-    exact_dedup, mixing, quality_rules, token_counts, toxicity, url_filter,
+    exact_dedup, minhash_dedup, mixing, quality_rules, token_counts, toxicity, url_filter,
 )
 from railpulse.llm.common import table
 
@@ -23,6 +23,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_components(table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -43,8 +47,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _QUERIES: tuple[Query, ...] = (
-    op2_quality_rules, op5_exact_dedup, op7_toxicity, op8_url_filter, op9_source_mix,
-    op10_token_counts,
+    op2_quality_rules, op5_exact_dedup, op6_minhash_dedup, op7_toxicity, op8_url_filter,
+    op9_source_mix, op10_token_counts,
 )
 
 
@@ -56,5 +60,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_quality_rules": quality_rules.ORACLE_SQL,
         "op5_exact_dedup": exact_dedup.ORACLE_SQL,
+        "op6_minhash_dedup": minhash_dedup.ORACLE_SQL,
         "op9_source_mix": mixing.ORACLE_SQL,
     }

@@ -17,7 +17,7 @@ from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401  used as pa.compute
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -163,7 +163,7 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = TOKEN_LIMIT) ->
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
-                    pa.array(pa.compute.binary_length(texts), pa.int64()),
+                    pa.array(pc.binary_length(texts), pa.int64()),
                     pa.array([tokens(t) for t in texts.to_pylist()], pa.int64()),
                 ],
                 names=["doc_id", "n_bytes", "n_tokens"],
