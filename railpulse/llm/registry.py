@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from railpulse.llm import (
-    exact_dedup, minhash_dedup, mixing, quality_rules, token_counts, toxicity, url_filter,
+    exact_dedup, line_dedup, minhash_dedup, mixing, packing, quality_rules, token_counts,
+    toxicity, url_filter,
 )
 from railpulse.llm.common import table
 
@@ -19,6 +20,14 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -47,8 +56,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _QUERIES: tuple[Query, ...] = (
-    op2_quality_rules, op5_exact_dedup, op6_minhash_dedup, op7_toxicity, op8_url_filter,
-    op9_source_mix, op10_token_counts,
+    op2_quality_rules, op3_best_fit_packing, op4_line_dedup, op5_exact_dedup,
+    op6_minhash_dedup, op7_toxicity, op8_url_filter, op9_source_mix, op10_token_counts,
 )
 
 
