@@ -8,14 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from railpulse.llm import (
-    exact_dedup, line_dedup, minhash_dedup, mixing, packing, quality_rules, token_counts,
-    toxicity, url_filter,
+    exact_dedup, line_dedup, minhash_dedup, mixing, packing, quality_rules, suffix_dedup,
+    token_counts, toxicity, url_filter,
 )
 from railpulse.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.without_repeats(table(spark, sf_dir, "documents"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
@@ -56,7 +60,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _QUERIES: tuple[Query, ...] = (
-    op2_quality_rules, op3_best_fit_packing, op4_line_dedup, op5_exact_dedup,
+    op1_suffix_dedup, op2_quality_rules, op3_best_fit_packing, op4_line_dedup, op5_exact_dedup,
     op6_minhash_dedup, op7_toxicity, op8_url_filter, op9_source_mix, op10_token_counts,
 )
 
