@@ -67,9 +67,20 @@ client_locations AS (
   FROM customer JOIN nation ON c_nationkey = n_nationkey
 )"""
 
+def _mean(value: str) -> str:
+    """Mean whose last bit does not depend on the order of rows."""
+    return f"sum({value} ORDER BY {value}) / nullif(count({value}), 0)"
+
+
+def _spread(value: str, mean: str, less: int) -> str:
+    """Standard deviation in two passes; ``mean`` comes from a CTE before. less: 1 for samples."""
+    off = f"({value} - {mean})"
+    return f"sqrt(sum({off} * {off} ORDER BY {value}) / nullif(count({value}) - {less}, 0))"
+
+
 # --- hourly family (as of 2024-01-30) ----------------------------------------
 
-_HOURLY = """
+_HOURLY = f"""
 latest AS (
   SELECT request_id, op_time, message FROM (
     SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY op_time DESC, message DESC) AS rn
@@ -111,16 +122,19 @@ txn_rates AS (
          ybln_success / nullif(ybln_total, 0) * 100 AS r_ybln
   FROM txn_cells
 ),
+q1_mean AS (
+  SELECT hour, {_mean("r")} AS m FROM txn_rates WHERE date < DATE '2024-01-30' GROUP BY hour
+),
 q1_past AS (
   SELECT hour,
          round(quantile_disc(gtv, 0.5), 2) AS median_amount_cr,
          CAST(quantile_disc(success_txns, 0.5) AS DOUBLE) AS median_success_txns,
          round(quantile_disc(r, 0.5), 2) AS median_success_rate,
-         round(stddev_pop(r), 2) AS sd,
+         round({_spread("r", "m", 0)}, 2) AS sd,
          round(quantile_disc(r_ybl, 0.5), 2) AS median_ybl_success_rate,
          round(quantile_disc(r_nsdl, 0.5), 2) AS median_nsdl_success_rate,
          round(quantile_disc(r_ybln, 0.5), 2) AS median_ybln_success_rate
-  FROM txn_rates WHERE date < DATE '2024-01-30' GROUP BY hour
+  FROM txn_rates JOIN q1_mean USING (hour) WHERE date < DATE '2024-01-30' GROUP BY hour
 ),
 q1_now AS (
   SELECT date, hour, gtv AS total_amount_cr, success_txns,
@@ -146,12 +160,18 @@ q3_days AS (
          coalesce(round(r_ybln, 2), 0) AS ybln_success_rate
   FROM txn_rates
 ),
-q3_past AS (
-  SELECT hour, avg(overall_success_rate) AS avg_success_rate,
-         stddev_samp(overall_success_rate) AS stddev_success_rate,
-         avg(total_amount_cr) AS avg_amount_cr, stddev_samp(total_amount_cr) AS stddev_amount_cr
+q3_mean AS (
+  SELECT hour, {_mean("overall_success_rate")} AS avg_success_rate,
+         {_mean("total_amount_cr")} AS avg_amount_cr
   FROM q3_days WHERE date < DATE '2024-01-30' GROUP BY hour
 ),
+q3_past AS (
+  SELECT hour, any_value(avg_success_rate) AS avg_success_rate,
+         {_spread("overall_success_rate", "avg_success_rate", 1)} AS stddev_success_rate,
+         any_value(avg_amount_cr) AS avg_amount_cr,
+         {_spread("total_amount_cr", "avg_amount_cr", 1)} AS stddev_amount_cr
+  FROM q3_days JOIN q3_mean USING (hour) WHERE date < DATE '2024-01-30' GROUP BY hour
+),
 q3 AS (
   SELECT d.hour, d.overall_success_rate, d.total_amount_cr, d.total_txns, d.success_txns,
          d.ybl_success_rate, d.nsdl_success_rate, d.ybln_success_rate,
@@ -201,11 +221,15 @@ def _bio(name: str, first: str, normal: str, no_data: bool, counts: bool) -> str
          successes / nullif(any_success, 0) AS per_user
   FROM {name}_cells
 ),
+{name}_mean AS (
+  SELECT hour, {_mean("r")} AS mean FROM {name}_rates
+  WHERE date < DATE '2024-01-30' GROUP BY hour
+),
 {name}_past AS (
   SELECT hour, round(quantile_disc(r, 0.5), 2) AS m, round(quantile_disc(r_nsdl, 0.5), 2) AS m_nsdl,
          round(quantile_disc(r_ybl, 0.5), 2) AS m_ybl,
-         round(quantile_disc(per_user, 0.5), 2) AS m_per_user, stddev_samp(r) AS sd
-  FROM {name}_rates WHERE date < DATE '2024-01-30' GROUP BY hour
+         round(quantile_disc(per_user, 0.5), 2) AS m_per_user, {_spread("r", "mean", 1)} AS sd
+  FROM {name}_rates JOIN {name}_mean USING (hour) WHERE date < DATE '2024-01-30' GROUP BY hour
 ),
 {name}_now AS (
   SELECT date, hour, attempts, successes, round(r, 2) AS r, round(r_nsdl, 2) AS r_nsdl,
@@ -268,10 +292,14 @@ s_now AS (SELECT final_state, {_MEASURES} FROM state_rows WHERE {_YESTERDAY} GRO
 s_days AS (
   SELECT final_state, day, {_MEASURES} FROM state_rows WHERE {_HISTORY} GROUP BY final_state, day
 ),
+s_mean AS (
+  SELECT final_state, {_mean("gtv")} AS a_gtv, {_mean("rate")} AS a_rate
+  FROM s_days GROUP BY final_state
+),
 s_past AS (
   SELECT final_state, quantile_disc(gtv, 0.5) AS m_gtv, quantile_disc(rate, 0.5) AS m_rate,
-         stddev_samp(gtv) AS sd_gtv, stddev_samp(rate) AS sd_rate
-  FROM s_days GROUP BY final_state
+         {_spread("gtv", "a_gtv", 1)} AS sd_gtv, {_spread("rate", "a_rate", 1)} AS sd_rate
+  FROM s_days JOIN s_mean USING (final_state) GROUP BY final_state
 ),
 s_weekday AS (
   SELECT final_state, {_MEASURES} FROM state_rows
@@ -418,7 +446,8 @@ answered AS (
          arg_max(lower(u.message) = 'success', u.op_time) AS ok
   FROM txn_requests q JOIN txn_responses u ON u.request_id = q.request_id
   WHERE q.master_trans_type = 'CW' AND u.op_name = 'UPDATE'
-    AND u.op_time BETWEEN q.op_time AND q.op_time + INTERVAL 10 MINUTE
+    AND u.op_time >= q.op_time
+    AND date_trunc('hour', u.op_time) <= date_trunc('hour', q.op_time) + INTERVAL 1 HOUR
   GROUP BY ALL
 )"""
 
@@ -701,6 +730,15 @@ UNION ALL SELECT hour, 'YBLN', ybln_success_rate FROM q3"""),
     # state reports
     "top_gainers": _daily(_MOVERS.format("gainers")),
     "top_decliners": _daily(_MOVERS.format("decliners")),
+    "gainer_table": _daily("""
+SELECT final_state AS "State", round_even(yesterday_gtv, 2) AS "Yesterday (Cr)",
+       round_even(median_90d_gtv, 2) AS "90d Median (Cr)",
+       round_even(gtv_vs_median_ratio * 100, 1) AS "% vs Median"
+FROM gainers"""),
+    "share_table": _daily("""
+SELECT final_state AS "State", round_even(yesterday_gtv, 2) AS "GTV (Cr)",
+       round_even(percentage, 2) AS "Share (%)"
+FROM folded"""),
     "top10_state_trend": _daily(
         _settled("q6", *_TREND_DOUBLES)
         + """
@@ -773,7 +811,8 @@ SELECT cust_bank_name, transaction_count, round_even(gtv, 2) AS gtv,
     "state_90d_series": _daily("""
 SELECT date, final_state, round(gtv, 8) AS gtv, round(success_rate, 8) AS trans_percentage
 FROM q11 WHERE final_state = (SELECT final_state FROM default_state)"""),
-    # closed hours of the streams, which wait 10 minutes for late rows
+    # closed hours of the streams, which wait 10 minutes for late rows and, for metrics, for
+    # the answers of the next hour
     "stream_hourly_metrics": _sql(
         (_TABLES, _ANSWERED),
         "SELECT strftime(h, '%Y-%m-%d %H:%M') AS hour_start, "
@@ -789,7 +828,7 @@ FROM q11 WHERE final_state = (SELECT final_state FROM default_state)"""),
         )
         + """
 FROM answered
-WHERE h + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE
+WHERE h + INTERVAL 2 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE
 GROUP BY h""",
     ),
     "stream_latest_update": _sql(
@@ -802,4 +841,14 @@ WHERE op_name = 'UPDATE' AND date_trunc('hour', op_time) + INTERVAL 1 HOUR
       <= (SELECT max(op_time) FROM txn_responses WHERE op_name = 'UPDATE') - INTERVAL 10 MINUTE
 GROUP BY date_trunc('hour', op_time), request_id""",
     ),
+    "stream_active_users": _sql(
+        (_TABLES,),
+        """
+SELECT strftime(date_trunc('hour', op_time), '%Y-%m-%d %H:%M') AS hour_start,
+       count(DISTINCT client_id) AS active_users
+FROM bio_log
+WHERE date_trunc('hour', op_time) + INTERVAL 1 HOUR
+      <= (SELECT max(op_time) FROM bio_log) - INTERVAL 10 MINUTE
+GROUP BY date_trunc('hour', op_time)""",
+    ),
 }

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from checks.sample_tables import (
     BANK_RANGE, DAILY_AS_OF, EVENTS, HOURLY_AS_OF, LOGS, sample_tables,
 )
-from railpulse.functions.measures import as_count, median_of
+from railpulse.functions.measures import median_of
 from railpulse.functions.timeparts import DayRange, days_before
 from railpulse.operators.cdc import cdc_pair, latest_by
 from railpulse.operators.durable import checkpoint_dir, keep
@@ -31,14 +31,18 @@ DETAIL_STATE = "NATION_10"
 
 
 def settled(df: DataFrame, digits: int = 8) -> DataFrame:
-    """Round floating-point columns, whose last bits depend on the engine."""
-    return df.select(
-        [
-            F.round(f.name, digits).alias(f.name) if isinstance(f.dataType, T.DoubleType)
-            else F.col(f"`{f.name}`")
-            for f in df.schema.fields
-        ]
-    )
+    """Round floating-point columns, whose last bits depend on the engine, and give whole
+    numbers the 64 bits they have in SQL; one that does not fit is an error."""
+
+    def plain(field: T.StructField):
+        column = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, T.DoubleType):
+            column = F.round(column, digits)
+        elif isinstance(field.dataType, T.DecimalType) and field.dataType.scale == 0:
+            column = column.cast("bigint")
+        return column.alias(field.name)
+
+    return df.select([plain(f) for f in df.schema.fields])
 
 
 def _new_folder(spark: SparkSession, kind: str) -> str:
@@ -89,17 +93,6 @@ def _state_detail(t: PaymentTables) -> DataFrame:
     )
 
 
-def _whole(df: DataFrame) -> DataFrame:
-    """Measures of a fact, which are whole numbers kept as doubles, as integers."""
-    return df.select(
-        [
-            as_count(F.col(f.name)).alias(f.name) if isinstance(f.dataType, T.DoubleType)
-            else F.col(f.name)
-            for f in df.schema.fields
-        ]
-    )
-
-
 def _hourly_log(t: PaymentTables) -> DataFrame:
     return scan_days(t.txn_responses, "op_time", HOURLY_DAYS)
 
@@ -202,17 +195,17 @@ _ON_TABLES: dict[str, Callable[[PaymentTables], DataFrame]] = {
     "date_scan": lambda t: scan_days(t.txn_requests, "op_time", HOURLY_DAYS).select(
         "request_id", "client_id", "trans_amt", "aggregator"
     ),
-    "approx_medians": lambda t: _whole(daily.state_days(t, [NINETY_DAYS])).groupBy("final_state").agg(
+    "approx_medians": lambda t: daily.state_days(t, [NINETY_DAYS]).groupBy("final_state").agg(
         median_of("success_amount", exact=False).alias("median_amount"),
         median_of("txns", exact=False).alias("median_txns"),
     ),
-    "txn_cells": lambda t: _whole(hourly.txn_cells(t, HOURLY_DAYS).drop("hour_ts")),
-    "bio_cells": lambda t: _whole(hourly.bio_cells(t, HOURLY_DAYS).drop("hour_ts")),
+    "txn_cells": lambda t: hourly.txn_cells(t, HOURLY_DAYS).drop("hour_ts"),
+    "bio_cells": lambda t: hourly.bio_cells(t, HOURLY_DAYS).drop("hour_ts"),
     "latest_update": _latest_update,
     "cdc_pairs": _cdc_pairs,
     "cdc_all_pairs": _cdc_all_pairs,
-    "daily_state_fact": lambda t: _whole(daily.daily_state_fact(t, NINETY_DAYS)),
-    "daily_bank_fact": lambda t: _whole(daily.daily_bank_fact(t, DayRange(*BANK_RANGE))),
+    "daily_state_fact": lambda t: daily.daily_state_fact(t, NINETY_DAYS),
+    "daily_bank_fact": lambda t: daily.daily_bank_fact(t, DayRange(*BANK_RANGE)),
     "state_metrics_from_fact": lambda t: daily.state_metrics_from_fact(
         daily.daily_state_fact(t, NINETY_DAYS), DAILY_AS_OF
     ),
@@ -253,6 +246,8 @@ _ON_TABLES: dict[str, Callable[[PaymentTables], DataFrame]] = {
     # state reports
     "top_gainers": lambda t: states.top_gainers(_states(t)),
     "top_decliners": lambda t: states.top_decliners(_states(t)),
+    "gainer_table": lambda t: states.mover_table(states.top_gainers(_states(t))),
+    "share_table": lambda t: states.share_table(keep(_states(t))),
     "top10_state_trend": lambda t: states.top_state_trend(_trend(10)(t)),
     "available_states": lambda t: states.available_states(_trend(10)(t)),
     "state_detail_30d": _state_detail,
@@ -290,11 +285,7 @@ def _streamed(build: Callable[[Callable[[], DataFrame]], DataFrame]) -> Query:
         configure(spark)
         run = _new_folder(spark, "streams")
         stream = build(lambda: _event_stream(spark, sf_dir))
-        on_one_machine = spark.sparkContext.master.startswith("local")
-        live.start(
-            stream, f"{run}/rows", f"{run}/progress", every=None,
-            partitions=2 if on_one_machine else None,
-        ).awaitTermination()
+        live.start(stream, f"{run}/rows", f"{run}/progress", every=None).awaitTermination()
         hours = spark.read.schema(stream.schema).parquet(f"{run}/rows")
         return settled(
             hours.withColumn("hour_start", F.date_format("hour_start", "yyyy-MM-dd HH:mm"))
@@ -305,7 +296,7 @@ def _streamed(build: Callable[[Callable[[], DataFrame]], DataFrame]) -> Query:
 
 _STREAMED: dict[str, Callable[[Callable[[], DataFrame]], DataFrame]] = {
     "stream_hourly_metrics": lambda ev: live.hourly_metrics(
-        LOGS["txn_requests"](ev()), LOGS["txn_responses"](ev())
+        LOGS["txn_requests"](ev()), LOGS["txn_responses"](ev()), answer_hours=1
     ),
     "stream_latest_update": lambda ev: live.latest_update(LOGS["txn_responses"](ev())).drop(
         "last_time"

@@ -11,7 +11,7 @@ CRORE = 10_000_000.0
 
 def in_crore(amount: Column) -> Column:
     """Amounts are whole numbers until here, so that sums do not depend on order."""
-    return amount / F.lit(CRORE)
+    return amount.cast("double") / F.lit(CRORE)
 
 
 def safe_ratio(numerator: Column, denominator: Column) -> Column:
@@ -37,21 +37,21 @@ def rate(
     return value
 
 
-def times(*factors: Column) -> Column:
-    """Product of counts and amounts as a double.
+# Counts and amounts of copies are whole numbers of up to 38 digits: exact in any order of
+# adding, and an error, never a wrong or missing number, beyond.
+WHOLE = "decimal(38,0)"
 
-    Whole numbers are exact up to 2^53, in any order of adding; the copies of one id
-    in several logs may multiply to more than 64 bits, which must not end the job.
-    """
-    product = factors[0].cast("double")
-    for factor in factors[1:]:
-        product = product * factor.cast("double")
-    return product
 
+def whole(value: Column) -> Column:
+    return value.cast(WHOLE)
 
-def as_count(value: Column) -> Column:
-    """A count for reading: a 64-bit number, NULL where it does not fit."""
-    return value.try_cast("bigint")
+
+def times(*factors: Column) -> Column:
+    """Exact product of counts and amounts."""
+    product = whole(factors[0])
+    for factor in factors[1:]:
+        product = whole(product * whole(factor))
+    return product
 
 
 def sum_where(condition: Column, value: Column) -> Column:

@@ -14,6 +14,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from railpulse.functions.measures import times
+
 INSERT, UPDATE = "INSERT", "UPDATE"
 
 
@@ -53,7 +55,7 @@ def cdc_pair(
     The column maps go from output name to log column and say which side a value
     is taken from. With ``latest_update`` (a time column) only the latest UPDATE of a
     request takes part, otherwise all do. The result has one row per distinct
-    combination and ``copies``, the number of pairs it stands for (NULL beyond 64 bits).
+    combination and ``copies``, the number of pairs it stands for.
     """
     inserts = log.where(F.col(op_column) == INSERT)
     updates = log.where(F.col(op_column) == UPDATE)
@@ -70,7 +72,7 @@ def cdc_pair(
         key,
         *insert_columns,
         *update_columns,
-        F.try_multiply("_inserts", "_updates").alias("copies"),
+        times(F.col("_inserts"), F.col("_updates")).alias("copies"),
     )
 
 

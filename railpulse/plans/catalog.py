@@ -8,6 +8,7 @@ from datetime import date, datetime, timedelta, timezone
 from pyspark.sql import DataFrame
 
 from railpulse.plans import daily, hourly
+from railpulse.session import require_utc
 from railpulse.sources.tables import PaymentTables
 
 DATASETS: dict[str, Callable[..., DataFrame]] = {
@@ -47,6 +48,7 @@ def dataset(
     ``as_of`` is today (UTC) unless given. ``bank_health`` takes a range of days
     instead, by default the last 30 days up to ``as_of``.
     """
+    require_utc(tables.spark)
     as_of = as_of or today_utc()
     if name == "bank_health":
         end = end or as_of

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from railpulse.functions.measures import (
-    as_count, in_crore, rate, safe_ratio, sum_where, times,
+    in_crore, rate, safe_ratio, sum_or_zero, sum_where, times,
 )
 from railpulse.functions.timeparts import DayRange, days_before, within
 from railpulse.operators.baseline import Stat, against_history
@@ -36,10 +36,12 @@ def _hull(windows: Sequence[DayRange]) -> DayRange:
     return DayRange(min(w.first for w in windows), max(w.last for w in windows))
 
 
-def _request_side(scan: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _request_side(scan: DataFrame, keys: Sequence[str], copies: Column) -> DataFrame:
+    """Requests that ask for money and their amount per ``keys``; a row counts ``copies`` times."""
     paid = F.col("trans_amt") > 0
     return scan.groupBy(*keys).agg(
-        F.count_if(paid).alias("paid"), sum_where(paid, F.col("trans_amt")).alias("amount")
+        sum_or_zero(F.when(paid, times(copies))).alias("paid"),
+        sum_where(paid, times(F.col("trans_amt"), copies)).alias("amount"),
     )
 
 
@@ -65,58 +67,58 @@ def _paired(requests: DataFrame, responses: DataFrame, on: Sequence[str]) -> Dat
     )
 
 
+def at_location(requests: DataFrame, tables: PaymentTables) -> DataFrame:
+    """Requests with the state of their client and ``places``, the number of times it is
+    listed there; clients without a state drop out.
+
+    The join carries no broadcast hint: the location table grows with the network.
+    Spark broadcasts it while its size is under the session's threshold and shuffles
+    by client beyond, where AQE splits a client with very many rows.
+    """
+    places = count_copies(
+        tables.client_locations.where(F.col("final_state").isNotNull()),
+        ["retailer_id", "final_state"],
+        "places",
+    )
+    return requests.join(places, F.col("client_id") == F.col("retailer_id"))
+
+
 def daily_pairs(
     tables: PaymentTables,
     windows: Sequence[DayRange],
-    by_client: bool = True,
+    by_state: bool = True,
     by_bank: bool = False,
 ) -> DataFrame:
     """Requests joined with their responses where both days lie in one of ``windows``.
 
     Request and response have clocks of their own: an answer after midnight of the
-    last day leaves the window. Both sides are counted per request before the join,
-    so no request has more than a few rows however often it was logged.
+    last day leaves the window. Clients are replaced by their states first, and both sides are
+    counted per request before they are joined: a request id has at most one row per day, state
+    and bank, whatever number of clients and rows share it.
     """
     hull = _hull(windows)
     day = F.to_date("log_date_time")
     keys = ["request_id", "window", "day"]
     requests = scan_days(tables.daily_requests, "log_date_time", hull)
     requests = requests.withColumn("day", day).withColumn("window", _window_of(F.col("day"), windows))
+    requests = requests.where(F.col("window").isNotNull())
     responses = scan_days(tables.daily_responses, "log_date_time", hull)
     responses = responses.withColumn("window", _window_of(day, windows))
-    if by_client:
-        keys.append("client_id")
     if by_bank:
         keys.append("cust_bank_name")
         requests = requests.where(F.col("cust_bank_name").isNotNull())
+    copies = F.lit(1)
+    if by_state:
+        requests = at_location(requests, tables)
+        keys.append("final_state")
+        copies = F.col("places")
     return _paired(
-        _request_side(requests.where(F.col("window").isNotNull()), keys),
+        _request_side(requests, keys, copies),
         _response_side(responses.where(F.col("window").isNotNull()), ["request_id", "window"]),
         ["request_id", "window"],
     )
 
 
-def at_location(pairs: DataFrame, tables: PaymentTables) -> DataFrame:
-    """Attach the client's state; clients without one drop out.
-
-    The join carries no broadcast hint: the location table grows with the network.
-    Spark broadcasts it while its size is under the session's threshold and shuffles
-    by client beyond, where AQE splits a client with very many rows.
-    """
-    places = count_copies(
-        tables.client_locations.where(F.col("final_state").isNotNull()),
-        ["retailer_id", "final_state"],
-        "places",
-    )
-    joined = pairs.join(places, F.col("client_id") == F.col("retailer_id"))
-    measures = ("txns", "successes", "success_amount")
-    return joined.select(
-        *[c for c in pairs.columns if c not in (*measures, "client_id")],
-        "final_state",
-        *[times(F.col(m), F.col("places")).alias(m) for m in measures],
-    )
-
-
 def total(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Add up the measures; they are whole numbers, so any order gives the same sums."""
     return df.groupBy(*keys).agg(*[F.sum(m).alias(m) for m in ("txns", "successes", "success_amount")])
@@ -124,7 +126,7 @@ def total(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def state_days(tables: PaymentTables, windows: Sequence[DayRange]) -> DataFrame:
     """(window, day, final_state) with transactions, successes and successful amount."""
-    return total(at_location(daily_pairs(tables, windows), tables), ["window", "day", "final_state"])
+    return total(daily_pairs(tables, windows), ["window", "day", "final_state"])
 
 
 def daily_state_fact(tables: PaymentTables, days: DayRange) -> DataFrame:
@@ -136,11 +138,13 @@ def daily_state_fact(tables: PaymentTables, days: DayRange) -> DataFrame:
     requests = scan_days(tables.daily_requests, "log_date_time", days).withColumn("day", day)
     responses = scan_days(tables.daily_responses, "log_date_time", days)
     pairs = _paired(
-        _request_side(requests, ["request_id", "day", "client_id"]),
+        _request_side(
+            at_location(requests, tables), ["request_id", "day", "final_state"], F.col("places")
+        ),
         _response_side(responses.withColumn("answer_day", day), ["request_id", "answer_day"]),
         ["request_id"],
     )
-    return total(at_location(pairs, tables), ["day", "answer_day", "final_state"])
+    return total(pairs, ["day", "answer_day", "final_state"])
 
 
 def windows_of_fact(fact: DataFrame, windows: Sequence[DayRange]) -> DataFrame:
@@ -191,7 +195,7 @@ def state_metrics_of(
         F.col("window") == 0,
         {
             "yesterday_gtv": amount,
-            "yesterday_transactions": as_count(F.col("txns")),
+            "yesterday_transactions": F.col("txns"),
             "yesterday_success_rate": success,
         },
         history,
@@ -243,7 +247,7 @@ def state_trend_of(days: DataFrame, ordered: bool = True) -> DataFrame:
         F.col("day").alias("date"),
         "final_state",
         in_crore(F.col("success_amount")).alias("gtv"),
-        as_count(F.col("txns")).alias("transactions"),
+        F.col("txns").alias("transactions"),
         _success_rate().alias("success_rate"),
     )
     return out.orderBy(F.desc("date"), F.desc("gtv"), "final_state") if ordered else out
@@ -287,7 +291,7 @@ def bank_state_90d_trend(
 def daily_bank_fact(tables: PaymentTables, days: DayRange) -> DataFrame:
     """(day, final_state, bank) totals of requests made and answered inside ``days``."""
     pairs = daily_pairs(tables, [days], by_bank=True)
-    return total(at_location(pairs, tables), ["day", "final_state", "cust_bank_name"])
+    return total(pairs, ["day", "final_state", "cust_bank_name"])
 
 
 def bank_health(tables: PaymentTables, start: date, end: date, top: int = 5) -> DataFrame:
@@ -315,11 +319,11 @@ def bank_health(tables: PaymentTables, start: date, end: date, top: int = 5) ->
             "final_state",
             F.col("d.day").alias("date"),
             "cust_bank_name",
-            as_count(F.col("d.txns")).alias("transaction_count"),
+            F.col("d.txns").alias("transaction_count"),
             in_crore(F.col("d.success_amount")).alias("gtv"),
             rate(F.col("d.successes"), F.col("d.txns")).alias("trans_percentage"),
             in_crore(F.col("amount")).alias("bank_total_gtv"),
-            as_count(F.col("bank_txns")).alias("bank_total_transactions"),
+            F.col("bank_txns").alias("bank_total_transactions"),
             rate(F.col("bank_successes"), F.col("bank_txns")).alias("bank_success_rate"),
             "active_days",
         )
@@ -330,10 +334,10 @@ def bank_health(tables: PaymentTables, start: date, end: date, top: int = 5) ->
 def bank_yesterday(tables: PaymentTables, as_of: date, n: int = 25) -> DataFrame:
     """The ``n`` banks with the largest value yesterday, clients without a state included."""
     yesterday = days_before(as_of, 1)
-    pairs = daily_pairs(tables, [yesterday], by_client=False, by_bank=True)
+    pairs = daily_pairs(tables, [yesterday], by_state=False, by_bank=True)
     banks = total(pairs, ["cust_bank_name"]).select(
         "cust_bank_name",
-        as_count(F.col("txns")).alias("transaction_count"),
+        F.col("txns").alias("transaction_count"),
         in_crore(F.col("success_amount")).alias("gtv"),
         _success_rate().alias("trans_percentage"),
     )
@@ -344,13 +348,13 @@ def bank_yesterday_by_state(
     tables: PaymentTables, as_of: date, ordered: bool = True
 ) -> DataFrame:
     """Banks of every state yesterday."""
-    pairs = at_location(daily_pairs(tables, [days_before(as_of, 1)], by_bank=True), tables)
+    pairs = daily_pairs(tables, [days_before(as_of, 1)], by_bank=True)
     out = total(pairs, ["final_state", "cust_bank_name"]).select(
         "final_state",
         "cust_bank_name",
-        as_count(F.col("txns")).alias("transaction_count"),
-        as_count(F.col("successes")).alias("success_count"),
-        as_count(F.col("txns")).alias("total_count"),
+        F.col("txns").alias("transaction_count"),
+        F.col("successes").alias("success_count"),
+        F.col("txns").alias("total_count"),
         in_crore(F.col("success_amount")).alias("gtv"),
         _success_rate().alias("trans_percentage"),
     )

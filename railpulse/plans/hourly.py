@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from railpulse.functions.flags import band_flag
-from railpulse.functions.measures import as_count, in_crore, rate, sum_where, times
+from railpulse.functions.measures import in_crore, rate, sum_where, times, whole
 from railpulse.functions.timeparts import (
     DayRange, days_before, hour_label, hour_start, single_day, within,
 )
@@ -45,18 +45,20 @@ def txn_cells(tables: PaymentTables, days: DayRange) -> DataFrame:
     input is reduced to counted rows per request before the join, so the join has one
     row per request on two of its sides and cannot fan out.
     """
+    # Free text that no rate asks for is one group, so an id has four rows an hour at most.
+    named = F.lower("aggregator")
     requests = count_copies(
         scan_days(tables.txn_requests, "op_time", days)
         .where(F.col("master_trans_type") == CASH_WITHDRAWAL)
         .select(
             "request_id",
             hour_start("op_time").alias("hour_ts"),
-            F.lower("aggregator").alias("aggregator"),
+            F.when(named.isin(*AGGREGATORS), named).otherwise("other").alias("aggregator"),
             "trans_amt",
         ),
         ["request_id", "hour_ts", "aggregator"],
         "requests",
-        [F.sum("trans_amt").alias("amount")],
+        [F.sum(whole(F.col("trans_amt"))).alias("amount")],
     )
     outcomes = final_outcome(
         scan_days(tables.txn_responses, "op_time", days),
@@ -82,7 +84,7 @@ def txn_cells(tables: PaymentTables, days: DayRange) -> DataFrame:
     succeeded = F.col("succeeded")
 
     def count_of(condition: Column) -> Column:
-        return F.coalesce(sum_where(condition, F.col("txns")), F.lit(0.0))
+        return F.coalesce(sum_where(condition, F.col("txns")), F.lit(0))
 
     measures = [
         sum_where(succeeded, F.col("amount")).alias("success_amount"),
@@ -137,7 +139,7 @@ def bio_cells(tables: PaymentTables, days: DayRange) -> DataFrame:
 
     by_client = pairs.groupBy("hour_ts", "client_id").agg(
         F.sum("attempts").alias("attempts"),
-        F.coalesce(sum_where(succeeded, F.col("attempts")), F.lit(0.0)).alias("successes"),
+        F.coalesce(sum_where(succeeded, F.col("attempts")), F.lit(0)).alias("successes"),
         seen(succeeded).alias("any_success"),
         *[
             column
@@ -173,13 +175,13 @@ def txn_hourly_median(tables: PaymentTables, as_of: date, ordered: bool = True)
     today = {
         "date": F.col("date"),
         "total_amount_cr": amount,
-        "success_txns": as_count(F.col("success_txns")),
+        "success_txns": F.col("success_txns"),
         **{n: rate(F.col(s), F.col(t), digits=2) for n, (s, t) in rates.items()},
     }
     exact = {n: rate(F.col(part), F.col(whole)) for n, (part, whole) in rates.items()}
     history = {
         "median_amount_cr": Stat(amount, "median", 2),
-        "median_success_txns": Stat(F.col("success_txns"), "median", 0),
+        "median_success_txns": Stat(F.col("success_txns").cast("double"), "median", 0),
         "stddev_success_rate": Stat(exact["overall_success_rate"], "pop", 2),
         **{
             f"median_{name.removeprefix('overall_')}": Stat(value, "median", 2)
@@ -233,8 +235,8 @@ def txn_hourly_health(
         {
             "overall_success_rate": overall,
             "total_amount_cr": amount,
-            "total_txns": as_count(F.col("total_txns")),
-            "success_txns": as_count(F.col("success_txns")),
+            "total_txns": F.col("total_txns"),
+            "success_txns": F.col("success_txns"),
             **{f"{a}_success_rate": rounded(f"{a}_success", f"{a}_total") for a in AGGREGATORS},
         },
         {
@@ -289,8 +291,8 @@ def _bio_hourly(
         within(day, past),
         {
             "date": day,
-            "total_attempts": as_count(F.col("attempts")),
-            "successful_attempts": as_count(F.col("successes")),
+            "total_attempts": F.col("attempts"),
+            "successful_attempts": F.col("successes"),
             **{shown[name]: of(name, 2) for name in rates},
         },
         {

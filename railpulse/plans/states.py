@@ -21,6 +21,7 @@ from railpulse.operators.shares import fold_small
 from railpulse.plans import daily
 from railpulse.sources.tables import PaymentTables
 
+# The headers of the established tables.
 STATE_TABLE_HEADERS = {
     "final_state": "State",
     "yesterday_gtv": "Yesterday GTV (Cr)",
@@ -119,6 +120,11 @@ def share_table(states: DataFrame) -> DataFrame:
     return rename_columns(round_numbers(state_share_others(states)), SHARE_HEADERS)
 
 
+def mover_table(movers_of: DataFrame) -> DataFrame:
+    """Gainers or decliners under their report headers."""
+    return rename_columns(movers_of, MOVER_HEADERS)
+
+
 def state_variation(states: DataFrame, beyond: float = 10.0) -> DataFrame:
     """States more than ``beyond`` % off their median, with the side they are on."""
     gtv, median = F.col("yesterday_gtv"), F.col("median_90d_gtv")
@@ -218,10 +224,13 @@ def state_reports(tables: PaymentTables, as_of: date) -> dict[str, DataFrame]:
         ),
         "top_gainers": top_gainers(states),
         "top_decliners": top_decliners(states),
+        "gainer_table": mover_table(top_gainers(states)),
+        "decliner_table": mover_table(top_decliners(states)),
         "top10_state_trend": top_state_trend(trend),
         "state_summary": state_summary(states),
         "top_states": top_states(states),
         "state_share_others": state_share_others(states),
+        "share_table": share_table(states),
         "state_variation": state_variation(states),
         "state_threshold": state_threshold(states),
         "state_table": state_table(states),

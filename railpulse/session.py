@@ -22,6 +22,13 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def require_utc(spark: SparkSession) -> None:
+    """Days and hours are those of UTC; in another zone logs would be cut elsewhere."""
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    if zone not in ("UTC", "Etc/UTC", "Z", "+00:00"):
+        raise ValueError(f"the session runs in {zone}; set spark.sql.session.timeZone to UTC")
+
+
 def local_session(
     cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g"
 ) -> SparkSession:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from railpulse.functions.timeparts import DayRange, within
+from railpulse.session import require_utc
 
 # Name of the optional partition column written by ``write_partitioned``.
 DAY_COLUMN = "log_day"
@@ -116,6 +117,7 @@ def load_tables(
     spark: SparkSession, root: str, rename: Mapping[str, Mapping[str, str]] | None = None
 ) -> PaymentTables:
     """Read ``<root>/<table>`` Parquet data sets. Nothing is inferred beyond the footer."""
+    require_utc(spark)
     rename = rename or {}
     return PaymentTables(
         spark,
@@ -136,13 +138,15 @@ def scan_days(df: DataFrame, clock: str, days: DayRange) -> DataFrame:
 
 
 def write_partitioned(
-    df: DataFrame, table: str, path: str, files_per_day: int = 1, mode: str = "append"
+    df: DataFrame, table: str, path: str, files_per_day: int, mode: str = "append"
 ) -> None:
     """Write one of the log tables as Parquet, partitioned by its day.
 
-    A day becomes ``files_per_day`` files of about equal size, whatever ids it holds:
+    A day becomes ``files_per_day`` files of about equal size, whatever ids it holds, and as many
+    tasks write it: choose it by the size of a day. The session must run in UTC;
     rows are spread by a hash of request and time, which a retried task repeats.
     """
+    require_utc(df.sparkSession)
     clock = _CLOCK[table]
     part = F.pmod(F.xxhash64("request_id", clock), F.lit(files_per_day))
     (
@@ -152,30 +156,3 @@ def write_partitioned(
         .partitionBy(DAY_COLUMN)
         .parquet(path)
     )
-
-
-def save_bucketed(
-    df: DataFrame, table: str, name: str, buckets: int, path: str | None = None,
-    mode: str = "overwrite",
-) -> None:
-    """Save a log table as a catalog table bucketed by request within days.
-
-    With all log tables bucketed alike, grouping and joining by ``request_id``
-    needs no shuffle. A bucket is read by one task, so a request id with more rows
-    than two average buckets is refused; ``write_partitioned`` takes such logs.
-    """
-    rows, heaviest = (
-        df.groupBy("request_id").count().agg(F.sum("count"), F.max("count")).first()
-    )
-    if rows and heaviest > max(2 * rows / buckets, 1000):
-        raise ValueError(f"{table}: one request_id has {heaviest} of {rows} rows")
-    writer = (
-        df.withColumn(DAY_COLUMN, F.to_date(_CLOCK[table]))
-        .repartition(buckets, "request_id")
-        .write.mode(mode)
-        .partitionBy(DAY_COLUMN)
-        .bucketBy(buckets, "request_id")
-    )
-    if path is not None:
-        writer = writer.option("path", path)
-    writer.saveAsTable(name)

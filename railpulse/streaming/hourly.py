@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from railpulse.functions.measures import in_crore, sum_where
+from railpulse.functions.measures import in_crore, sum_where, whole
 from railpulse.operators.cdc import UPDATE
 from railpulse.plans.hourly import AGGREGATORS, CASH_WITHDRAWAL
 from railpulse.sources.tables import SCHEMAS
@@ -30,12 +30,6 @@ def read_stream(
     return reader.parquet(path)
 
 
-def _once_per_request(requests: DataFrame) -> DataFrame:
-    if requests.isStreaming:
-        return requests.dropDuplicatesWithinWatermark(["request_id"])
-    return requests.dropDuplicates(["request_id"])
-
-
 def latest_update(responses: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """The last UPDATE of every request per hour."""
     return (
@@ -54,37 +48,51 @@ def hourly_metrics(
     requests: DataFrame,
     responses: DataFrame,
     delay: str = "10 minutes",
-    answer_within: str = "10 minutes",
+    answer_hours: int | None = None,
 ) -> DataFrame:
     """Cash withdrawals per hour of the request: counts, successes and amount by aggregator.
 
-    A request counts once and its latest UPDATE decides. Reducing the requests to one
-    row per id before the join keeps the join linear for an id that repeats. The bound on
-    the answer time lets both sides of the join forget old rows.
+    The earliest row of a request in an hour counts; a repeat in another hour counts there.
+    The latest UPDATE at or after the request decides. Both sides are reduced to one row per
+    hour and request, combined map-side, before they are joined, so an id that repeats costs
+    each map task a row. A stream has to forget: it needs ``answer_hours``, the number of hours
+    after the request's own whose answers still count (0: its own hour alone), and emits an
+    hour once those are closed as well; without it, as in the batch form, all answers count.
     """
-    asked = _once_per_request(
+    if answer_hours is None and (requests.isStreaming or responses.isStreaming):
+        raise ValueError("a stream needs answer_hours, the bound on its state")
+    hour = F.window("op_time", "1 hour")
+    asked = (
         requests.where(F.col("master_trans_type") == CASH_WITHDRAWAL)
-        .select("request_id", "op_time", F.lower("aggregator").alias("aggregator"), "trans_amt")
         .withWatermark("op_time", delay)
+        .groupBy(hour.alias("hour"), "request_id")
+        .agg(F.min(F.struct("op_time", F.lower("aggregator").alias("aggregator"), "trans_amt")).alias("first"))
+        .select(F.window_time("hour").alias("asked_in"), "request_id", "first")
     )
+    succeeded = F.coalesce(F.lower("message") == "success", F.lit(False))
     answered = (
         responses.where(F.col("op_name") == UPDATE)
-        .select(
-            F.col("request_id").alias("answer_id"),
-            F.col("op_time").alias("answer_time"),
-            F.coalesce(F.lower("message") == "success", F.lit(False)).alias("succeeded"),
-        )
-        .withWatermark("answer_time", delay)
+        .withWatermark("op_time", delay)
+        .groupBy(hour.alias("hour"), F.col("request_id").alias("answer_id"))
+        .agg(F.max(F.struct("op_time", succeeded.alias("succeeded"))).alias("last"))
+        .select(F.window_time("hour").alias("answered_in"), "answer_id", "last")
     )
-    joined = asked.join(
-        answered,
+    in_time = (
         (F.col("request_id") == F.col("answer_id"))
-        & (F.col("answer_time") >= F.col("op_time"))
-        & (F.col("answer_time") <= F.col("op_time") + F.expr(f"INTERVAL {answer_within}")),
+        & (F.col("answered_in") >= F.col("asked_in"))
+        & (F.col("last.op_time") >= F.col("first.op_time"))
+    )
+    if answer_hours is not None:
+        in_time &= F.col("answered_in") <= F.col("asked_in") + F.expr(f"INTERVAL {answer_hours} HOURS")
+    outcome = (
+        asked.join(answered, in_time)
+        .groupBy(F.window("asked_in", "1 hour"), "request_id", "first")
+        .agg(F.max("last").alias("last"))
+        .select(
+            "window", F.col("first.aggregator").alias("aggregator"),
+            F.col("first.trans_amt").alias("trans_amt"), F.col("last.succeeded").alias("succeeded"),
+        )
     )
-    outcome = joined.groupBy(
-        F.window("op_time", "1 hour"), "request_id", "aggregator", "trans_amt"
-    ).agg(F.max_by("succeeded", "answer_time").alias("succeeded"))
 
     succeeded = F.col("succeeded")
 
@@ -93,7 +101,7 @@ def hourly_metrics(
             F.count_if(mine).alias(f"{prefix}_txns"),
             F.count_if(mine & succeeded).alias(f"{prefix}_success"),
             in_crore(
-                F.coalesce(sum_where(mine & succeeded, F.col("trans_amt")), F.lit(0))
+                F.coalesce(sum_where(mine & succeeded, whole(F.col("trans_amt"))), F.lit(0))
             ).alias(f"{prefix}_gtv"),
         ]
 
@@ -104,15 +112,17 @@ def hourly_metrics(
     return hours.select(F.col("hour.start").alias("hour_start"), *hours.columns[1:])
 
 
-def active_users(
-    bio_log: DataFrame, delay: str = "10 minutes", relative_error: float = 0.02
-) -> DataFrame:
-    """Approximate number of distinct clients per hour; exact counts need unbounded state."""
+def active_users(bio_log: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    """Number of distinct clients per hour, exact: one row of state per client and open hour."""
+    clients = (
+        bio_log.where(F.col("client_id").isNotNull())
+        .withWatermark("op_time", delay)
+        .groupBy(F.window("op_time", "1 hour"), "client_id").agg(F.count(F.lit(1)).alias("rows"))
+    )
     return (
-        bio_log.withWatermark("op_time", delay)
-        .groupBy(F.window("op_time", "1 hour"))
-        .agg(F.approx_count_distinct("client_id", relative_error).alias("active_users"))
-        .select(F.col("window.start").alias("hour_start"), "active_users")
+        clients.groupBy(F.window("window", "1 hour").alias("hour"))
+        .agg(F.count(F.lit(1)).alias("active_users"))
+        .select(F.col("hour.start").alias("hour_start"), "active_users")
     )
 
 

@@ -1,8 +1,10 @@
+import pytest
+from pyspark.errors import ArithmeticException
 from pyspark.sql import functions as F
 
 from railpulse.functions.flags import band_flag, grade, is_flagged, mentions
 from railpulse.functions.measures import (
-    as_count, clamp, mean_of, median_of, rate, safe_ratio, spread_of, sum_or_zero, sum_where, times,
+    clamp, mean_of, median_of, rate, safe_ratio, spread_of, sum_or_zero, sum_where, times,
 )
 from railpulse.functions.timeparts import hour_label, hour_number, hour_start
 from railpulse.operators.columns import round_numbers, select_available, to_long
@@ -52,9 +54,11 @@ def test_rates_with_nothing_to_count(spark):
 
 def test_products_do_not_overflow(spark):
     big = F.lit(10**12)
-    assert one(spark, times(big, big)) == 1e24
-    assert one(spark, as_count(times(big, big))) is None
-    assert one(spark, as_count(times(big, F.lit(7)))) == 7 * 10**12
+    assert one(spark, times(big, big)) == 10**24
+    odd = [F.lit(n) for n in (200_001, 200_001, 300_007)]
+    assert one(spark, times(*odd)) == 200_001 * 200_001 * 300_007
+    with pytest.raises(ArithmeticException):
+        one(spark, times(big, big, big, big))
     assert one(spark, times(big, F.lit(None).cast("bigint"))) is None
 
 

@@ -7,7 +7,7 @@ import pytest
 from checks.registry import QUERIES
 from checks.sample_tables import DAILY_AS_OF, HOURLY_AS_OF
 from railpulse.plans import daily, hourly
-from railpulse.sources.tables import SCHEMAS, PaymentTables, conform, save_bucketed, write_partitioned
+from railpulse.sources.tables import SCHEMAS, PaymentTables, conform, write_partitioned
 
 SF = "/root/testdata/sf0.001"
 
@@ -26,7 +26,8 @@ def stored(spark, tmp_path_factory):
             df.write.parquet(f"{root}/{name}")
         else:
             write_partitioned(
-                spark.createDataFrame([tuple([None] * len(schema))], schema), name, f"{root}/{name}"
+                spark.createDataFrame([tuple([None] * len(schema))], schema), name, f"{root}/{name}",
+                files_per_day=1,
             )
     return PaymentTables(
         spark, lambda name: conform(spark.read.parquet(f"{root}/{name}"), name)
@@ -86,20 +87,3 @@ def test_the_location_join_is_not_forced_to_broadcast(spark, stored):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "Broadcast" not in plan
-
-
-def test_bucketed_logs_need_no_shuffle_by_request(spark, logs, tmp_path):
-    logs.txn(1, "2024-01-30 10:00:00")
-    names = ("txn_requests", "txn_responses", "txn_devices")
-    for name in names:
-        save_bucketed(logs.frame(name), name, f"b_{name}", 4, path=f"{tmp_path}/{name}")
-    try:
-        tables = PaymentTables(spark, lambda name: conform(spark.table(f"b_{name}"), name))
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-        cells = hourly.txn_hourly_health(tables, HOURLY_AS_OF)
-        assert "hashpartitioning(request_id" not in plan_of(cells)
-        assert cells.first().total_txns == 1
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-        for name in names:
-            spark.sql(f"DROP TABLE IF EXISTS b_{name}")

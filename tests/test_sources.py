@@ -5,10 +5,10 @@ from pyspark.sql import functions as F
 
 from railpulse.functions.timeparts import DayRange
 from railpulse.operators.durable import checkpoint_dir, keep
-from railpulse.plans.catalog import query_days
+from railpulse.plans.catalog import dataset, query_days
 from railpulse.sources.export import export_csv, export_hourly, export_states
 from railpulse.sources.tables import (
-    SCHEMAS, conform, load_tables, save_bucketed, scan_days, write_partitioned,
+    SCHEMAS, conform, load_tables, scan_days, write_partitioned,
 )
 
 DAYS = DayRange(date(2024, 1, 29), date(2024, 1, 30))
@@ -40,7 +40,7 @@ def test_partitioned_tables_round_trip_and_prune(spark, logs, tmp_path):
         if name == "client_locations":
             logs.frame(name).write.parquet(f"{tmp_path}/{name}")
         else:
-            write_partitioned(logs.frame(name), name, f"{tmp_path}/{name}")
+            write_partitioned(logs.frame(name), name, f"{tmp_path}/{name}", files_per_day=1)
     tables = load_tables(spark, str(tmp_path))
     scan = scan_days(tables.txn_requests, "op_time", DAYS)
     assert sorted(r.request_id for r in scan.collect()) == [29, 30]
@@ -58,13 +58,22 @@ def test_days_are_written_as_the_given_number_of_files(spark, logs, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/t").count() == 60
 
 
-def test_bucketing_refuses_a_hot_request(spark):
-    df = spark.range(3000).select(
-        F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("request_id"),
-        F.expr("timestamp'2024-01-30 10:00:00'").alias("op_time"),
-    )
-    with pytest.raises(ValueError, match="2000 of 6000"):
-        save_bucketed(df.unionAll(df).where("op_time > '2000-01-01'"), "txn_devices", "no", 8)
+def test_files_per_day_must_be_chosen(logs, tmp_path):
+    with pytest.raises(TypeError):
+        write_partitioned(logs.frame("txn_requests"), "txn_requests", f"{tmp_path}/t")
+
+
+def test_other_zones_are_refused(spark, logs, tmp_path):
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Kolkata")
+    try:
+        with pytest.raises(ValueError, match="UTC"):
+            load_tables(spark, str(tmp_path))
+        with pytest.raises(ValueError, match="UTC"):
+            write_partitioned(logs.frame("txn_requests"), "txn_requests", f"{tmp_path}/t", 1)
+        with pytest.raises(ValueError, match="UTC"):
+            dataset("bank_yesterday", logs.tables(), date(2024, 1, 30))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
 def test_unknown_table(logs):

@@ -1,7 +1,8 @@
+import pytest
 from pyspark.sql import functions as F
 
 from railpulse.streaming import hourly as live
-from tests.conftest import Logs, by
+from tests.conftest import Logs, at, by
 
 
 def write(logs, folder, *tables):
@@ -30,7 +31,8 @@ def test_stream_equals_batch_for_closed_hours(spark, logs, tmp_path):
     logs.txn(99, "2024-01-30 13:30:00")
     write(logs, tmp_path, "txn_requests", "txn_responses")
     stream = live.hourly_metrics(
-        *[live.read_stream(spark, f"{tmp_path}/{t}", t) for t in ("txn_requests", "txn_responses")]
+        *[live.read_stream(spark, f"{tmp_path}/{t}", t) for t in ("txn_requests", "txn_responses")],
+        answer_hours=1,
     )
     batch = live.hourly_metrics(logs.frame("txn_requests"), logs.frame("txn_responses"))
     streamed, expected = hours(run(stream, tmp_path)), hours(batch)
@@ -64,7 +66,45 @@ def test_latest_update_per_request(spark, logs, tmp_path):
     assert [(r.request_id, r.message) for r in rows] == [(1, "Success")]
 
 
-def test_repeated_requests_count_once(logs):
-    logs.txn(1, "2024-01-30 08:10:00").txn(1, "2024-01-30 08:11:00")
+def test_repeats_count_once_an_hour_in_stream_and_batch(spark, logs, tmp_path):
+    logs.txn(1, "2024-01-30 08:10:00").txn(1, "2024-01-30 08:11:00").txn(1, "2024-01-30 10:30:00")
+    for i in range(200):  # a hot id: one of its repeats comes before the delay, others after it
+        logs.txn(7, f"2024-01-30 12:{i % 60:02}:00", aggregator="nsdl")
+    logs.txn(99, "2024-01-30 20:00:00")
+    batch = live.hourly_metrics(logs.frame("txn_requests"), logs.frame("txn_responses"))
+    expected = {h: r["total_txns"] for h, r in hours(batch).items()}
+    assert expected == {"08:00": 1, "10:00": 1, "12:00": 1, "20:00": 1}
+    write(logs, tmp_path, "txn_requests", "txn_responses")
+    stream = live.hourly_metrics(
+        *[live.read_stream(spark, f"{tmp_path}/{t}", t) for t in ("txn_requests", "txn_responses")],
+        answer_hours=1,
+    )
+    counted = {h: r["total_txns"] for h, r in hours(run(stream, tmp_path)).items()}
+    assert counted == {h: n for h, n in expected.items() if h != "20:00"}
+
+
+def test_late_answers_count_in_the_batch_form(logs):
+    logs.txn(1, "2024-01-30 08:10:00", message="FAILED")
+    logs.add("txn_responses", op_time=at("2024-01-30 15:00:00"), op_name="UPDATE", request_id=1,
+             message="Success")
     row = live.hourly_metrics(logs.frame("txn_requests"), logs.frame("txn_responses")).first()
-    assert row.total_txns == 1
+    assert (row.total_txns, row.total_success) == (1, 1)
+
+
+def test_a_stream_needs_a_bound_on_answers(spark, tmp_path, logs):
+    write(logs.txn(1, "2024-01-30 08:10:00"), tmp_path, "txn_requests", "txn_responses")
+    streams = [live.read_stream(spark, f"{tmp_path}/{t}", t) for t in ("txn_requests", "txn_responses")]
+    with pytest.raises(ValueError, match="answer_hours"):
+        live.hourly_metrics(*streams)
+
+
+def test_timed_refresh(spark, logs, tmp_path):
+    write(logs.bio(1, "2024-01-30 08:10:00").bio(2, "2024-01-30 10:30:00"), tmp_path, "bio_log")
+    stream = live.active_users(live.read_stream(spark, f"{tmp_path}/bio_log", "bio_log"))
+    query = live.start(stream, f"{tmp_path}/out", f"{tmp_path}/progress", every="1 second", partitions=2)
+    try:
+        query.processAllAvailable()
+        assert query.isActive
+    finally:
+        query.stop()
+    assert set(hours(spark.read.schema(stream.schema).parquet(f"{tmp_path}/out"))) == {"08:00"}
