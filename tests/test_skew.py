@@ -156,7 +156,7 @@ def test_authentication_pairs_of_a_hot_request_are_split(spark):
         F.col("id").alias("client_id"),
         F.when((row.id % 3 != 0) | (row.id % 1000 == 0), F.lit("UPDATE")).otherwise("INSERT").alias("op_name"),
         F.expr("timestamp'2024-01-30 10:00:00'").alias("op_time"),
-        F.lit("NSDL").alias("aggregator"), F.lit("00").alias("rc"),
+        F.lit("NSDL").alias("aggregator"), F.lit("00").alias("rc"), F.lit(None).cast("string").alias("rm"),
     )
     log = log.unionByName(log.where("request_id != 0").withColumn("op_name", F.lit("INSERT")))
     tables = PaymentTables.of(spark, bio_log=log)
