@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from railpulse.llm import (
-    exact_dedup, line_dedup, minhash_dedup, mixing, packing, quality_rules, suffix_dedup,
-    token_counts, toxicity, url_filter,
+    exact_dedup, line_dedup, minhash_dedup, mixing, packing, quality_rules, substring_dedup,
+    suffix_dedup, token_counts, toxicity, url_filter,
 )
 from railpulse.llm.common import table
 
@@ -59,9 +59,14 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary)
 
 
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest(substring_dedup.cut_repeats(table(spark, sf_dir, "documents")))
+
+
 _QUERIES: tuple[Query, ...] = (
     op1_suffix_dedup, op2_quality_rules, op3_best_fit_packing, op4_line_dedup, op5_exact_dedup,
     op6_minhash_dedup, op7_toxicity, op8_url_filter, op9_source_mix, op10_token_counts,
+    op13_substring_dedup,
 )
 
 
