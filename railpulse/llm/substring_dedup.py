@@ -81,6 +81,9 @@ def _settled(batch: pa.RecordBatch, words: Words, at: np.ndarray, key: np.ndarra
         at, key, check, t, is_open, met = (x[keep] for x in (at, key, check, t, is_open, met))
         spread = mixed(key ^ mixed(t.view(U64) + words.at[at].astype(U64)))
         key = np.where(is_open, key, spread)
+        # Rows of one text next to each other: what they have in common is compressed away in the exchange.
+        back = np.argsort(at)
+        at, key, check, t, is_open, met = (x[back] for x in (at, key, check, t, is_open, met))
     else:
         is_open = met = np.empty(0, bool)
     texts = words.text[at]
