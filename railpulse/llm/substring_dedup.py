@@ -37,14 +37,15 @@ WINDOW = 20
 TEXT_BYTES = 16 << 20
 _CHECK = 0x51ED270B
 
-_ROWS = "key bigint, check int, open boolean, met boolean, doc_id {id}, t bigint, u int, place int"
+# ``seen`` packs 32 bits of hash, whether the row is open, whether it met another one, and the place.
+_ROWS = "key bigint, seen bigint, doc_id {id}, t bigint"
+_OPEN, _MET, _PLACE = 1 << 31, 1 << 30, (1 << 30) - 1
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, t, u): a row is known by 96 bits of hash of its id and text."""
+    """(doc_id, text, t): a row is known by its id and the hash of both."""
     return docs.select(
-        "doc_id", F.col("text").cast("binary").alias("text"), F.xxhash64("doc_id", "text").alias("t"),
-        F.hash("text", "doc_id").alias("u"),
+        "doc_id", F.col("text").cast("binary").alias("text"), F.xxhash64("doc_id", "text").alias("t")
     )
 
 
@@ -58,40 +59,40 @@ def _ranks(batch: pa.RecordBatch) -> np.ndarray:
     return order[np.asarray(ids.indices.fill_null(len(names)), np.int64)]
 
 
-def _settled(batch: pa.RecordBatch, words: Words, at: np.ndarray, key: np.ndarray, check: np.ndarray | None):
+def _settled(batch: pa.RecordBatch, words: Words, at: np.ndarray, key: np.ndarray, check: np.ndarray | None) -> pa.RecordBatch:
     """The rows of the windows that begin at the words ``at``.
 
-    ``open``: no smaller document of the batch has the window; ``met``: another document of the batch has it.
-    Rows that are not open get a key of their own, so that a common window's rows spread.
+    Open rows: no smaller document of the batch has the window; rows that met: another document of the batch
+    has it. Rows that are not open get a key of their own, so that a common window's rows spread. Without
+    ``check``, on the first level, documents are told apart by ``t`` alone, which at worst finds too much.
     """
-    check = np.zeros(len(at), np.int64) if check is None else check
-    rank = _ranks(batch)[words.text[at]]
     t = batch.column("t").to_numpy(zero_copy_only=False)
-    order = np.lexsort((at, t[words.text[at]], rank, check, key))
-    at, key, check, rank = at[order], key[order], check[order], rank[order]
-    t = t[words.text[at]]
+    rank = np.unique(t, return_inverse=True)[1] if check is None else _ranks(batch)
+    rank, t = rank[words.text[at]], t[words.text[at]]
+    check = np.zeros(len(at), np.int64) if check is None else check
+    order = np.lexsort((at, t, rank, check, key))
+    at, key, check, rank, t = (x[order] for x in (at, key, check, rank, t))
+    is_open = met = np.empty(0, bool)
     if len(at):
         group = np.append(True, (key[1:] != key[:-1]) | (check[1:] != check[:-1]))
         starts = np.flatnonzero(group)
         size = np.diff(np.append(starts, len(at)))
         is_open = rank == np.repeat(rank[starts], size)
         met = np.repeat(rank[starts] != rank[starts + size - 1], size)
-        again = np.append(False, ~group[1:] & (rank[1:] == rank[:-1]) & (t[1:] == t[:-1]))
-        keep = ~again
-        at, key, check, t, is_open, met = (x[keep] for x in (at, key, check, t, is_open, met))
-        spread = mixed(key ^ mixed(t.view(U64) + words.at[at].astype(U64)))
-        key = np.where(is_open, key, spread)
+        keep_row = np.append(True, group[1:] | (rank[1:] != rank[:-1]) | (t[1:] != t[:-1]))
         # Rows of one text next to each other: what they have in common is compressed away in the exchange.
-        back = np.argsort(at)
-        at, key, check, t, is_open, met = (x[back] for x in (at, key, check, t, is_open, met))
-    else:
-        is_open = met = np.empty(0, bool)
-    texts = words.text[at]
+        order = np.flatnonzero(keep_row)
+        order = order[np.argsort(at[order])]
+        at, key, check, t, is_open, met = (x[order] for x in (at, key, check, t, is_open, met))
+        key = np.where(is_open, key, mixed(key ^ mixed(t.view(U64) + words.at[at].astype(U64))))
+    place = words.at[at]
+    if len(place) and place.max() > _PLACE:
+        raise ValueError(f"a text of more than {_PLACE} words")
+    seen = (check << 32) + is_open * _OPEN + met * _MET + place
     return pa.RecordBatch.from_arrays([
-        pa.array(key.view(np.int64)), pa.array(check.astype(np.int32)), pa.array(is_open), pa.array(met),
-        batch.column("doc_id").take(pa.array(texts)), pa.array(t), batch.column("u").take(pa.array(texts)),
-        pa.array(words.at[at].astype(np.int32)),
-    ], names=["key", "check", "open", "met", "doc_id", "t", "u", "place"])
+        pa.array(key.view(np.int64)), pa.array(seen.astype(np.int64)),
+        batch.column("doc_id").take(pa.array(words.text[at])), pa.array(t),
+    ], names=["key", "seen", "doc_id", "t"])
 
 
 def _lowest(hashes: np.ndarray, words: Words, window: int) -> np.ndarray:
@@ -147,21 +148,28 @@ def _places(marks: pa.Array, words: Words) -> np.ndarray:
     return np.repeat(words.edges[:-1], counts) + np.asarray(pc.list_flatten(marks), np.int64)
 
 
-def _met(rows: DataFrame) -> DataFrame:
-    """``rows`` with ``later``: a smaller document has the window, and ``shared``: another one has it."""
-    order = Window.partitionBy("key", "check", "open").orderBy(F.col("doc_id").isNull(), "doc_id")
-    first, following = F.first(F.struct("doc_id")).over(order), F.lead(F.struct("doc_id")).over(order)
-    found = rows.withColumns({"first": first, "following": following})
-    later = ~F.col("open") | ~F.col("first.doc_id").eqNullSafe(F.col("doc_id"))
-    more = F.col("following").isNotNull() & ~F.col("following.doc_id").eqNullSafe(F.col("doc_id"))
+def _met(rows: DataFrame, name: str = "doc_id") -> DataFrame:
+    """``rows`` with ``later``: a smaller document has the window, and ``shared``: another one has it.
+
+    ``name`` is the column that tells documents apart.
+    """
+    dealt = rows.repartition("key").select(
+        "key", F.shiftright("seen", 32).cast("int").alias("check"), (F.col("seen").bitwiseAND(_OPEN) != 0).alias("open"),
+        (F.col("seen").bitwiseAND(_MET) != 0).alias("met"), F.col("seen").bitwiseAND(_PLACE).cast("int").alias("place"),
+        *rows.columns[2:],
+    )
+    order = Window.partitionBy("key", "check", "open").orderBy(F.col(name).isNull(), name)
+    found = dealt.withColumns({"first": F.first(F.struct(name)).over(order), "following": F.lead(F.struct(name)).over(order)})
+    later = ~F.col("open") | ~F.col(f"first.{name}").eqNullSafe(F.col(name))
+    more = F.col("following").isNotNull() & ~F.col(f"following.{name}").eqNullSafe(F.col(name))
     shared = later | F.col("met") | more
-    return found.select("doc_id", "t", "u", "place", later.alias("later"), shared.alias("shared"))
+    return found.select(*rows.columns[2:], "place", later.alias("later"), shared.alias("shared"))
 
 
 def _marked(texts: DataFrame, rows: DataFrame, how: str) -> DataFrame:
     """``texts`` with the places of their ``rows`` as ``marks``."""
-    marks = rows.groupBy("t", "u").agg(F.collect_set("place").alias("marks"))
-    return texts.join(marks, ["t", "u"], how).select("doc_id", "t", "u", "text", "marks")
+    marks = rows.groupBy("t").agg(F.collect_set("place").alias("marks"))
+    return texts.join(marks, "t", how).select("doc_id", "t", "text", "marks")
 
 
 def _schema(docs: DataFrame) -> str:
@@ -169,16 +177,17 @@ def _schema(docs: DataFrame) -> str:
 
 
 def shared_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, t, u, place, later, shared) of the windows that anchors of several documents lead to.
+    """(doc_id, t, place, later, shared) of the windows that anchors of several documents lead to.
 
-    ``window`` is even. ``place`` is the window's first word, ``t`` and ``u`` name the row of its text. A
+    ``window`` is even. ``place`` is the window's first word, ``t`` the xxhash64 of its row's id and text. A
     window that stands in a text more than once has one row, at its first place. Windows of one document
     alone may be among the rows, with ``shared`` false.
     """
     if window < 2 or window % 2:
         raise ValueError(f"a window has an even number of words, not {window}")
     texts, schema = _texts(docs), _schema(docs)
-    alive = _met(texts.mapInArrow(_anchors(window), schema)).where("shared")
+    anchors = texts.mapInArrow(_anchors(window), schema).drop("doc_id")
+    alive = _met(anchors, "t").where("shared")
     return _met(_marked(texts, alive, "inner").mapInArrow(_extended(window, window), schema))
 
 
