@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from railpulse.llm import (
-    exact_dedup, line_dedup, minhash_dedup, mixing, packing, quality_rules, substring_dedup,
-    suffix_dedup, token_counts, toxicity, url_filter,
+    conversation_repair, exact_dedup, line_dedup, minhash_dedup, mixing, packing, phrases, quality_rules,
+    substring_dedup, suffix_dedup, token_counts, toxicity, url_filter,
 )
 from railpulse.llm.common import table
 
@@ -59,6 +59,14 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary)
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.damaged_and_repaired(table(spark, sf_dir, "conversations"))
+
+
 def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(substring_dedup.cut_repeats(table(spark, sf_dir, "documents")))
 
@@ -66,7 +74,7 @@ def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 _QUERIES: tuple[Query, ...] = (
     op1_suffix_dedup, op2_quality_rules, op3_best_fit_packing, op4_line_dedup, op5_exact_dedup,
     op6_minhash_dedup, op7_toxicity, op8_url_filter, op9_source_mix, op10_token_counts,
-    op13_substring_dedup,
+    op11_phrases, op12_conversation_repair, op13_substring_dedup,
 )
 
 
@@ -80,4 +88,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_exact_dedup": exact_dedup.ORACLE_SQL,
         "op6_minhash_dedup": minhash_dedup.ORACLE_SQL,
         "op9_source_mix": mixing.ORACLE_SQL,
+        "op11_phrases": phrases.ORACLE_SQL,
     }
