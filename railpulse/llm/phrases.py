@@ -36,7 +36,8 @@ FREQUENT = 100
 TOP = 2000
 #: Phrases in one broadcast trie, and bits of the map of phrases that may follow.
 SHARD, MAP_BITS = 1 << 20, 1 << 27
-TEXT_BYTES = 16 << 20
+#: Bytes of text that are worked on at a time, and counts that a task gathers before it hands them on.
+TEXT_BYTES, GATHERED = 4 << 20, 1 << 20
 #: Parts of a language that are ranked by themselves before the language is.
 RANK_PARTS = 64
 NO_LANGUAGE = "und"
@@ -167,22 +168,61 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ], names=["lang", "word", "k", "n"])
 
 
+class Counts:
+    """Counts by key with two numbers each, gathered over several batches."""
+
+    def __init__(self):
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.size = 0
+
+    def add(self, key: np.ndarray, number: np.ndarray, last: np.ndarray) -> None:
+        """Count every row of the arrays once."""
+        _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+        counts = np.bincount(inverse, minlength=len(first))
+        self.parts.append((key[first], number[first], last[first], counts))
+        self.size += len(first)
+        if self.size > 2 * GATHERED:
+            self._merge()
+
+    def _merge(self) -> None:
+        key, number, last, counts = (np.concatenate(x) for x in zip(*self.parts))
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        heads = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, np.int64)
+        sums = np.add.reduceat(counts[order], heads) if len(heads) else counts
+        self.parts = [(key[heads], number[order][heads], last[order][heads], sums)]
+        self.size = len(heads)
+
+    def full(self) -> bool:
+        return self.size > GATHERED
+
+    def taken(self) -> pa.RecordBatch:
+        """The counts so far; the next ones begin at nothing."""
+        if self.parts:
+            self._merge()
+            _, number, last, counts = self.parts[0]
+        else:
+            number = last = counts = np.empty(0, np.int64)
+        self.__init__()
+        return pa.RecordBatch.from_arrays([
+            pa.array(number.astype(np.int32)), pa.array(last.view(np.int64)), pa.array(counts.astype(np.int64)),
+        ], names=["number", "k", "n"])
+
+
 def _candidate_counts(trie, follow, length: int):
-    """Counts of (phrase number, hash of the word behind it) in a batch."""
+    """Counts of (phrase number, hash of the word behind it) in the batches of a task."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gathered = Counts()
         for batch in slices(batches, "text", TEXT_BYTES):
             text = Text(batch)
             at, state = trie.value.states(text, length)
             follows = follow.value.has(windows(text.hashes, length)[at + 1])
             at, state = at[follows], state[follows]
             last = text.hashes[at + length]
-            candidate = mixed(state.astype(U64)) ^ last
-            _, first, inverse = np.unique(candidate, return_index=True, return_inverse=True)
-            counts = np.bincount(inverse, minlength=len(first))
-            yield pa.RecordBatch.from_arrays([
-                pa.array(trie.value.number[state[first]].astype(np.int32)), pa.array(last[first].view(np.int64)),
-                pa.array(counts.astype(np.int64)),
-            ], names=["number", "k", "n"])
+            gathered.add(mixed(state.astype(U64)) ^ last, trie.value.number[state], last)
+            if gathered.full():
+                yield gathered.taken()
+        yield gathered.taken()
 
     return rows
 
