@@ -1,36 +1,43 @@
-"""Fuzzy line dedup by MinHash, in DataFrame operations only.
-
-1. The signature of a line are minimum hashes of twelve-byte shingles: one at the beginning of every
-   word and, in long words, at every byte. Equal lines have one signature; rows are combined in map
-   tasks, so a line that a third of all rows share costs each one row.
-2. Two minhashes make a band key; lines that share one of eight keys are candidates. Eight bands
-   of two miss 1 to 5 of 1000 pairs at a similarity of 0.75, and fewer above.
-3. In every bucket the lines are compared with its first line; buckets that are then still in several
-   components with the next four, sixteen and so on, until no pair is left. Where at least 5 of the
-   16 minhashes agree, which they do for 999 of 1000 pairs of a similarity of 0.65, the Jaccard
-   similarity of the sets of all eight-character shingles decides.
-4. Of every component the first line stays, by doc_id and line number.
-
-Up to step 3 a line is known by a 64-bit hash; the texts of the candidates tell lines of equal hash
-apart, which then are nodes of their own.
+"""Fuzzy line dedup: MinHash signatures of character shingles, bands, exact similarity, components.
+
+1. Of every distinct line the hashes of all its eight-character shingles are taken, and 27 minimum hashes of them.
+   Three make a band key; lines that share one of nine keys are candidates. At a similarity of 0.75 7 of 1000 pairs share
+   none, at 0.8 one of 1000. Keys of three keep lines that are not similar out of each other's buckets.
+2. In every bucket the lines are compared with its most frequent one. Where some are then still apart from
+   it, these are compared with all others of the bucket that they are not connected with already. So
+   every pair of a bucket is either compared or connected through compared ones.
+3. The Jaccard similarity of the two sets of shingles decides, computed from the texts.
+4. Links become components, and of every component the first line stays.
+
+Signatures and similarities are computed in numpy and Python inside tasks: in SQL functions alone they take three times the
+time that the limits allow. Lines travel as 64-bit hashes; texts of candidates only, one for all rows that are
+equal. Rows of one key are counted in the tasks before they are shuffled, so a line that a third of all rows share is a row per
+batch. Nothing but plans passes through the driver.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from railpulse.llm.common import blank_breaks
+from railpulse.llm.common import blank_breaks, slices
 from railpulse.llm.components import components
+from railpulse.llm.wordcodes import U64, mixed, pair_hash, text_bytes
 from railpulse.operators.durable import keep
 
 SHINGLE = 8
 PERCENT = 75
+#: Lines of fewer characters are only ever alone: their few shingles say little.
 SHORTEST_LINE = 40
-BANDS, ROWS = 8, 2
-SIGNED_BYTES = 12
-LONG_WORD = 24
-AGREEING = 5
+BANDS, ROWS = 9, 3
+TEXT_BYTES = 8 << 20
+
+_BASE = U64(0x9E3779B97F4A7C15)
+_SEEDS = [np.uint32((i * 0x9E3779B1) & 0xFFFFFFFF) for i in range(1, BANDS * ROWS + 1)]
 
 
 def plain(line: Column) -> Column:
@@ -38,185 +45,195 @@ def plain(line: Column) -> Column:
     return F.trim(blank_breaks(line))
 
 
-def _seeds() -> list[int]:
-    """Masks of 31 bits, one per minhash: multiples of the golden ratio."""
-    return [(i * 0x9E3779B1) % (1 << 31) for i in range(1, BANDS * ROWS + 1)]
-
-
-def all_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, line) of every line, as it is compared."""
-    split = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
-    return split.select("doc_id", "line_no", plain(F.col("raw")).alias("line"))
+def _all_lines(rows: DataFrame) -> DataFrame:
+    """(doc_id, t, u, line_no, line, h) of every line of ``rows``, which has doc_id, text, t and u."""
+    split = rows.select("doc_id", "t", "u", F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
+    return split.select("doc_id", "t", "u", "line_no", plain(F.col("raw")).alias("line")).withColumn("h", F.xxhash64("line"))
+
+
+def _long(shortest: int) -> Column:
+    return F.length("line") >= shortest
+
+
+def _characters(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A number for every character, and where the lines begin among them."""
+    data, edges = text_bytes(lines)
+    heads = (data & 0xC0) != 0x80
+    if heads.all():
+        return data.astype(U64), edges
+    begin = np.flatnonzero(heads)
+    size = np.diff(np.append(begin, len(data)))
+    found = data[begin].astype(U64)
+    for k in range(1, 4):
+        more = np.flatnonzero(size > k)
+        found[more] |= data[begin[more] + k].astype(U64) << U64(8 * k)
+    return found, np.append(0, np.cumsum(heads))[edges]
+
+
+def _shingle_hashes(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """32 bits for every shingle of lines that have one, and where each line's begin."""
+    now, edges = _characters(lines)
+    reach, base = 1, _BASE
+    while reach < SHINGLE:
+        now = now[:-reach] * base + now[reach:]
+        reach, base = 2 * reach, base * base
+    # A line of n characters has n - 7 shingles; the windows that run into the next line are left out.
+    inside = np.ones(len(now) + SHINGLE - 1, bool)
+    for back in range(1, SHINGLE):
+        inside[edges[1:] - back] = False
+    hashes = (mixed(now[inside[:len(now)]]) >> U64(32)).astype(np.uint32)
+    return hashes, edges[:-1] - (SHINGLE - 1) * np.arange(len(edges) - 1)
+
+
+def _band_keys(lines: pa.Array) -> np.ndarray:
+    """A row per band, a column per line."""
+    hashes, begins = _shingle_hashes(lines)
+    least = [np.minimum.reduceat(hashes ^ seed, begins).astype(U64) for seed in _SEEDS]
+    keys = []
+    for band in range(BANDS):
+        first, second, third = least[band * ROWS:(band + 1) * ROWS]
+        keys.append(pair_hash((first << U64(32)) | second, third, band))
+    return np.array(keys)
+
+
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, h, n) of the distinct lines of a batch; n rows of the batch have the line."""
+    for batch in slices(batches, "line", TEXT_BYTES):
+        h, first, counts = np.unique(batch.column("h").to_numpy(), return_index=True, return_counts=True)
+        if not len(h):
+            continue
+        keys = _band_keys(batch.column("line").take(pa.array(first)))
+        yield pa.RecordBatch.from_arrays([
+            pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.tile(h, BANDS)), pa.array(np.tile(counts, BANDS)),
+        ], names=["key", "h", "n"])
+
+
+def _shingles(line: str) -> set[str]:
+    return {line[i:i + SHINGLE] for i in range(len(line) - SHINGLE + 1)}
+
+
+def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links (u, v) among pairs (h, other, line, other_line)."""
+    last, theirs = None, set()
+    for batch in batches:
+        linked = []
+        columns = (batch.column(name).to_pylist() for name in ("other", "other_line", "line"))
+        for other, other_line, line in zip(*columns):
+            if other != last:  # pairs come sorted by the line that many have in common
+                last, theirs = other, _shingles(other_line)
+            mine = _shingles(line)
+            shared = len(mine & theirs)
+            linked.append(100 * shared >= PERCENT * (len(mine) + len(theirs) - shared))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("h").filter(pa.array(linked, pa.bool_())), batch.column("other").filter(pa.array(linked, pa.bool_()))],
+            names=["u", "v"],
+        )
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, line, h) of every line long enough to be compared."""
-    return all_lines(docs).where(F.length("line") >= SHORTEST_LINE).withColumn("h", F.xxhash64("line"))
+def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (h, other) that are similar, as (u, v)."""
+    others = texts.select(F.col("h").alias("other"), F.col("line").alias("other_line"))
+    both = pairs.join(texts, "h").join(others, "other").select("h", "other", "line", "other_line")
+    return keep(both.mapInArrow(_similar, "u bigint, v bigint"))
 
 
-def signatures(lines: DataFrame) -> DataFrame:
-    """(h, m0, m1, ...) per distinct line."""
-    words = lines.select("h", F.split("line", " ").alias("words"))
-    n = F.size("words")
-    joined = words.select(
-        "h", F.explode(F.arrays_zip(
-            F.col("words").alias("a"), F.slice("words", 2, n).alias("b"), F.slice("words", 3, n).alias("c")
-        )).alias("w"),
-    ).select("h", F.octet_length("w.a").alias("size"), F.concat_ws(" ", "w.a", "w.b", "w.c").cast("binary").alias("part"))
-    starts = F.sequence(F.lit(1), F.greatest(F.col("size") - LONG_WORD, F.lit(1)))
-    hashed = joined.select("h", "part", F.explode(starts).alias("at")).select(
-        "h", F.hash(F.substring("part", F.col("at"), F.lit(SIGNED_BYTES))).alias("shingle")
+def line_components(lines: DataFrame) -> DataFrame:
+    """(h, component) of the lines (h, line) that are linked with other lines."""
+    keyed = lines.select("h", "line").mapInArrow(_signed, "key bigint, h bigint, n bigint")
+    counted = keyed.groupBy("key", "h").agg(F.sum("n").alias("n"))
+    most = F.max(F.struct("n", "h"))
+    buckets = counted.groupBy("key").agg(most.alias("most"), F.count(F.lit(1)).alias("size")).where("size > 1").select(
+        "key", F.col("most.h").alias("pivot")
     )
-    least = [
-        F.min(F.col("shingle").bitwiseXOR(F.lit(seed))).alias(f"m{i}") for i, seed in enumerate(_seeds())
-    ]
-    return hashed.groupBy("h").agg(*least)
-
-
-def buckets_of(signed: DataFrame) -> DataFrame:
-    """(key, h, place, first) of the buckets with two or more lines, ``place`` counted from 1.
-
-    Lines that are equal have been combined: a bucket holds different lines only, and its rows are
-    two numbers that pass through a sort once.
-    """
-    keys = [
-        F.xxhash64(F.lit(band), *[F.col(f"m{band * ROWS + r}") for r in range(ROWS)])
-        for band in range(BANDS)
-    ]
-    keyed = signed.select("h", F.explode(F.array(*keys)).alias("key"))
-    order = Window.partitionBy("key").orderBy("h")
-    numbered = keyed.select(
-        "key", "h", F.row_number().over(order).alias("place"), F.first("h").over(order).alias("first"),
-        F.lead("h").over(order).alias("next"),
+    places = keep(counted.select("key", "h").join(buckets, "key"))
+    wanted = places.select("h").distinct()
+    # One text for all rows with a line, taken in the tasks before the exchange.
+    texts = keep(lines.select("h", "line").groupBy("h").agg(F.first("line").alias("line")).join(wanted, "h"))
+    stars = places.where("h != pivot").select("h", F.col("pivot").alias("other")).distinct()
+    links = _links(stars, texts)
+    parts = keep(components(links))
+    named = parts.select(F.col("node").alias("h"), F.col("component").alias("part"))
+    placed = places.join(named, "h", "left").withColumn("part", F.coalesce("part", "h"))
+    homes = parts.select(F.col("node").alias("pivot"), F.col("component").alias("home"))
+    placed = keep(placed.join(homes, "pivot", "left").withColumn("home", F.coalesce("home", "pivot")))
+    asked = placed.where("part != home").select("key", F.col("h").alias("asked"), F.col("part").alias("asked_part"))
+    rest = (
+        placed.join(asked, "key")
+        .where("part != asked_part AND h != pivot AND (part = home OR h < asked)")
+        .select(F.greatest("h", "asked").alias("h"), F.least("h", "asked").alias("other")).distinct()
     )
-    return numbered.where("place > 1 OR next IS NOT NULL").drop("next")
-
-
-def shingle_set(line: Column) -> Column:
-    """Hashes of the distinct eight-character shingles, on a coding of two bytes a unit."""
-    def of(coded: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.length(coded) - (2 * SHINGLE - 1), F.lit(1)), F.lit(2))
-        return F.array_distinct(
-            F.transform(starts, lambda i: F.xxhash64(F.substring(coded, i, F.lit(2 * SHINGLE))))
-        )
-
-    # A variable of a lambda is computed once, an expression in it for every shingle.
-    return F.get(F.transform(F.array(F.encode(line, "UTF-16BE")), of), 0)
-
-
-def _likely(pairs: DataFrame, signed: DataFrame) -> DataFrame:
-    """The pairs whose signatures agree in at least AGREEING minhashes."""
-    minima = [f"m{i}" for i in range(BANDS * ROWS)]
-    mine = signed.select("h", F.array(*minima).alias("mine"))
-    theirs = signed.select(F.col("h").alias("pivot"), F.array(*minima).alias("theirs"))
-    equal = sum((F.col("mine")[i] == F.col("theirs")[i]).cast("int") for i in range(len(minima)))
-    return (
-        pairs.join(mine, "h").join(theirs, "pivot").where(equal >= AGREEING).select("h", "pivot")
+    more = _links(rest, texts)
+    # Components again, of the links between the components so far.
+    mine = named.select(F.col("h").alias("u"), F.col("part").alias("u_part"))
+    theirs = named.select(F.col("h").alias("v"), F.col("part").alias("v_part"))
+    between = more.join(mine, "u", "left").join(theirs, "v", "left").select(
+        F.coalesce("u_part", "u").alias("u"), F.coalesce("v_part", "v").alias("v")
     )
-
-
-def _verified(pairs: DataFrame, texts: DataFrame, signed: DataFrame) -> DataFrame:
-    """The pairs of hashes whose lines are similar, as pairs of nodes."""
-    others = texts.select(
-        F.col("h").alias("pivot"), F.col("node").alias("other_node"), F.col("line").alias("other")
+    tops = components(between).select(F.col("node").alias("part"), F.col("component").alias("top"))
+    single = more.select(F.explode(F.array("u", "v")).alias("h")).distinct().join(named, "h", "left_anti").select(
+        "h", F.col("h").alias("part")
     )
-
-    def similar(sets: Column) -> Column:
-        one, two = sets[0], sets[1]
-        shared = F.size(F.array_intersect(one, two))
-        return 100 * shared >= PERCENT * (F.size(one) + F.size(two) - shared)
-
-    both = F.array(shingle_set(F.col("line")), shingle_set(F.col("other")))
-    return (
-        _likely(pairs, signed).join(texts, "h").join(others, "pivot")
-        .where((F.col("node") != F.col("other_node")) & F.exists(F.array(both), similar))
-        .select(F.col("node").alias("u"), F.col("other_node").alias("v"))
+    return named.union(single).join(tops, "part", "left").select("h", F.coalesce("top", "part").alias("component"))
+
+
+def _classes(rows: DataFrame, shortest: int) -> DataFrame:
+    """(doc_id, t, u, line_no, first) of every line; ``first`` is the place of the line of its class that stays."""
+    if shortest < SHINGLE:
+        raise ValueError(f"lines of fewer than {SHINGLE} characters have no shingle")
+    lines = _all_lines(rows)
+    known = line_components(lines.where(_long(shortest)).select("h", "line")).select(F.col("h").alias("known"), "component")
+    order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "t", "u", "line_no")
+    long = lines.where(_long(shortest)).select("doc_id", "t", "u", "line_no", "h")
+    named = keep(long.join(known, F.col("h") == F.col("known"), "left").select(
+        "doc_id", "t", "u", "line_no", F.coalesce("component", "h").alias("part")
+    ))
+    firsts = named.groupBy("part").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    joined = named.join(firsts, "part", "left").select(
+        "doc_id", "t", "u", "line_no", F.coalesce("first", order).alias("first")
     )
+    short = lines.where(~_long(shortest)).select("doc_id", "t", "u", "line_no", order.alias("first"))
+    return joined.union(short)
 
 
-def line_components(lines: DataFrame) -> DataFrame:
-    """(h, node, component) of the lines that are linked with other lines."""
-    places = keep(buckets_of(signatures(lines)))
-    wanted = places.select("h").distinct()
-    # One text per line: those of equal hash are told apart by their digests.
-    texts = keep(
-        lines.select("h", "line").join(wanted, "h").distinct()
-        .select("h", F.unhex(F.md5("line")).alias("node"), "line")
-    )
-    signed = keep(signatures(texts))
-    pairs = places.where("place > 1").select("h", F.col("first").alias("pivot")).distinct()
-    links = keep(_verified(pairs, texts, signed))
-    named = texts.select("h", "node")
-    last = 1
-    while True:
-        parts = keep(components(links))
-        grouped = named.join(parts, "node", "left").select(
-            "h", F.coalesce("component", "node").alias("part")
-        )
-        placed = places.select("key", "h", "place").join(grouped, "h")
-        apart = (
-            placed.groupBy("key")
-            .agg(F.min("part").alias("a"), F.max("part").alias("b"), F.max("place").alias("most"))
-            .where((F.col("a") != F.col("b")) & (F.col("most") > last + 1)).select("key")
-        )
-        open_places = keep(placed.join(apart, "key"))
-        pivots = open_places.where(F.col("place").between(last + 1, 4 * last)).select(
-            "key", F.col("h").alias("pivot"), F.col("place").alias("pivot_place"), F.col("part").alias("pivot_part"),
-        )
-        # Lines before the pivot have met it already.
-        pairs = keep(
-            open_places.join(pivots, "key").where("place > pivot_place AND part != pivot_part")
-            .select("h", "pivot").distinct()
-        )
-        if pairs.isEmpty():
-            break
-        links = keep(links.union(_verified(pairs, texts, signed)))
-        last *= 4
-    return parts.join(named, "node").select("h", "node", "component")
+def _is_first() -> Column:
+    same = F.lit(True)
+    for name in ("doc_id", "t", "u", "line_no"):
+        same &= F.col(name).eqNullSafe(F.col(f"first.{name}"))
+    return same
 
 
-def line_classes(docs: DataFrame) -> DataFrame:
+def line_classes(docs: DataFrame, shortest: int = SHORTEST_LINE) -> DataFrame:
     """(doc_id, line_no, first_doc_id, first_line_no, kept), one row for every line of ``docs``.
 
-    Lines are parted by ``\\n`` and compared without outer blanks. Those with fewer than
-    40 characters are in a class of their own. Of linked lines, and of those linked through
-    others, the first stays, by doc_id (NULL last) and line number; rows with one doc_id count as
-    one document. NULL texts have no lines, empty texts have one; an empty table gives no rows;
-    other columns are ignored.
+    Lines are parted by ``\\n`` and compared without outer blanks. Those with fewer than ``shortest``
+    characters are in a class of their own. Of linked lines, and of those linked through
+    others, the first stays: by doc_id (NULL last), among rows of one doc_id or without one by a hash of the
+    text, then by line number; rows alike in doc_id and text are one row and keep the same lines. NULL texts have
+    no lines, empty texts have one; texts and lines are whole, however long; an empty table gives no rows; other columns are ignored.
     """
-    known = line_components(lines_of(docs)).withColumnRenamed("h", "known_h")
-    long = F.length("line") >= SHORTEST_LINE
-    # Short lines get keys of their own, so that they spread over the partitions.
-    own = F.concat_ws(":", F.col("doc_id").cast("string"), F.col("line_no").cast("string"))
-    lines = all_lines(docs).select(
-        "doc_id", "line_no", long.alias("long"), F.xxhash64(F.when(long, F.col("line")).otherwise(own)).alias("h"),
-        F.when(long, F.unhex(F.md5("line"))).otherwise(own.cast("binary")).alias("digest"),
-    )
-    named = lines.join(known, (F.col("h") == F.col("known_h")) & (F.col("digest") == F.col("node")), "left")
-    part = F.coalesce("component", "digest")
-    named = keep(named.select("doc_id", "line_no", "long", part.alias("part")))
-    order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "line_no")
-    groups = (
-        named.where("long").groupBy("part")
-        .agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    )
-    joined = named.join(groups, "part", "left").withColumn("first", F.coalesce("first", order))
-    return joined.select(
-        "doc_id", "line_no", F.col("first.doc_id").alias("first_doc_id"),
-        F.col("first.line_no").alias("first_line_no"), (order == F.col("first")).alias("kept"),
+    rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("t"), F.hash("text", "doc_id").alias("u"))
+    return _classes(rows, shortest).select(
+        "doc_id", "line_no", F.col("first.doc_id").alias("first_doc_id"), F.col("first.line_no").alias("first_line_no"),
+        _is_first().alias("kept"),
     )
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, shortest: int = SHORTEST_LINE) -> DataFrame:
     """The rows of ``docs`` without repeated lines; all rows and columns stay, ``n_chars``
-    follows the text where there is one."""
-    gone = line_classes(docs).where("NOT kept").groupBy(F.col("doc_id").alias("gone_id")).agg(
+    follows the text where there is one.
+
+    Lines as in ``line_classes``, but a row is known by all its columns: rows of one doc_id, or without one, lose
+    only lines of their own, and rows alike in all columns are one row and keep the same lines. A text whose lines all go becomes
+    empty, a NULL text stays NULL; an empty table gives no rows.
+    """
+    packed = docs.select(F.struct("*").alias("row"))
+    known = packed.select("row", F.xxhash64("row").alias("t"), F.hash(F.lit(1), "row").alias("u"))
+    rows = known.select(F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"), "t", "u")
+    gone = _classes(rows, shortest).where(~_is_first()).groupBy(F.col("t").alias("gone_t"), F.col("u").alias("gone_u")).agg(
         F.collect_set("line_no").alias("gone")
     )
-    packed = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"))
-    joined = packed.join(gone, F.col("id").eqNullSafe(F.col("gone_id")), "left").select(
-        "row", "gone", F.split("row.text", "\n").alias("lines")
-    )
+    same = (F.col("t") == F.col("gone_t")) & (F.col("u") == F.col("gone_u"))
+    joined = known.join(gone, same, "left").select("row", "gone", F.split("row.text", "\n").alias("lines"))
     numbers = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
     kept = F.array_join(F.transform(numbers, lambda i: F.get("lines", i)), "\n")
     cut = joined.select(

@@ -9,9 +9,12 @@ all of B, differ; at a similarity of 0.75 that happens to 3 of 1000 pairs.
 2. In each bucket of a table the classes are compared with one pivot, the class that meets most
    others, never with each other. Exact set sizes confirm links.
 3. Where the classes around a pivot are still apart, each class outside of the pivot's component is
-   compared with all classes around it, a block of them at a time, so that a link between two
-   texts that both miss the pivot is found. Only links leave a block.
+   compared with all classes around it, a block of the former with a block of the latter at a time, so that a link
+   between two texts that both miss the pivot is found. A task holds two blocks, smaller ones of longer texts;
+   only links leave them.
 4. Components of the links.
+
+A row is known by a 64-bit hash of its columns, a class by the least of its rows.
 """
 
 from __future__ import annotations
@@ -33,7 +36,8 @@ from railpulse.operators.durable import keep
 SHINGLE = 5
 PERCENT = 75
 BANDS, ROWS = 8, 2
-BLOCK = 1000
+#: Sets in a block, and cells of the table of sets by shingles of the pivot that two blocks fill.
+BLOCK, CELLS = 1000, 1 << 24
 REMEMBERED = 400_000
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -100,10 +104,10 @@ def table_keys(signatures: np.ndarray) -> np.ndarray:
     return _mix(_mix(of_a + number) * _BASE + of_b).reshape(len(signatures), -1)
 
 
-def _digests(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, low, high, sig): size and digest of each set, and its signature."""
+def _digests(rows: DataFrame) -> DataFrame:
+    """(doc_id, row, n, low, high, sig): size and digest of each set, and its signature."""
     schema = T.StructType([
-        docs.schema["doc_id"],
+        rows.schema["doc_id"], T.StructField("row", T.LongType()),
         *[T.StructField(n, T.LongType()) for n in ("n", "low", "high")],
         T.StructField("sig", T.BinaryType()),
     ])
@@ -119,12 +123,12 @@ def _digests(docs: DataFrame) -> DataFrame:
                 highs.append(int((_mix(found + _BASE)).sum(dtype=np.uint64).view(np.int64)))
                 sigs.append(signature(found).tobytes() if len(found) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(lows, pa.int64()),
+                [batch.column("doc_id"), batch.column("row"), pa.array(sizes, pa.int64()), pa.array(lows, pa.int64()),
                  pa.array(highs, pa.int64()), pa.array(sigs, pa.binary())],
                 names=[f.name for f in schema],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(digest, schema)
+    return rows.select("doc_id", "row", "text").mapInArrow(digest, schema)
 
 
 def _keyed(classes: DataFrame) -> DataFrame:
@@ -157,10 +161,10 @@ def _star_pairs(buckets: DataFrame) -> DataFrame:
     """
     fame = buckets.groupBy("node").agg(F.sum("members").alias("fame"))
     known = buckets.join(fame, "node")
-    pivots = known.groupBy("key").agg(F.max(F.struct("fame", (-F.col("node")).alias("node"))).alias("best"))
+    pivots = known.groupBy("key").agg(F.max(F.struct("fame", F.bitwise_not("node").alias("node"))).alias("best"))
     return (
         buckets.join(pivots, "key")
-        .select("node", (-F.col("best.node")).alias("pivot"))
+        .select("node", F.bitwise_not("best.node").alias("pivot"))
         .where("node != pivot").distinct()
     )
 
@@ -169,11 +173,10 @@ def linked(shared: Column, one: Column, other: Column) -> Column:
     return 100 * shared >= PERCENT * (one + other - shared)
 
 
-def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, shingles) of the named documents."""
+def _sets(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, shingles) of the classes that ``nodes`` names, from one of the rows that are alike."""
     schema = T.StructType([
-        T.StructField("node", docs.schema["doc_id"].dataType),
-        T.StructField("shingles", T.ArrayType(T.LongType())),
+        T.StructField("node", T.LongType()), T.StructField("shingles", T.ArrayType(T.LongType())),
     ])
 
     def collect(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,10 +186,10 @@ def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             offsets = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
             values = np.concatenate(found) if found else np.empty(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], names=["node", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), lists], names=["node", "shingles"])
 
-    wanted = docs.select("doc_id", "text").join(nodes.select(F.col("node").alias("doc_id")), "doc_id")
-    return wanted.mapInArrow(collect, schema)
+    wanted = rows.select("row", "text").join(nodes.select(F.col("node").alias("row")), "row")
+    return wanted.groupBy("row").agg(F.first("text").alias("text")).mapInArrow(collect, schema)
 
 
 def links_within(sets: list[np.ndarray], pivot: np.ndarray, asked: np.ndarray) -> list[tuple[int, int]]:
@@ -233,64 +236,74 @@ def links_within(sets: list[np.ndarray], pivot: np.ndarray, asked: np.ndarray) -
 
 def _rest_links(pairs: DataFrame, parts: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (u, v) between classes around one pivot that the star of the pivot has left apart."""
-    kind = sets.schema["node"].dataType
     around = pairs.union(pairs.select(F.col("pivot"), F.col("pivot")).distinct())
     placed = around.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
     home = placed.where("node = pivot").select("pivot", F.col("part").alias("home"))
     placed = placed.join(home, "pivot").withColumn("asked", F.col("part") != F.col("home"))
+    sizes = sets.select(F.col("node").alias("pivot"), F.size("shingles").alias("n_pivot"))
+    block = F.greatest(F.lit(16), F.least(F.lit(BLOCK), F.lit(CELLS) / (2 * F.col("n_pivot"))))
     apart = (
         placed.groupBy("pivot")
         .agg(F.count_if("asked").alias("n_asked"), F.count(F.lit(1)).alias("n"))
-        .where("n_asked > 1 OR (n_asked > 0 AND n > n_asked + 1)")
-        .select("pivot", F.ceil(F.col("n_asked") / BLOCK).cast("int").alias("blocks"))
+        .where("n_asked > 1 OR (n_asked > 0 AND n > n_asked + 1)").join(sizes, "pivot")
+        .select("pivot", F.ceil(F.col("n_asked") / block).cast("int").alias("askers"), F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     )
-    # Every block holds its share of the texts to ask about and all texts of the group.
-    members = placed.select("pivot", "node", "asked").join(apart, "pivot").select(
-        "pivot", "node", "asked", (F.pmod(F.xxhash64("node"), F.col("blocks"))).cast("int").alias("own"),
-        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
+    # A block of classes to ask about meets every block of the group; the pivot is in all of them.
+    members = placed.select("pivot", "node", "asked").join(apart, "pivot").withColumns({
+        "own": F.pmod(F.xxhash64("node"), F.col("askers")).cast("int"),
+        "place": F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int"),
+    })
+
+    def dealt(some: DataFrame, asker: Column, block: Column, here: bool) -> DataFrame:
+        return some.select("pivot", asker.alias("asker"), "node", block.alias("block"), F.lit(here).alias("here"))
+
+    def all_of(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    rest = members.where("node != pivot")
+    pivots = members.where("node = pivot").select("*", all_of("askers").alias("one"))
+    meetings = (
+        dealt(rest.where("asked"), F.col("own"), all_of("blocks"), True)
+        .union(dealt(rest, all_of("askers"), F.col("place"), False))
+        .union(dealt(pivots, F.col("one"), all_of("blocks"), False))
     )
-    schema = T.StructType([T.StructField("u", kind), T.StructField("v", kind)])
+    schema = T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.LongType())])
 
     def search(key: tuple, group: pa.Table) -> pa.Table:
         nodes = group.column("node").to_numpy()
+        here = group.column("here").to_numpy(zero_copy_only=False)
+        asked_nodes = set(nodes[here].tolist())
+        # A class that is asked about may be in the other block as well: it is taken once.
+        nodes, first = np.unique(nodes, return_index=True)
+        group = group.take(first)
         group_sets = [np.sort(np.asarray(s, np.int64)) for s in group.column("shingles").to_numpy()]
-        asked = np.flatnonzero(group.column("here").to_numpy(zero_copy_only=False))
+        asked = np.flatnonzero([node in asked_nodes for node in nodes.tolist()])
         pivot = group_sets[int(np.flatnonzero(nodes == key[0].as_py())[0])]
-        found = links_within(group_sets, pivot, asked)
-        return pa.table(
-            {"u": pa.array([nodes[a] for a, _ in found], group.schema.field("node").type),
-             "v": pa.array([nodes[b] for _, b in found], group.schema.field("node").type)}
-        )
+        found = links_within(group_sets, pivot, asked) if len(asked) else []
+        return pa.table({
+            "u": pa.array([nodes[a] for a, _ in found], pa.int64()), "v": pa.array([nodes[b] for _, b in found], pa.int64())
+        })
 
-    return (
-        members.join(sets, "node")
-        .select("pivot", "block", "node", "shingles", (F.col("asked") & (F.col("own") == F.col("block"))).alias("here"))
-        .groupBy("pivot", "block").applyInArrow(search, schema)
-    )
+    return meetings.join(sets, "node").select("pivot", "asker", "block", "node", "shingles", "here").groupBy(
+        "pivot", "asker", "block"
+    ).applyInArrow(search, schema)
 
 
-def near_components(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of ``docs``.
+def _class_components(rows: DataFrame, digests: DataFrame, one_document: bool = False) -> DataFrame:
+    """(n, low, high, component) of every class of texts.
 
-    Words are parted by white space, A-Z in lower case. A set has the distinct shingles of five
-    words, or the whole sequence of fewer words. Texts are linked where 100 times the
-    common shingles are at least 75 times the united ones. Texts without words are alone,
-    and so are rows without a doc_id, whose component is NULL; rows with one doc_id
-    count as one text for links and component. An empty table gives no rows, other
-    columns are ignored.
+    ``rows`` has row and text. With ``one_document`` the classes of rows of one doc_id are linked, too.
     """
-    digests = keep(_digests(docs))
     mark = ["n", "low", "high"]
     classes = keep(
-        digests.where("n > 0 AND doc_id IS NOT NULL").groupBy(*mark)
-        .agg(F.min("doc_id").alias("node"), F.min("sig").alias("sig"))
+        digests.where("n > 0").groupBy(*mark).agg(F.min("row").alias("node"), F.min("sig").alias("sig"))
     )
     keyed = _keyed(classes)
     crowded = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     buckets = keep(keyed.join(crowded, "key"))
     pairs = keep(_star_pairs(buckets))
     nodes = pairs.select("node").union(pairs.select("pivot")).distinct()
-    sets = keep(_sets(docs, nodes))
+    sets = keep(_sets(rows, nodes))
     shared = F.size(F.array_intersect("shingles", "pivot_shingles"))
     stars = keep(
         pairs.join(sets, "node")
@@ -299,28 +312,74 @@ def near_components(docs: DataFrame) -> DataFrame:
         .select(F.col("node").alias("u"), F.col("pivot").alias("v"))
     )
     parts = keep(components(stars))
-    rest = keep(_rest_links(pairs, parts, sets))
-    # Components again, of the few rest links between the components so far.
+    rest = _rest_links(pairs, parts, sets)
     named = parts.select("node", "component")
+    classes = classes.drop("sig")
+    if one_document:
+        placed = digests.where("n > 0").join(classes, mark).select("doc_id", "node")
+        least = placed.groupBy("doc_id").agg(F.min("node").alias("v"), F.max("node").alias("most")).where("v < most")
+        rest = rest.union(placed.join(least, "doc_id").where("node != v").select("node", "v").distinct())
+    rest = keep(rest)
+    # Components again, of the few rest links between the components so far.
     higher = (
         rest.join(named.select(F.col("node").alias("u"), F.col("component").alias("cu")), "u", "left")
         .join(named.select(F.col("node").alias("v"), F.col("component").alias("cv")), "v", "left")
         .select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v"))
     )
-    joined = components(higher).select(F.col("node").alias("lower"), F.col("component").alias("top"))
-    grouped = digests.join(classes.drop("sig"), mark, "left")
-    first = grouped.join(named, "node", "left").withColumn("first", F.coalesce("component", "node"))
-    return first.join(joined, F.col("first") == F.col("lower"), "left").select(
-        "doc_id", F.col("n").alias("n_shingles"),
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("top", "first", "doc_id")).alias("component_id"),
-    ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    joined = components(higher).select(F.col("node").alias("part"), F.col("component").alias("top"))
+    tops = classes.join(named, "node", "left").withColumn("part", F.coalesce("component", "node")).join(
+        joined, "part", "left"
+    )
+    return tops.select(*mark, F.coalesce("top", "part").alias("component"))
+
+
+def near_components(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row of ``docs``.
+
+    Words are parted by white space, A-Z in lower case. A set has the distinct shingles of five
+    words, or the whole sequence of fewer words. Texts are linked where 100 times the
+    common shingles are at least 75 times the united ones. Texts without words are alone,
+    and so are rows without a doc_id, whose component is NULL; rows with one doc_id
+    are one document: what is linked with one of them is linked with all. Texts are whole, however long. An
+    empty table gives no rows, other columns are ignored.
+    """
+    rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
+    digests = keep(_digests(rows))
+    named = digests.where("doc_id IS NOT NULL")
+    found = _class_components(rows, named, one_document=True)
+    placed = named.where("n > 0").join(found, ["n", "low", "high"])
+    smallest = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    ids = placed.select("doc_id", "component").distinct().join(smallest, "component").select(
+        F.col("doc_id").alias("known_id"), "component_id"
+    )
+    return digests.select("doc_id", F.col("n").alias("n_shingles")).join(
+        ids, F.col("doc_id") == F.col("known_id"), "left"
+    ).select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn(
+        "kept", F.col("doc_id").eqNullSafe(F.col("component_id"))
+    )
 
 
 def without_near_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay: one text of every component, columns unchanged."""
-    gone = near_components(docs).where("NOT kept").select(F.col("doc_id").alias("gone"))
-    packed = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"))
-    return packed.join(gone, F.col("id") == F.col("gone"), "left_anti").select("row.*")
+    """The rows of ``docs`` that stay: one row of every group of linked texts, columns unchanged.
+
+    Links as in ``near_components``, but between rows: rows of one doc_id, or without one, are
+    different documents here. The row with the smallest doc_id stays (NULL last), among rows of one id
+    that of the least hash, of rows alike in all columns any one. Rows without words all stay. An empty table
+    gives no rows.
+    """
+    packed = docs.select(F.struct("*").alias("packed")).select("packed", F.xxhash64("packed").alias("row"))
+    rows = packed.select(F.col("packed.doc_id").alias("doc_id"), F.col("packed.text").alias("text"), "row")
+    digests = keep(_digests(rows))
+    found = _class_components(rows, digests)
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")
+    placed = digests.where("n > 0").join(found, ["n", "low", "high"])
+    firsts = placed.groupBy("component").agg(F.min(order).alias("first")).select(F.col("first.row").alias("row"))
+    copies = digests.groupBy("row").agg(F.count(F.lit(1)).alias("copies"), F.max("n").alias("n"))
+    stays = copies.where("n = 0").unionByName(copies.where("n > 0").join(firsts, "row", "left_semi"))
+    kept = packed.join(stays, "row")
+    once = kept.where("copies = 1 OR n = 0").select("packed")
+    alike = kept.where("copies > 1 AND n > 0").groupBy("row").agg(F.first("packed").alias("packed")).select("packed")
+    return once.union(alike).select("packed.*")
 
 
 ORACLE_SQL = """
