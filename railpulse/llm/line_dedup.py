@@ -9,10 +9,11 @@
 3. The Jaccard similarity of the two sets of shingles decides, computed from the texts.
 4. Links become components, and of every component the first line stays.
 
-Signatures and similarities are computed in numpy and Python inside tasks: in SQL functions alone they take three times the
+Lines are cut, signed and compared in numpy and Python inside tasks: in SQL functions alone this takes three times the
 time that the limits allow. Lines travel as 64-bit hashes; texts of candidates only, one for all rows that are
 equal. Rows of one key are counted in the tasks before they are shuffled, so a line that a third of all rows share is a row per
-batch. Nothing but plans passes through the driver.
+batch. Besides plans, the driver holds one bit map of at most ``MAP_BITS`` bits: the lines whose texts are wanted, and more of
+them if it is crowded, which a join then drops.
 """
 
 from __future__ import annotations
@@ -21,11 +22,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from railpulse.llm.common import blank_breaks, slices
+from railpulse.llm.common import slices
 from railpulse.llm.components import components
+from railpulse.llm.phrases import BitMap
 from railpulse.llm.wordcodes import U64, mixed, pair_hash, text_bytes
 from railpulse.operators.durable import keep
 
@@ -35,77 +38,221 @@ PERCENT = 75
 SHORTEST_LINE = 40
 BANDS, ROWS = 9, 3
 TEXT_BYTES = 8 << 20
+MAP_BITS = 1 << 27
 
-_BASE = U64(0x9E3779B97F4A7C15)
-_SEEDS = [np.uint32((i * 0x9E3779B1) & 0xFFFFFFFF) for i in range(1, BANDS * ROWS + 1)]
+_BASE = 0x9E3779B97F4A7C15
+_SEEDS = [(i * 0x9E3779B1) & 0xFFFFFFFF for i in range(1, BANDS * ROWS + 1)]
+_NOTHING = np.uint32(0xFFFFFFFF)
+# Word breaks count as blanks; a line ends at a newline.
+_BLANKED = np.arange(256, dtype=np.uint8)
+_BLANKED[[9, 11, 12, 13]] = 32
 
 
-def plain(line: Column) -> Column:
-    """The line as it is compared: word breaks as blanks, none at the ends."""
-    return F.trim(blank_breaks(line))
-
-
-def _all_lines(rows: DataFrame) -> DataFrame:
-    """(doc_id, t, u, line_no, line, h) of every line of ``rows``, which has doc_id, text, t and u."""
-    split = rows.select("doc_id", "t", "u", F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
-    return split.select("doc_id", "t", "u", "line_no", plain(F.col("raw")).alias("line")).withColumn("h", F.xxhash64("line"))
-
-
-def _long(shortest: int) -> Column:
-    return F.length("line") >= shortest
-
-
-def _characters(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """A number for every character, and where the lines begin among them."""
-    data, edges = text_bytes(lines)
-    heads = (data & 0xC0) != 0x80
-    if heads.all():
-        return data.astype(U64), edges
-    begin = np.flatnonzero(heads)
-    size = np.diff(np.append(begin, len(data)))
-    found = data[begin].astype(U64)
-    for k in range(1, 4):
-        more = np.flatnonzero(size > k)
-        found[more] |= data[begin[more] + k].astype(U64) << U64(8 * k)
-    return found, np.append(0, np.cumsum(heads))[edges]
-
-
-def _shingle_hashes(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """32 bits for every shingle of lines that have one, and where each line's begin."""
-    now, edges = _characters(lines)
-    reach, base = 1, _BASE
-    while reach < SHINGLE:
-        now = now[:-reach] * base + now[reach:]
-        reach, base = 2 * reach, base * base
-    # A line of n characters has n - 7 shingles; the windows that run into the next line are left out.
-    inside = np.ones(len(now) + SHINGLE - 1, bool)
-    for back in range(1, SHINGLE):
-        inside[edges[1:] - back] = False
-    hashes = (mixed(now[inside[:len(now)]]) >> U64(32)).astype(np.uint32)
-    return hashes, edges[:-1] - (SHINGLE - 1) * np.arange(len(edges) - 1)
+class Lines:
+    """The lines of a batch of texts, without outer blanks: ``text`` number, ``no`` in the text, bytes from ``begin`` to ``end`` of ``data``.
 
+    A NULL text has no lines. ``heads`` says where characters begin, or is None if every byte is one.
+    """
 
-def _band_keys(lines: pa.Array) -> np.ndarray:
+    def __init__(self, texts: pa.Array):
+        there = np.asarray(texts.is_valid())
+        data, edges = text_bytes(texts)
+        self.data = data = _BLANKED[data]
+        breaks = np.flatnonzero(data == 10)
+        counts = 1 + np.diff(np.searchsorted(breaks, edges))
+        begin = np.sort(np.concatenate([edges[:-1], breaks + 1]))
+        end = np.sort(np.concatenate([edges[1:], breaks]))
+        text = np.repeat(np.arange(len(counts)), counts)
+        no = np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts)
+        self.begin, self.end, self.text, self.no = (x[there[text]] for x in (begin, end, text, no))
+        self._trim()
+        heads = (data & 0xC0) != 0x80
+        self.heads = None if heads.all() else heads
+        if self.heads is None:
+            self.first, self.last = self.begin, self.end
+        else:
+            before = np.append(0, np.cumsum(heads))
+            self.first, self.last = before[self.begin], before[self.end]
+        self.chars = self.last - self.first
+
+    def _trim(self) -> None:
+        data = np.append(self.data, np.uint8(0))
+        for edge, other, step in ((self.begin, self.end, 1), (self.end, self.begin, -1)):
+            live = np.arange(len(edge))
+            for turn in range(64):
+                at = edge[live] - (step < 0)
+                live = live[(edge[live] != other[live]) & (data[at] == 32)]
+                if not len(live):
+                    break
+                edge[live] += step
+            for i in live.tolist():  # very many blanks
+                rest = self.data[self.begin[i]:self.end[i]].tobytes()
+                edge[i] += step * (len(rest) - len(rest.lstrip(b" ") if step > 0 else rest.rstrip(b" ")))
+
+    def bytes_of(self, which: np.ndarray) -> list[bytes]:
+        whole = self.data.tobytes()
+        return [whole[a:b] for a, b in zip(self.begin[which].tolist(), self.end[which].tolist())]
+
+    def hashes(self, which: np.ndarray) -> np.ndarray:
+        digest, whole = xxhash.xxh3_64_intdigest, memoryview(self.data.tobytes())
+        found = (digest(whole[a:b]) for a, b in zip(self.begin[which].tolist(), self.end[which].tolist()))
+        return np.fromiter(found, U64, len(which)).view(np.int64)
+
+    def _characters(self) -> np.ndarray:
+        """A number for every character."""
+        if self.heads is None:
+            return self.data.astype(U64)
+        begin = np.flatnonzero(self.heads)
+        size = np.diff(np.append(begin, len(self.data)))
+        found = self.data[begin].astype(U64)
+        for k in range(1, 4):
+            more = np.flatnonzero(size > k)
+            found[more] |= self.data[begin[more] + k].astype(U64) << U64(8 * k)
+        return found
+
+    def shingles(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """32 bits for every shingle of the lines ``which``, in order, and where each line's begin."""
+        now = self._characters()
+        size, reach, base = len(now), 1, _BASE
+        while reach < SHINGLE:
+            now = now[:-reach] * U64(base) + now[reach:]
+            reach, base = 2 * reach, base * base % (1 << 64)
+        steps = np.zeros(size + 1, np.int8)
+        steps[self.first[which]] += 1
+        steps[self.last[which] - SHINGLE + 1] -= 1
+        inside = np.cumsum(steps[:len(now)], dtype=np.int8) > 0
+        n = self.chars[which] - SHINGLE + 1
+        return (mixed(now[inside]) >> U64(32)).astype(np.uint32), np.cumsum(n) - n
+
+
+def _minima(hashes: np.ndarray, begins: np.ndarray) -> list[np.ndarray]:
+    """The least of ``hash ^ seed`` for every seed, of every line.
+
+    The least has the two highest bits of its seed, so each seed looks at a quarter of the hashes only; a line without
+    any of these, one of 10,000 of the shortest, has none.
+    """
+    least: dict[int, np.ndarray] = {}
+    quarter_of = (hashes >> np.uint32(30)).astype(np.uint8)
+    for quarter in range(4):
+        mine = quarter_of == quarter
+        before = np.append(0, np.cumsum(mine))
+        starts = before[begins]
+        empty = starts == before[np.append(begins[1:], len(hashes))]
+        some = np.append(hashes[mine], np.uint32(0))
+        for i, seed in enumerate(_SEEDS):
+            if seed >> 30 == quarter:
+                found = np.minimum.reduceat(some ^ np.uint32(seed), starts)
+                least[i] = np.where(empty, _NOTHING, found).astype(U64)
+    return [least[i] for i in range(len(_SEEDS))]
+
+
+def _band_keys(lines: Lines, which: np.ndarray) -> np.ndarray:
     """A row per band, a column per line."""
-    hashes, begins = _shingle_hashes(lines)
-    least = [np.minimum.reduceat(hashes ^ seed, begins).astype(U64) for seed in _SEEDS]
-    keys = []
+    least, keys = _minima(*lines.shingles(which)), []
     for band in range(BANDS):
         first, second, third = least[band * ROWS:(band + 1) * ROWS]
         keys.append(pair_hash((first << U64(32)) | second, third, band))
     return np.array(keys)
 
 
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _signed(shortest: int):
     """(key, h, n) of the distinct lines of a batch; n rows of the batch have the line."""
-    for batch in slices(batches, "line", TEXT_BYTES):
-        h, first, counts = np.unique(batch.column("h").to_numpy(), return_index=True, return_counts=True)
-        if not len(h):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", TEXT_BYTES):
+            lines = Lines(batch.column("text"))
+            which = np.flatnonzero(lines.chars >= shortest)
+            if not len(which):
+                continue
+            h, first, counts = np.unique(lines.hashes(which), return_index=True, return_counts=True)
+            order = np.argsort(first)  # shingles come in the order of lines
+            h, counts = h[order], counts[order]
+            keys = _band_keys(lines, which[first[order]])
+            yield pa.RecordBatch.from_arrays([
+                pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.tile(h, BANDS)),
+                pa.array(np.tile(counts.astype(np.int64), BANDS)),
+            ], names=["key", "h", "n"])
+
+    return rows
+
+
+def _crowded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (key, h, n) sorted by key and h those of keys with several lines, rows of one line added up."""
+    held = tuple(np.empty(0, np.int64) for _ in range(3))  # rows of the last key, one a line
+    told = None  # a key that is known to have several
+    def put(key, h, n):
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(h), pa.array(n)], names=["key", "h", "n"])
+
+    for batch in batches:
+        key, h, n = (np.append(a, batch.column(c).to_numpy()) for a, c in zip(held, ("key", "h", "n")))
+        if not len(key):
             continue
-        keys = _band_keys(batch.column("line").take(pa.array(first)))
-        yield pa.RecordBatch.from_arrays([
-            pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.tile(h, BANDS)), pa.array(np.tile(counts, BANDS)),
-        ], names=["key", "h", "n"])
+        new = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (h[1:] != h[:-1])))
+        key, h, n = key[new], h[new], np.add.reduceat(n, new)
+        group = np.cumsum(np.append(True, key[1:] != key[:-1])) - 1
+        several = (np.bincount(group) > 1)[group] | ((key == told) if told is not None else False)
+        last = group == group[-1]
+        told = key[-1] if several[-1] else None
+        # The last line may go on in the next batch; the other lines of its key are ready if there are several.
+        ready = several.copy()
+        ready[-1] = False
+        held = (key[-1:], h[-1:], n[-1:])
+        if not several[-1]:
+            ready &= ~last
+        yield put(key[ready], h[ready], n[ready])
+    if told is not None:
+        yield put(*held)
+
+
+def _texts_of(wanted, shortest: int):
+    """(h, line) of the lines that the bit map has, one row a batch and line."""
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", TEXT_BYTES):
+            lines = Lines(batch.column("text"))
+            which = np.flatnonzero(lines.chars >= shortest)
+            h, first = np.unique(lines.hashes(which), return_index=True)
+            there = wanted.value.has(mixed(h.view(U64)))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(h[there]), pa.array(lines.bytes_of(which[first[there]]), pa.binary())], names=["h", "line"]
+            )
+
+    return rows
+
+
+def _places_of(shortest: int):
+    """(doc_id, t, u, line_no, h) of all lines; h is NULL for short ones."""
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", TEXT_BYTES):
+            lines = Lines(batch.column("text"))
+            long = lines.chars >= shortest
+            h = np.zeros(len(long), np.int64)
+            h[long] = lines.hashes(np.flatnonzero(long))
+            of = pa.array(lines.text)
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c).take(of) for c in ("doc_id", "t", "u")), pa.array(lines.no.astype(np.int32)), pa.array(h, mask=~long)],
+                names=["doc_id", "t", "u", "line_no", "h"],
+            )
+
+    return rows
+
+
+def _bit_map(wanted: DataFrame) -> BitMap:
+    """Of the lines (h); at most MAP_BITS / 64 rows come to the driver."""
+    count, bits = wanted.count(), 64
+    while bits < min(64 * count, MAP_BITS):
+        bits *= 2
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bit = mixed(batch.column("h").to_numpy().view(U64)) & U64(bits - 1)
+            place, inverse = np.unique(bit >> U64(6), return_inverse=True)
+            marks = np.zeros(len(place), U64)
+            np.bitwise_or.at(marks, inverse, U64(1) << (bit & U64(63)))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(place.astype(np.int64)), pa.array(marks.view(np.int64))], names=["place", "mark"]
+            )
+
+    found = wanted.mapInArrow(cells, "place bigint, mark bigint").groupBy("place").agg(F.bit_or("mark").alias("mark")).toArrow()
+    return BitMap(bits, np.asarray(found.column("place"), np.int64), np.asarray(found.column("mark"), np.int64))
 
 
 def _shingles(line: str) -> set[str]:
@@ -137,18 +284,24 @@ def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return keep(both.mapInArrow(_similar, "u bigint, v bigint"))
 
 
-def line_components(lines: DataFrame) -> DataFrame:
-    """(h, component) of the lines (h, line) that are linked with other lines."""
-    keyed = lines.select("h", "line").mapInArrow(_signed, "key bigint, h bigint, n bigint")
-    counted = keyed.groupBy("key", "h").agg(F.sum("n").alias("n"))
-    most = F.max(F.struct("n", "h"))
-    buckets = counted.groupBy("key").agg(most.alias("most"), F.count(F.lit(1)).alias("size")).where("size > 1").select(
+def line_components(texts: DataFrame, shortest: int) -> DataFrame:
+    """(h, component) of the lines in ``texts`` (text) that are linked with other lines."""
+    spark = texts.sparkSession
+    keyed = texts.select("text").mapInArrow(_signed(shortest), "key bigint, h bigint, n bigint")
+    crowded = keep(
+        keyed.repartition("key").sortWithinPartitions("key", "h").mapInArrow(_crowded, "key bigint, h bigint, n bigint")
+    )
+    buckets = crowded.groupBy("key").agg(F.max(F.struct("n", "h")).alias("most")).select(
         "key", F.col("most.h").alias("pivot")
     )
-    places = keep(counted.select("key", "h").join(buckets, "key"))
-    wanted = places.select("h").distinct()
-    # One text for all rows with a line, taken in the tasks before the exchange.
-    texts = keep(lines.select("h", "line").groupBy("h").agg(F.first("line").alias("line")).join(wanted, "h"))
+    places = crowded.select("key", "h").join(buckets, "key")
+    wanted = keep(crowded.select("h").distinct())
+    map_of = spark.sparkContext.broadcast(_bit_map(wanted))
+    lines = texts.select("text").mapInArrow(_texts_of(map_of, shortest), "h bigint, line binary")
+    texts = keep(
+        lines.groupBy("h").agg(F.min("line").alias("line")).join(wanted, "h")
+        .select("h", F.col("line").cast("string").alias("line"))
+    )
     stars = places.where("h != pivot").select("h", F.col("pivot").alias("other")).distinct()
     links = _links(stars, texts)
     parts = keep(components(links))
@@ -177,22 +330,26 @@ def line_components(lines: DataFrame) -> DataFrame:
 
 
 def _classes(rows: DataFrame, shortest: int) -> DataFrame:
-    """(doc_id, t, u, line_no, first) of every line; ``first`` is the place of the line of its class that stays."""
+    """(doc_id, t, u, line_no, first) of every line; ``first`` is the place of the line of its class that stays.
+
+    ``rows`` has doc_id, t, u and text as bytes.
+    """
     if shortest < SHINGLE:
         raise ValueError(f"lines of fewer than {SHINGLE} characters have no shingle")
-    lines = _all_lines(rows)
-    known = line_components(lines.where(_long(shortest)).select("h", "line")).select(F.col("h").alias("known"), "component")
+    known = line_components(rows, shortest).select(F.col("h").alias("known"), "component")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    lines = rows.mapInArrow(_places_of(shortest), f"doc_id {kind}, t bigint, u int, line_no int, h bigint")
     order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "t", "u", "line_no")
-    long = lines.where(_long(shortest)).select("doc_id", "t", "u", "line_no", "h")
-    named = keep(long.join(known, F.col("h") == F.col("known"), "left").select(
+    named = keep(lines.join(known, F.col("h") == F.col("known"), "left").select(
         "doc_id", "t", "u", "line_no", F.coalesce("component", "h").alias("part")
     ))
-    firsts = named.groupBy("part").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    joined = named.join(firsts, "part", "left").select(
+    firsts = named.where("part IS NOT NULL").groupBy("part").agg(
+        F.min(order).alias("first"), F.count(F.lit(1)).alias("n")
+    ).where("n > 1")
+    # Short lines are of no part: each is its own first one.
+    return named.join(firsts, "part", "left").select(
         "doc_id", "t", "u", "line_no", F.coalesce("first", order).alias("first")
     )
-    short = lines.where(~_long(shortest)).select("doc_id", "t", "u", "line_no", order.alias("first"))
-    return joined.union(short)
 
 
 def _is_first() -> Column:
@@ -211,7 +368,10 @@ def line_classes(docs: DataFrame, shortest: int = SHORTEST_LINE) -> DataFrame:
     text, then by line number; rows alike in doc_id and text are one row and keep the same lines. NULL texts have
     no lines, empty texts have one; texts and lines are whole, however long; an empty table gives no rows; other columns are ignored.
     """
-    rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("t"), F.hash("text", "doc_id").alias("u"))
+    rows = docs.select(
+        "doc_id", F.xxhash64("doc_id", "text").alias("t"), F.hash("text", "doc_id").alias("u"),
+        F.col("text").cast("binary").alias("text"),
+    )
     return _classes(rows, shortest).select(
         "doc_id", "line_no", F.col("first.doc_id").alias("first_doc_id"), F.col("first.line_no").alias("first_line_no"),
         _is_first().alias("kept"),
@@ -228,7 +388,9 @@ def dedup_lines(docs: DataFrame, shortest: int = SHORTEST_LINE) -> DataFrame:
     """
     packed = docs.select(F.struct("*").alias("row"))
     known = packed.select("row", F.xxhash64("row").alias("t"), F.hash(F.lit(1), "row").alias("u"))
-    rows = known.select(F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"), "t", "u")
+    rows = known.select(
+        F.col("row.doc_id").alias("doc_id"), "t", "u", F.col("row.text").cast("binary").alias("text")
+    )
     gone = _classes(rows, shortest).where(~_is_first()).groupBy(F.col("t").alias("gone_t"), F.col("u").alias("gone_u")).agg(
         F.collect_set("line_no").alias("gone")
     )

@@ -2,10 +2,11 @@
 
 Every document has a fixed place in [0, 1) from a hash of its id. Sizes are summed by
 source and hash bucket; along the buckets of a source the sums show where its budget
-ends. Only the bucket at that boundary is looked at again, in finer buckets, and the
-threshold found so turns the choice of documents into a filter: no sort, and nothing
-larger than one histogram per source is ever gathered. A source of any size costs each
-map task at most one row per bucket.
+ends. Only the documents of the bucket at that boundary are looked at again, in finer buckets, and the
+threshold found so turns the choice of documents into a filter. Thresholds are a row per source: they are
+broadcast to where the documents are, which are neither sorted nor moved; with more than
+``BROADCAST_SOURCES`` sources documents are joined with them by source and a salt. A source of any size costs
+each map task at most one row per bucket.
 """
 
 from __future__ import annotations
@@ -24,12 +25,15 @@ WEIGHTS = (3, 1, 2)
 SHARE = Fraction(3, 2)
 CAP = 2
 BUCKETS = 1024
+#: Sources whose thresholds are broadcast, some ten MB; parts of a source beyond that number.
+BROADCAST_SOURCES, SALTS = 100_000, 32
 
 
-def places(doc_id: Column) -> tuple[Column, Column]:
-    """Bucket and finer bucket of a document, from the first 20 bits of a hash of its id."""
-    text = F.coalesce(doc_id.cast("string"), F.lit(""))
-    bits = F.conv(F.substring(F.md5(text), 1, 5), 16, 10).cast("int")
+def places(doc_id: Column, text: Column) -> tuple[Column, Column]:
+    """Bucket and finer bucket of a document, from the first 20 bits of a hash of its id, or without
+    an id of its text."""
+    name = F.coalesce(doc_id.cast("string"), text.cast("string"), F.lit(""))
+    bits = F.conv(F.substring(F.md5(name), 1, 5), 16, 10).cast("int")
     return F.shiftright(bits, 10), bits % BUCKETS
 
 
@@ -89,6 +93,16 @@ def _crossing(histogram: DataFrame, bucket: str) -> DataFrame:
     )
 
 
+def _at_source(df: DataFrame, per_source: DataFrame) -> DataFrame:
+    """``df``, which has source, bucket and fine, with the columns of its source's row in ``per_source``."""
+    found = keep(per_source.withColumnRenamed("source", "edge_source"))
+    if found.count() <= BROADCAST_SOURCES:
+        return df.join(F.broadcast(found), F.expr("source <=> edge_source")).drop("edge_source")
+    spread = found.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = df.withColumn("salt", F.pmod(F.col("bucket") * BUCKETS + F.col("fine"), F.lit(SALTS)))
+    return salted.join(spread, F.expr("source <=> edge_source AND salt = part")).drop("edge_source", "part", "salt")
+
+
 def mix_thresholds(
     sized: DataFrame,
     weights: Sequence[int] = WEIGHTS,
@@ -121,12 +135,12 @@ def mix_thresholds(
         "source", F.col("at.bucket").alias("edge"), F.col("at.before").alias("before"),
         (F.col("budget") - F.col("at.before")).alias("rest"),
     )
-    # Only the rows of the boundary buckets, summed again in finer buckets.
-    edges = first.select(F.col("source").alias("edge_source"), "edge", "rest")
+    first = keep(first)
+    # Only the rows of the boundary buckets are summed again, in finer buckets.
     fine = (
-        sized.groupBy("source", "bucket", "fine").agg(F.sum("size").alias("size"))
-        .join(edges, F.expr("source <=> edge_source AND bucket = edge"))
-        .select("source", F.col("rest").alias("budget"), "fine", "size")
+        _at_source(sized.select("source", "bucket", "fine", "size"), first.select("source", "edge", "rest"))
+        .where("bucket = edge").groupBy("source", F.col("rest").alias("budget"), "fine")
+        .agg(F.sum("size").alias("size"))
     )
     second = _crossing(fine, "fine")
     # The bucket that crosses is taken if that leaves the smaller error.
@@ -150,7 +164,7 @@ def mix_thresholds(
 
 
 def _sized(docs: DataFrame) -> DataFrame:
-    bucket, fine = places(F.col("doc_id"))
+    bucket, fine = places(F.col("doc_id"), F.col("text"))
     return docs.select(
         "doc_id", F.col("source").cast("string").alias("source"),
         bucket.alias("bucket"), fine.alias("fine"), n_words(F.col("text")).alias("size"),
@@ -168,27 +182,29 @@ def mix_plan(docs: DataFrame, **options) -> DataFrame:
     """(doc_id, size, source_size, target, taken) for every row of ``docs``.
 
     Size is the number of words. NULL texts have size 0; a NULL source is a source of
-    its own and comes last; rows with one id are taken or left together; an empty table
-    gives no rows; other columns are ignored. ``options`` are those of ``mix_thresholds``.
+    its own and comes last; rows with one id, or without one and of one text, are taken or left together;
+    texts are whole, however long; an empty table gives no rows; other columns are ignored. ``options`` are those of
+    ``mix_thresholds``.
     """
     sized = keep(_sized(docs))
-    edges = mix_thresholds(sized, **options).withColumnRenamed("source", "edge_source")
-    return sized.join(edges, F.expr("source <=> edge_source")).select(
+    return _at_source(sized, mix_thresholds(sized, **options)).select(
         "doc_id", "size", "source_size", "target", (F.col("size") * _copies()).alias("taken")
     )
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them (0 to ``cap`` times)."""
-    bucket, fine = places(F.col("doc_id"))
+    """The rows of ``docs`` as often as the mix takes them (0 to ``cap`` times), columns unchanged.
+
+    Sizes, sources and odd rows as in ``mix_plan``; rows without words are taken like others. Only sizes and
+    places are stored between the passes: texts are read again and stay where they are.
+    """
     edges = mix_thresholds(keep(_sized(docs).drop("doc_id")), **options)
+    bucket, fine = places(F.col("doc_id"), F.col("text"))
     marked = docs.select(
         F.struct("*").alias("row"), F.col("source").cast("string").alias("source"),
         bucket.alias("bucket"), fine.alias("fine"),
     )
-    times = marked.join(
-        edges.withColumnRenamed("source", "edge_source"), F.expr("source <=> edge_source")
-    ).select("row", _copies().alias("n"))
+    times = _at_source(marked, edges).select("row", _copies().alias("n"))
     repeated = times.select("row", F.explode(F.array_repeat(F.lit(0), F.col("n").cast("int"))))
     return repeated.select("row.*")
 
@@ -197,7 +213,7 @@ ORACLE_SQL = """
 WITH sized AS (
     SELECT doc_id, source,
         len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
-        ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 5))::BIGINT AS place
+        ('0x' || substr(md5(coalesce(doc_id::VARCHAR, text, '')), 1, 5))::BIGINT AS place
     FROM documents
 ), sources AS (
     SELECT source, sum(size)::HUGEINT AS source_size FROM sized GROUP BY source

@@ -95,3 +95,22 @@ def near_components(docs: list[tuple[int, str | None]]) -> dict[int, tuple[int,
     return {
         i: (len(shingles[i]), min(members)) for members in sets.classes().values() for i in members
     }
+
+
+def cut_windows(docs: list[tuple[int, str | None]], window: int = 20) -> dict[int, tuple]:
+    """doc_id: (n_words, n_removed, kept_sha256, n_spans)."""
+    texts = sorted((i, words(t)) for i, t in docs)
+    first: dict[tuple, tuple] = {}
+    for i, w in texts:
+        for at in range(len(w) - window + 1):
+            first.setdefault(tuple(w[at:at + window]), (i, at))
+    found = {}
+    for i, w in texts:
+        gone = bytearray(len(w))
+        for at in range(len(w) - window + 1):
+            if first[tuple(w[at:at + window])] < (i, at):
+                gone[at:at + window] = b"\x01" * window
+        kept = " ".join(x for x, g in zip(w, gone) if not g)
+        spans = len(re.findall(b"\x01+", bytes(gone)))
+        found[i] = (len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest(), spans)
+    return found

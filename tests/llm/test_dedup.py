@@ -7,9 +7,10 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from railpulse.llm import exact_dedup, line_dedup, minhash_dedup, suffix_dedup
+from railpulse.llm import exact_dedup, line_dedup, minhash_dedup, substring_dedup, suffix_dedup
 from railpulse.llm.components import components
 from tests.llm import plain
 
@@ -165,6 +166,7 @@ def test_components_of_a_long_chain(spark):
 OPERATORS = {
     "suffix": suffix_dedup.without_repeats, "exact": exact_dedup.exact_groups,
     "near": minhash_dedup.near_components, "lines": line_dedup.dedup_lines,
+    "windows": substring_dedup.cut_repeats,
 }
 
 
@@ -176,3 +178,195 @@ def test_odd_rows_and_empty_tables(frame, odd_rows, name):
     assert OPERATORS[name](frame([])).collect() == []
     if name == "lines":
         assert next(r for r in got if r.doc_id == 4).text == "" and got[0].gone == "gone"
+
+
+# --- recall of line dedup
+
+def _similar_pairs(kind, pick):
+    """Two lines of 40 characters or more whose similarity is 0.75 or more."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+
+    def word(low, high):
+        return "".join(pick.choices(letters, k=pick.randint(low, high)))
+
+    def other(letter):
+        return pick.choice(letters.replace(letter, ""))
+
+    while True:
+        if kind == "two long words":
+            line = f"{word(21, 24)} {word(21, 24)}"
+            near = other(line[0]) + line[1:]
+        elif kind == "three words":
+            line = " ".join(word(14, 16) for _ in range(3))
+            near = line[:-1] + other(line[-1])
+        elif kind == "short words at the end":
+            line = " ".join([word(4, 9) for _ in range(7)] + [word(1, 1) for _ in range(4)])
+            near = line[:-1] + other(line[-1])
+        elif kind == "two letters":
+            line = " ".join(word(10, 14) for _ in range(5))
+            near = other(line[0]) + line[1:-1] + other(line[-1])
+        elif kind == "a word replaced":
+            words = [word(2, 9) for _ in range(pick.randint(20, 60))]
+            line = " ".join(words)
+            words[pick.randrange(len(words))] = word(2, 9)
+            near = " ".join(words)
+        else:
+            line = word(44, 44)
+            near = line[:-1] + other(line[-1])
+        if len(line) >= 40 and len(near) >= 40 and plain.similar(line_dedup._shingles(line), line_dedup._shingles(near)):
+            return line, near
+
+
+KINDS = ("two long words", "three words", "short words at the end", "two letters", "a word replaced", "one token")
+
+
+def band_keys(lines):
+    found = line_dedup.Lines(pa.array(["\n".join(lines)]))
+    return line_dedup._band_keys(found, np.arange(len(lines)))
+
+
+@pytest.mark.parametrize("kind", KINDS)
+def test_similar_lines_meet_in_a_band(kind):
+    pick = random.Random(kind)
+    n, met = 600, 0
+    for _ in range(n):
+        keys = band_keys(_similar_pairs(kind, pick))
+        met += bool((keys[:, 0] == keys[:, 1]).any())
+    assert met >= 0.99 * n
+
+
+def test_signatures_count_characters_not_bytes():
+    lines = ["ä" * 50, "日本" * 30, "x" * 45 + "\U0001F600", "plain ascii of more than forty characters"]
+    found = line_dedup.Lines(pa.array(["short\n" + "\n".join(lines[:2]), None, "\n".join(lines[2:])]))
+    which = np.flatnonzero(found.chars >= 40)
+    hashes, begins = found.shingles(which)
+    assert np.diff(np.append(begins, len(hashes))).tolist() == [len(x) - 7 for x in lines]
+    assert len(set(hashes[:43].tolist())) == 1
+    keys = line_dedup._band_keys(found, which)
+    for k, line in enumerate(lines):  # the same alone
+        assert (band_keys([line])[:, 0] == keys[:, k]).all()
+
+
+def test_lines_are_cut_and_trimmed():
+    texts = ["", None, "\n", " a\tb \n\r\n" + " " * 200 + "x" + "\t" * 100, "é\n", "\x0b", "z"]
+    found = line_dedup.Lines(pa.array(texts))
+    want = [(i, n, re.sub("[\t\x0b\x0c\r]", " ", line).strip(" "))
+            for i, text in enumerate(texts) if text is not None for n, line in enumerate(text.split("\n"))]
+    got = [x.decode() for x in found.bytes_of(np.arange(len(found.text)))]
+    assert list(zip(found.text.tolist(), found.no.tolist(), got)) == want
+    assert found.chars.tolist() == [len(line) for _, _, line in want]
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 100])
+def test_crowded_keys_over_batches(size):
+    pick = random.Random(size)
+    rows = sorted((pick.randrange(12), pick.randrange(3), pick.randint(1, 4)) for _ in range(40))
+    rows = [r for r in rows if r[0] % 3 or r[1] == 1]  # some keys have one line
+    table = pa.table({name: pa.array(values, pa.int64()) for name, values in zip(("key", "h", "n"), zip(*rows))})
+    got = pa.Table.from_batches(line_dedup._crowded(iter(table.to_batches(max_chunksize=size))))
+    sums = {}
+    for key, h, n in rows:
+        sums[key, h] = sums.get((key, h), 0) + n
+    lines = [key for key, _ in sums]
+    assert [tuple(r.values()) for r in got.to_pylist()] == sorted((*k, n) for k, n in sums.items() if lines.count(k[0]) > 1)
+    assert list(line_dedup._crowded(iter([]))) == []
+
+
+def test_no_text_is_lost_under_one_id(frame, sentence):
+    x, y, z = (sentence(12) for _ in range(3))
+    rows = [(0, x), (1, f"{x}\nq"), (1, f"{y}\nq"), (None, f"{y}!\nq"), (None, f"{z}\nq"), (None, None)]
+    left = sorted(r.text or "-" for r in line_dedup.dedup_lines(frame(rows)).collect())
+    assert left == sorted([x, "q", f"{y}\nq", "q", f"{z}\nq", "-"])
+
+
+def test_no_row_is_lost_under_one_id(frame, sentence):
+    a, b, c = sentence(40), sentence(40), sentence(40)
+    rows = [(1, a), (5, a), (5, b), (None, b), (None, c), (None, c), (7, ""), (7, ""), (8, None)]
+    left = minhash_dedup.without_near_copies(frame(rows)).collect()
+    assert sorted((str(r.doc_id), r.text or "") for r in left) == sorted(
+        [("1", a), ("5", b), ("None", c), ("7", ""), ("7", ""), ("8", "")]
+    )
+    assert left[0].gone == "gone"
+
+
+def test_rows_of_one_id_are_one_document(frame, sentence):
+    a, b = sentence(40), sentence(40)
+    rows = [(1, a), (5, a), (5, b), (9, b), (None, a), (3, "")]
+    got = minhash_dedup.near_components(frame(rows)).collect()
+    assert sorted((str(r.doc_id), str(r.component_id)) for r in got) == [
+        ("1", "1"), ("3", "3"), ("5", "1"), ("5", "1"), ("9", "1"), ("None", "None")]
+
+
+def test_links_between_blocks_of_a_large_group(spark, frame, vocabulary, monkeypatch):
+    """A third of all texts are around one pivot, some only linked with each other: found in blocks of sixteen."""
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 16)
+    pick = random.Random(2)
+    base = pick.choices(vocabulary, k=60)
+    rows = []
+    for i in range(120):
+        words = list(base)
+        for _ in range(pick.randint(0, 3)):
+            words[pick.randrange(60)] = pick.choice(vocabulary)
+        rows.append((i, " ".join(words)))
+    rows += [(1000 + i, " ".join(pick.choices(vocabulary, k=50))) for i in range(240)]
+    want = plain.near_components(rows)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash_dedup.near_components(frame(rows)).collect()}
+    # Links at the limit may be missed by the bands: 3 of 1000.
+    assert sum(got[i] != want[i] for i in got) <= 3
+
+
+# --- substring dedup
+
+def test_repeated_windows_go_as_by_brute_force(frame, vocabulary):
+    pick = random.Random(13)
+    shared = [pick.choices(vocabulary, k=n) for n in (20, 21, 35, 60, 150)]
+    rows = []
+    for i in range(60):
+        words = []
+        for _ in range(pick.randint(0, 5)):
+            words += pick.choices(vocabulary, k=pick.randint(0, 30)) + (pick.choice(shared) if pick.random() < 0.7 else [])
+        rows.append((i * 3 % 61, pick.choice([" ", "\n", " \t"]).join(words)))
+    rows += [(100, " ".join(shared[4] * 3)), (101, "a " * 70), (102, "a " * 45), (103, ""), (104, None), (105, " ".join(shared[0][:19]))]
+    for window in (20, 6):
+        want = plain.cut_windows(rows, window)
+        cut = substring_dedup.cut_repeats(frame(rows), window)
+        got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256, r.n_spans) for r in substring_dedup.digest(cut).collect()}
+        assert got == want
+        assert all(sum(s.n_words for s in r.spans) == r.n_removed for r in cut.collect())
+
+
+def test_batches_do_not_change_the_result(frame, sentence, monkeypatch):
+    line = sentence(25)
+    rows = [(i, f"{sentence(5)} {line} {sentence(i % 30)}") for i in range(200)]
+    want = plain.cut_windows(rows)
+    monkeypatch.setattr(substring_dedup, "TEXT_BYTES", 2000)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256, r.n_spans) for r in substring_dedup.digest(substring_dedup.cut_repeats(frame(rows))).collect()}
+    assert got == want
+
+
+def test_levels_end_when_no_window_is_repeated(frame, vocabulary):
+    pick = random.Random(3)
+    passage = pick.choices(vocabulary, k=100)
+    rows = [(i, " ".join(pick.choices(vocabulary, k=9) + passage[i:100 - i])) for i in range(3)]
+    found = {}
+    for length, windows in substring_dedup.repeat_levels(frame(rows)):
+        found[length] = {(r.doc_id, r.place) for r in windows.collect()}
+    texts = {i: plain.words(t) for i, t in rows}
+    for length in (20, 40, 80):
+        owners = {}
+        for i, words in texts.items():
+            for at in range(len(words) - length + 1):
+                owners.setdefault(tuple(words[at:at + length]), []).append((i, at))
+        assert found[length] == {place for places in owners.values() if len({i for i, _ in places}) > 1 for place in places}
+    assert set(found) == {20, 40, 80}
+
+
+def test_rows_of_one_id_leave_one_another_alone(frame, sentence):
+    a = sentence(30)
+    cut = substring_dedup.cut_repeats(frame([(5, a), (5, f"x {a}"), (None, a), (None, f"y {a}"), (7, f"{a} {a}")]))
+    assert sorted((str(r.doc_id), r.n_removed) for r in cut.collect()) == [("5", 0), ("5", 0), ("7", 60), ("None", 30), ("None", 30)]
+
+
+def test_windows_have_an_even_number_of_words(frame):
+    with pytest.raises(ValueError, match="even"):
+        substring_dedup.shared_windows(frame([]), 7)
