@@ -831,7 +831,7 @@ FROM answered
 WHERE h + INTERVAL 2 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE
 GROUP BY h""",
     ),
-    "stream_latest_update": _sql(
+    "stream_hourly_latest_update": _sql(
         (_TABLES,),
         """
 SELECT strftime(date_trunc('hour', op_time), '%Y-%m-%d %H:%M') AS hour_start, request_id,
@@ -841,6 +841,16 @@ WHERE op_name = 'UPDATE' AND date_trunc('hour', op_time) + INTERVAL 1 HOUR
       <= (SELECT max(op_time) FROM txn_responses WHERE op_name = 'UPDATE') - INTERVAL 10 MINUTE
 GROUP BY date_trunc('hour', op_time), request_id""",
     ),
+    # requests without an answer for 10 minutes, as far as the stream has come
+    "stream_latest_update": _sql(
+        (_TABLES,),
+        """
+SELECT request_id, epoch_us(op_time) AS op_micros, message
+FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY op_time DESC, message DESC NULLS LAST) AS rn
+      FROM txn_responses WHERE op_name = 'UPDATE')
+WHERE rn = 1 AND op_time + INTERVAL 10 MINUTE
+      <= (SELECT max(op_time) FROM txn_responses WHERE op_name = 'UPDATE') - INTERVAL 10 MINUTE""",
+    ),
     "stream_active_users": _sql(
         (_TABLES,),
         """
@@ -852,3 +862,32 @@ WHERE date_trunc('hour', op_time) + INTERVAL 1 HOUR
 GROUP BY date_trunc('hour', op_time)""",
     ),
 }
+
+# Statistics of single requests, and distinct clients.
+_EIGHT_DAYS = "DATE '2024-01-23' AND DATE '2024-01-30'"
+ORACLE["amount_statistics"] = _sql(
+    (_TABLES,),
+    f"""
+SELECT aggregator, master_trans_type, count(*) AS txns,
+       round(CAST(sum(trans_amt) AS DOUBLE) / count(*), 3) AS mean_amount,
+       round(stddev_samp(trans_amt), 3) AS spread_amount,
+       quantile_disc(trans_amt, 0.5) AS median_amount
+FROM txn_requests WHERE CAST(op_time AS DATE) BETWEEN {_EIGHT_DAYS} AND trans_amt IS NOT NULL
+GROUP BY ALL""",
+)
+ORACLE["users_from_sketches"] = _sql(
+    (_TABLES,),
+    f"""
+SELECT CAST(op_time AS DATE) AS day, count(DISTINCT client_id) AS clients, true AS near
+FROM bio_log WHERE CAST(op_time AS DATE) BETWEEN {_EIGHT_DAYS} GROUP BY ALL""",
+)
+
+# The same results by another way: from a kept fact, from a stream, observed.
+ORACLE |= {
+    f"kept_{name}": ORACLE[name]
+    for name in ("state_metrics", "state_10d_trend", "state_30d_trend", "bank_state_90d_trend")
+}
+ORACLE |= {
+    "stream_txn_page": ORACLE["txn_hourly_health"], "stream_bio_page": ORACLE["bio_hourly_health"],
+    "data_coverage_observed": ORACLE["data_coverage"],
+}

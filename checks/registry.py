@@ -16,11 +16,13 @@ from railpulse.functions.measures import median_of
 from railpulse.functions.timeparts import DayRange, days_before
 from railpulse.operators.cdc import cdc_pair, latest_by
 from railpulse.operators.durable import checkpoint_dir, keep
-from railpulse.plans import banks, daily, hourly, overview, states
+from railpulse.plans import banks, daily, hourly, overview, states, statistics
 from railpulse.plans.catalog import dataset, query_days
+from railpulse.plans.kept import KeptFact
 from railpulse.session import configure
 from railpulse.sources.export import export_hourly, export_states
 from railpulse.streaming import hourly as live
+from railpulse.streaming import latest, pages
 from railpulse.sources.tables import SCHEMAS, PaymentTables, scan_days
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -177,6 +179,51 @@ def _csv_states(t: PaymentTables) -> DataFrame:
     )
 
 
+def _arrived(t: PaymentTables, late: bool) -> PaymentTables:
+    """The daily logs without the rows that arrive late, or these alone."""
+    recent = F.to_date("log_date_time") >= F.lit(days_before(DAILY_AS_OF, 3).first)
+    rule = {
+        "daily_requests": (F.col("request_id") % 13 == 0) & recent,
+        "daily_responses": F.col("request_id") % 101 == 0,
+    }
+
+    def read(name: str) -> DataFrame:
+        df = getattr(t, name)
+        return df.where(rule[name] if late else ~rule[name]) if name in rule else df
+
+    return PaymentTables(t.spark, read)
+
+
+def _kept(name: str) -> Callable[[PaymentTables], DataFrame]:
+    """A dataset from a stored fact that late rows have been added to."""
+    def build(t: PaymentTables) -> DataFrame:
+        fact = KeptFact(t.spark, _new_folder(t.spark, "facts"))
+        fact.build(_arrived(t, late=False), NINETY_DAYS)
+        fact.refresh(t, _arrived(t, late=True), NINETY_DAYS)
+        return fact.dataset(name, DAILY_AS_OF)
+
+    return build
+
+
+def _users_from_sketches(t: PaymentTables) -> DataFrame:
+    """Distinct clients by day, exact, and whether 24 stored hourly sketches give them within 3 percent."""
+    path = _new_folder(t.spark, "sketches")
+    statistics.write_sketches(statistics.user_sketches(t, HOURLY_DAYS), path)
+    about = statistics.distinct_users(t.spark.read.parquet(path)).withColumnRenamed("day", "d")
+    exact = scan_days(t.bio_log, "op_time", HOURLY_DAYS).groupBy(F.to_date("op_time").alias("day")).agg(
+        F.count_distinct("client_id").alias("clients")
+    )
+    near = F.abs(F.col("users") - F.col("clients")) <= 0.03 * F.col("clients")
+    return exact.join(about, F.col("day") == F.col("d")).select("day", "clients", near.alias("near"))
+
+
+def _coverage_observed(t: PaymentTables) -> DataFrame:
+    coverage, path = statistics.Coverage(), _new_folder(t.spark, "pages")
+    for name, df in zip(("txn", "bio"), coverage.watch(_q3(t), _q4(t))):
+        df.write.parquet(f"{path}/{name}")
+    return coverage.result(t.spark)
+
+
 _ON_TABLES: dict[str, Callable[[PaymentTables], DataFrame]] = {
     # named datasets
     "txn_hourly_median": lambda t: dataset("txn_hourly_median", t, HOURLY_AS_OF),
@@ -211,6 +258,13 @@ _ON_TABLES: dict[str, Callable[[PaymentTables], DataFrame]] = {
     ),
     "state_metrics_per_day": lambda t: daily.state_metrics(t, DAILY_AS_OF, per_day=True),
     "bound_dates": _bound_dates,
+    **{f"kept_{name}": _kept(name) for name in (
+        "state_metrics", "state_10d_trend", "state_30d_trend", "bank_state_90d_trend",
+    )},
+    # in rupees: the last digits of eight decimals are beyond a double here
+    "amount_statistics": lambda t: settled(statistics.amount_statistics(t, HOURLY_DAYS), 3),
+    "users_from_sketches": _users_from_sketches,
+    "data_coverage_observed": _coverage_observed,
     "csv_hourly": _csv_hourly,
     "csv_states": _csv_states,
     # overview reports
@@ -278,18 +332,22 @@ def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reader.parquet(sf_dir)
 
 
-def _streamed(build: Callable[[Callable[[], DataFrame]], DataFrame]) -> Query:
+def _streamed(
+    build: Callable[[Callable[[], DataFrame]], DataFrame], settings: dict[str, str] | None = None
+) -> Query:
     """Run a streaming query over all events to its end and read what it wrote."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         configure(spark)
         run = _new_folder(spark, "streams")
         stream = build(lambda: _event_stream(spark, sf_dir))
-        live.start(stream, f"{run}/rows", f"{run}/progress", every=None).awaitTermination()
-        hours = spark.read.schema(stream.schema).parquet(f"{run}/rows")
-        return settled(
-            hours.withColumn("hour_start", F.date_format("hour_start", "yyyy-MM-dd HH:mm"))
-        )
+        live.start(
+            stream, f"{run}/rows", f"{run}/progress", every=None, settings=settings
+        ).awaitTermination()
+        rows = spark.read.schema(stream.schema).parquet(f"{run}/rows")
+        if "hour_start" in rows.columns:
+            rows = rows.withColumn("hour_start", F.date_format("hour_start", "yyyy-MM-dd HH:mm"))
+        return settled(rows)
 
     return query
 
@@ -298,11 +356,33 @@ _STREAMED: dict[str, Callable[[Callable[[], DataFrame]], DataFrame]] = {
     "stream_hourly_metrics": lambda ev: live.hourly_metrics(
         LOGS["txn_requests"](ev()), LOGS["txn_responses"](ev()), answer_hours=1
     ),
-    "stream_latest_update": lambda ev: live.latest_update(LOGS["txn_responses"](ev())).drop(
+    "stream_hourly_latest_update": lambda ev: live.latest_update(LOGS["txn_responses"](ev())).drop(
         "last_time"
     ),
     "stream_active_users": lambda ev: live.active_users(LOGS["bio_log"](ev())),
 }
 
+def _latest(ev: Callable[[], DataFrame]) -> DataFrame:
+    answers = latest.latest_per_request(LOGS["txn_responses"](ev()))
+    return answers.withColumn("op_micros", F.unix_micros("last_time")).drop("last_time")
+
+
+def _page(name: str) -> Query:
+    """A page refreshed by a stream of all logs, as it stands after the last batch."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        configure(spark)
+        run = _new_folder(spark, "pages")
+        logs = {log: LOGS[log](_event_stream(spark, sf_dir)) for log in pages.PAGE_LOGS}
+        pages.start_pages(logs, run, f"{run}/progress", HOURLY_AS_OF, every=None).awaitTermination()
+        return settled(pages.current_page(spark, run, name))
+
+    return query
+
+
 QUERIES: dict[str, Query] = {name: _on_tables(build) for name, build in _ON_TABLES.items()}
 QUERIES |= {name: _streamed(build) for name, build in _STREAMED.items()}
+QUERIES["stream_latest_update"] = _streamed(_latest, latest.KEYED_STATE)
+QUERIES |= {
+    "stream_txn_page": _page("txn_hourly_health"), "stream_bio_page": _page("bio_hourly_health"),
+}

@@ -38,7 +38,8 @@ def rate(
 
 
 # Counts and amounts of copies are whole numbers of up to 38 digits: exact in any order of
-# adding, and an error, never a wrong or missing number, beyond.
+# adding, and beyond, in the ANSI mode that ``session.configure`` sets, an error, never a wrong
+# or missing number.
 WHOLE = "decimal(38,0)"
 
 
@@ -67,7 +68,8 @@ def median_of(column: str, exact: bool = True, accuracy: int = 10_000) -> Column
     """The lower discrete median of a named column, NULLs ignored.
 
     The exact form keeps a group's distinct values in memory and is meant for
-    groups with a bounded number of them, such as days; ``exact=False`` sketches.
+    groups with a bounded number of them, such as days; ``exact=False`` sketches, and
+    ``operators.quantiles.exact_quantile`` is exact for groups of any size.
     """
     if exact:
         return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{column}`)")
@@ -83,10 +85,11 @@ def mean_of(column: str, ordered: bool = True) -> Column:
 
     The ordered form adds a group's values in sorted order, so that the last bit,
     and a flag that hangs on it, does not depend on the order in which rows arrive.
-    It is meant for groups with a bounded number of values, such as days.
+    It is meant for groups with a bounded number of values, such as days; ``functions.moments`` has
+    exact sums for groups of any size.
     """
     if not ordered:
-        return F.avg(column)
+        return F.avg(F.col(column).cast("double"))  # a decimal's mean would be rounded to four digits
     values = _sorted_values(column)
     total = F.aggregate(values, F.lit(0.0), lambda total, x: total + x)
     return F.try_divide(total, F.size(values))

@@ -129,13 +129,19 @@ def state_days(tables: PaymentTables, windows: Sequence[DayRange]) -> DataFrame:
     return total(daily_pairs(tables, windows), ["window", "day", "final_state"])
 
 
-def daily_state_fact(tables: PaymentTables, days: DayRange) -> DataFrame:
+def daily_state_fact(
+    tables: PaymentTables, days: DayRange, request_days: Sequence[date] | None = None
+) -> DataFrame:
     """State totals by day of request *and* day of answer, for any range inside ``days``.
 
-    One pass over the logs that every state report of a run can share.
+    One pass over the logs that every state report of a run can share. With ``request_days``
+    only the requests of these days are read and counted, with their answers of all ``days``.
     """
     day = F.to_date("log_date_time")
-    requests = scan_days(tables.daily_requests, "log_date_time", days).withColumn("day", day)
+    asked = days if request_days is None else DayRange(min(request_days), max(request_days))
+    requests = scan_days(tables.daily_requests, "log_date_time", asked).withColumn("day", day)
+    if request_days is not None:
+        requests = requests.where(F.col("day").isin(list(request_days)))
     responses = scan_days(tables.daily_responses, "log_date_time", days)
     pairs = _paired(
         _request_side(

@@ -214,7 +214,7 @@ def volume_status(txn: DataFrame) -> DataFrame:
     volumes = txn.agg(
         F.max("hour").alias("last_hour"),
         F.max_by("total_txns", "hour").alias("current_volume"),
-        F.avg("total_txns").alias("avg_volume"),
+        F.avg(F.col("total_txns").cast("double")).alias("avg_volume"),
     )
     status = (
         F.when(F.col("current_volume") > F.col("avg_volume") * 1.2, "High")

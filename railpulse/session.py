@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-# Days, hours and "today" are UTC everywhere; AQE coalesces small shuffle
-# partitions and splits skewed join partitions.
+# Days, hours and "today" are UTC everywhere; a sum that does not fit is an error; AQE coalesces
+# small shuffle partitions and splits skewed join partitions.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
+    "spark.sql.ansi.enabled": "true",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",

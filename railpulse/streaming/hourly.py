@@ -7,6 +7,9 @@ they are closed (append mode).
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Mapping
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -31,16 +34,19 @@ def read_stream(
 
 
 def latest_update(responses: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """The last UPDATE of every request per hour."""
+    """The last UPDATE of every request per hour; of equal times the greater message, as in ``latest_by``.
+
+    One row per request, whatever the hour, is ``latest.latest_per_request``.
+    """
     return (
         responses.where(F.col("op_name") == UPDATE)
         .withWatermark("op_time", delay)
         .groupBy(F.window("op_time", "1 hour"), "request_id")
-        .agg(
-            F.max_by("message", "op_time").alias("message"),
-            F.max("op_time").alias("last_time"),
+        .agg(F.max(F.struct("op_time", "message")).alias("last"))
+        .select(
+            F.col("window.start").alias("hour_start"), "request_id", "last.message",
+            F.col("last.op_time").alias("last_time"),
         )
-        .select(F.col("window.start").alias("hour_start"), "request_id", "message", "last_time")
     )
 
 
@@ -126,28 +132,45 @@ def active_users(bio_log: DataFrame, delay: str = "10 minutes") -> DataFrame:
     )
 
 
+@contextmanager
+def _settings(
+    spark: SparkSession, partitions: int | None, settings: Mapping[str, str] | None
+) -> Iterator[None]:
+    """Session settings that a query takes over when it starts."""
+    wanted = dict(settings or {})
+    if partitions is not None:
+        wanted["spark.sql.shuffle.partitions"] = str(partitions)
+    before = {key: spark.conf.get(key, None) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
+
+
 def start(
     stream: DataFrame,
     path: str,
     checkpoint: str,
     every: str | None = REFRESH,
     partitions: int | None = None,
+    settings: Mapping[str, str] | None = None,
 ) -> StreamingQuery:
     """Write closed hours to Parquet every ``every``; with None take what is there and stop.
 
     ``partitions`` is the number of state partitions, by default the session's number
-    of shuffle partitions. It stays as it was when the checkpoint was begun.
+    of shuffle partitions. It stays as it was when the checkpoint was begun. ``settings`` hold
+    for this query alone, such as the state store it needs.
     """
     writer = stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
     if every is None:
         writer = writer.trigger(availableNow=True)
     else:
         writer = writer.trigger(processingTime=every)
-    conf, key = stream.sparkSession.conf, "spark.sql.shuffle.partitions"
-    before = conf.get(key)
-    if partitions is not None:
-        conf.set(key, str(partitions))
-    try:
+    with _settings(stream.sparkSession, partitions, settings):
         return writer.format("parquet").start(path)
-    finally:
-        conf.set(key, before)

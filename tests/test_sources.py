@@ -7,6 +7,7 @@ from railpulse.functions.timeparts import DayRange
 from railpulse.operators.durable import checkpoint_dir, keep
 from railpulse.plans.catalog import dataset, query_days
 from railpulse.sources.export import export_csv, export_hourly, export_states
+from railpulse.sources.files import publish_csv
 from railpulse.sources.tables import (
     SCHEMAS, conform, load_tables, scan_days, write_partitioned,
 )
@@ -104,6 +105,27 @@ def test_csv_export(spark, tmp_path):
     ]
 
 
+def test_reports_are_one_file_with_a_header(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"n, {i}") for i in range(50)], "x int, name string").repartition(5).orderBy("x")
+    path = export_csv(df, str(tmp_path), "report", date(2024, 1, 30), single=True)
+    lines = (tmp_path / "report_2024-01-30.csv").read_text().splitlines()
+    assert lines[0] == "x,name" and lines[1:] == [f'{i},"n, {i}"' for i in range(50)]
+    # written again it is replaced; without rows it has its header
+    for empty in (df.where("x < 0"), spark.createDataFrame([], df.schema)):
+        assert publish_csv(empty, path) == path
+        assert (tmp_path / "report_2024-01-30.csv").read_text().strip() == "x,name"
+    assert [p.name for p in tmp_path.iterdir() if not p.name.endswith(".crc")] == ["report_2024-01-30.csv"]
+
+
+def test_a_failed_export_leaves_the_old_file(spark, tmp_path):
+    path = publish_csv(spark.range(3).toDF("x"), f"{tmp_path}/r.csv")
+    broken = spark.range(3).select(F.raise_error(F.lit("no")).cast("string").alias("x"))
+    with pytest.raises(Exception, match="no"):
+        publish_csv(broken, path)
+    assert (tmp_path / "r.csv").read_text().split() == ["x", "0", "1", "2"]
+    assert [p.name for p in tmp_path.iterdir() if not p.name.endswith(".crc")] == ["r.csv"]
+
+
 def test_keep_cuts_the_plan(spark):
     kept = keep(spark.range(10).groupBy((F.col("id") % 3).alias("k")).count())
     plan = kept._jdf.queryExecution().executedPlan().toString()
