@@ -1,35 +1,27 @@
-"""Fuzzy line dedup: MinHash signatures of character shingles, bands, exact similarity, components.
-
-1. Of every distinct line the hashes of all its eight-character shingles are taken, and 27 minimum hashes of them.
-   Three make a band key; lines that share one of nine keys are candidates. At a similarity of 0.75 7 of 1000 pairs share
-   none, at 0.8 one of 1000. Keys of three keep lines that are not similar out of each other's buckets.
-2. In every bucket the lines are compared with its most frequent one. Where some are then still apart from
-   it, these are compared with all others of the bucket that they are not connected with already. So
-   every pair of a bucket is either compared or connected through compared ones.
-3. The Jaccard similarity of the two sets of shingles decides, computed from the texts.
-4. Links become components, and of every component the first line stays.
-
-Lines are cut, signed and compared in numpy and Python inside tasks: in SQL functions alone this takes three times the
-time that the limits allow. Lines travel as 64-bit hashes; texts of candidates only, one for all rows that are
-equal. Rows of one key are counted in the tasks before they are shuffled, so a line that a third of all rows share is a row per
-batch. Besides plans, the driver holds one bit map of at most ``MAP_BITS`` bits: the lines whose texts are wanted, and more of
-them if it is crowded, which a join then drops.
+"""Fuzzy line dedup by MinHash, in DataFrame operations only.
+
+1. The signature of a line are 27 minimum hashes of its eight-character shingles, of one in four, chosen by their own
+   hash; lines of up to 128 characters, in which few are chosen, have a second signature of all their shingles. Equal
+   lines have one signature; rows are combined in map tasks, so a line that a third of all rows share costs each one row.
+2. Three minhashes make a band key; lines that share one of nine keys are candidates. At a similarity of 0.75 of the chosen
+   shingles 7 of 1000 pairs share none, at 0.8 one of 1000. Keys of three keep lines that are not similar out of each other's
+   buckets.
+3. In every bucket the lines are compared with its most frequent one, the pivot. Where some are then still apart from
+   it, these are compared with all others of the bucket that they are not connected with already. Jaccard distance is
+   a metric: two lines whose distances from the pivot differ by more than a quarter cannot be similar, and are not compared.
+4. The Jaccard similarity of the two sets of all shingles decides. Links become components, and of every component the first
+   line stays.
+
+Lines travel as 64-bit hashes and sets are sets of 64-bit hashes; texts of candidates only, one for all rows that are equal.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from railpulse.llm.common import slices
+from railpulse.llm.common import blank_breaks
 from railpulse.llm.components import components
-from railpulse.llm.phrases import BitMap
-from railpulse.llm.wordcodes import U64, mixed, pair_hash, text_bytes
 from railpulse.operators.durable import keep
 
 SHINGLE = 8
@@ -37,285 +29,134 @@ PERCENT = 75
 #: Lines of fewer characters are only ever alone: their few shingles say little.
 SHORTEST_LINE = 40
 BANDS, ROWS = 9, 3
-TEXT_BYTES = 8 << 20
-MAP_BITS = 1 << 27
+#: One shingle in so many is signed, and in lines of few characters all as well.
+SAMPLED, FEW_CHARACTERS = 4, 128
+#: Candidate lines that are broadcast as hashes, some MB; more of them are joined by shuffling.
+BROADCAST_LINES = 500_000
 
-_BASE = 0x9E3779B97F4A7C15
-_SEEDS = [(i * 0x9E3779B1) & 0xFFFFFFFF for i in range(1, BANDS * ROWS + 1)]
-_NOTHING = np.uint32(0xFFFFFFFF)
-# Word breaks count as blanks; a line ends at a newline.
-_BLANKED = np.arange(256, dtype=np.uint8)
-_BLANKED[[9, 11, 12, 13]] = 32
+_WIDTH = 4  # bytes of a character in the coding that shingles are cut from
 
 
-class Lines:
-    """The lines of a batch of texts, without outer blanks: ``text`` number, ``no`` in the text, bytes from ``begin`` to ``end`` of ``data``.
+def plain(line: Column) -> Column:
+    """The line as it is compared: word breaks as blanks, none at the ends."""
+    return F.trim(blank_breaks(line))
 
-    A NULL text has no lines. ``heads`` says where characters begin, or is None if every byte is one.
-    """
 
-    def __init__(self, texts: pa.Array):
-        there = np.asarray(texts.is_valid())
-        data, edges = text_bytes(texts)
-        self.data = data = _BLANKED[data]
-        breaks = np.flatnonzero(data == 10)
-        counts = 1 + np.diff(np.searchsorted(breaks, edges))
-        begin = np.sort(np.concatenate([edges[:-1], breaks + 1]))
-        end = np.sort(np.concatenate([edges[1:], breaks]))
-        text = np.repeat(np.arange(len(counts)), counts)
-        no = np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts)
-        self.begin, self.end, self.text, self.no = (x[there[text]] for x in (begin, end, text, no))
-        self._trim()
-        heads = (data & 0xC0) != 0x80
-        self.heads = None if heads.all() else heads
-        if self.heads is None:
-            self.first, self.last = self.begin, self.end
-        else:
-            before = np.append(0, np.cumsum(heads))
-            self.first, self.last = before[self.begin], before[self.end]
-        self.chars = self.last - self.first
-
-    def _trim(self) -> None:
-        data = np.append(self.data, np.uint8(0))
-        for edge, other, step in ((self.begin, self.end, 1), (self.end, self.begin, -1)):
-            live = np.arange(len(edge))
-            for turn in range(64):
-                at = edge[live] - (step < 0)
-                live = live[(edge[live] != other[live]) & (data[at] == 32)]
-                if not len(live):
-                    break
-                edge[live] += step
-            for i in live.tolist():  # very many blanks
-                rest = self.data[self.begin[i]:self.end[i]].tobytes()
-                edge[i] += step * (len(rest) - len(rest.lstrip(b" ") if step > 0 else rest.rstrip(b" ")))
-
-    def bytes_of(self, which: np.ndarray) -> list[bytes]:
-        whole = self.data.tobytes()
-        return [whole[a:b] for a, b in zip(self.begin[which].tolist(), self.end[which].tolist())]
-
-    def hashes(self, which: np.ndarray) -> np.ndarray:
-        digest, whole = xxhash.xxh3_64_intdigest, memoryview(self.data.tobytes())
-        found = (digest(whole[a:b]) for a, b in zip(self.begin[which].tolist(), self.end[which].tolist()))
-        return np.fromiter(found, U64, len(which)).view(np.int64)
-
-    def _characters(self) -> np.ndarray:
-        """A number for every character."""
-        if self.heads is None:
-            return self.data.astype(U64)
-        begin = np.flatnonzero(self.heads)
-        size = np.diff(np.append(begin, len(self.data)))
-        found = self.data[begin].astype(U64)
-        for k in range(1, 4):
-            more = np.flatnonzero(size > k)
-            found[more] |= self.data[begin[more] + k].astype(U64) << U64(8 * k)
-        return found
-
-    def shingles(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """32 bits for every shingle of the lines ``which``, in order, and where each line's begin."""
-        now = self._characters()
-        size, reach, base = len(now), 1, _BASE
-        while reach < SHINGLE:
-            now = now[:-reach] * U64(base) + now[reach:]
-            reach, base = 2 * reach, base * base % (1 << 64)
-        steps = np.zeros(size + 1, np.int8)
-        steps[self.first[which]] += 1
-        steps[self.last[which] - SHINGLE + 1] -= 1
-        inside = np.cumsum(steps[:len(now)], dtype=np.int8) > 0
-        n = self.chars[which] - SHINGLE + 1
-        return (mixed(now[inside]) >> U64(32)).astype(np.uint32), np.cumsum(n) - n
-
-
-def _minima(hashes: np.ndarray, begins: np.ndarray) -> list[np.ndarray]:
-    """The least of ``hash ^ seed`` for every seed, of every line.
-
-    The least has the two highest bits of its seed, so each seed looks at a quarter of the hashes only; a line without
-    any of these, one of 10,000 of the shortest, has none.
-    """
-    least: dict[int, np.ndarray] = {}
-    quarter_of = (hashes >> np.uint32(30)).astype(np.uint8)
-    for quarter in range(4):
-        mine = quarter_of == quarter
-        before = np.append(0, np.cumsum(mine))
-        starts = before[begins]
-        empty = starts == before[np.append(begins[1:], len(hashes))]
-        some = np.append(hashes[mine], np.uint32(0))
-        for i, seed in enumerate(_SEEDS):
-            if seed >> 30 == quarter:
-                found = np.minimum.reduceat(some ^ np.uint32(seed), starts)
-                least[i] = np.where(empty, _NOTHING, found).astype(U64)
-    return [least[i] for i in range(len(_SEEDS))]
-
-
-def _band_keys(lines: Lines, which: np.ndarray) -> np.ndarray:
-    """A row per band, a column per line."""
-    least, keys = _minima(*lines.shingles(which)), []
-    for band in range(BANDS):
-        first, second, third = least[band * ROWS:(band + 1) * ROWS]
-        keys.append(pair_hash((first << U64(32)) | second, third, band))
-    return np.array(keys)
-
-
-def _signed(shortest: int):
-    """(key, h, n) of the distinct lines of a batch; n rows of the batch have the line."""
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", TEXT_BYTES):
-            lines = Lines(batch.column("text"))
-            which = np.flatnonzero(lines.chars >= shortest)
-            if not len(which):
-                continue
-            h, first, counts = np.unique(lines.hashes(which), return_index=True, return_counts=True)
-            order = np.argsort(first)  # shingles come in the order of lines
-            h, counts = h[order], counts[order]
-            keys = _band_keys(lines, which[first[order]])
-            yield pa.RecordBatch.from_arrays([
-                pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.tile(h, BANDS)),
-                pa.array(np.tile(counts.astype(np.int64), BANDS)),
-            ], names=["key", "h", "n"])
-
-    return rows
-
-
-def _crowded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (key, h, n) sorted by key and h those of keys with several lines, rows of one line added up."""
-    held = tuple(np.empty(0, np.int64) for _ in range(3))  # rows of the last key, one a line
-    told = None  # a key that is known to have several
-    def put(key, h, n):
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(h), pa.array(n)], names=["key", "h", "n"])
-
-    for batch in batches:
-        key, h, n = (np.append(a, batch.column(c).to_numpy()) for a, c in zip(held, ("key", "h", "n")))
-        if not len(key):
-            continue
-        new = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (h[1:] != h[:-1])))
-        key, h, n = key[new], h[new], np.add.reduceat(n, new)
-        group = np.cumsum(np.append(True, key[1:] != key[:-1])) - 1
-        several = (np.bincount(group) > 1)[group] | ((key == told) if told is not None else False)
-        last = group == group[-1]
-        told = key[-1] if several[-1] else None
-        # The last line may go on in the next batch; the other lines of its key are ready if there are several.
-        ready = several.copy()
-        ready[-1] = False
-        held = (key[-1:], h[-1:], n[-1:])
-        if not several[-1]:
-            ready &= ~last
-        yield put(key[ready], h[ready], n[ready])
-    if told is not None:
-        yield put(*held)
-
-
-def _texts_of(wanted, shortest: int):
-    """(h, line) of the lines that the bit map has, one row a batch and line."""
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", TEXT_BYTES):
-            lines = Lines(batch.column("text"))
-            which = np.flatnonzero(lines.chars >= shortest)
-            h, first = np.unique(lines.hashes(which), return_index=True)
-            there = wanted.value.has(mixed(h.view(U64)))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(h[there]), pa.array(lines.bytes_of(which[first[there]]), pa.binary())], names=["h", "line"]
-            )
-
-    return rows
-
-
-def _places_of(shortest: int):
-    """(doc_id, t, u, line_no, h) of all lines; h is NULL for short ones."""
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", TEXT_BYTES):
-            lines = Lines(batch.column("text"))
-            long = lines.chars >= shortest
-            h = np.zeros(len(long), np.int64)
-            h[long] = lines.hashes(np.flatnonzero(long))
-            of = pa.array(lines.text)
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c).take(of) for c in ("doc_id", "t", "u")), pa.array(lines.no.astype(np.int32)), pa.array(h, mask=~long)],
-                names=["doc_id", "t", "u", "line_no", "h"],
-            )
-
-    return rows
-
-
-def _bit_map(wanted: DataFrame) -> BitMap:
-    """Of the lines (h); at most MAP_BITS / 64 rows come to the driver."""
-    count, bits = wanted.count(), 64
-    while bits < min(64 * count, MAP_BITS):
-        bits *= 2
-
-    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bit = mixed(batch.column("h").to_numpy().view(U64)) & U64(bits - 1)
-            place, inverse = np.unique(bit >> U64(6), return_inverse=True)
-            marks = np.zeros(len(place), U64)
-            np.bitwise_or.at(marks, inverse, U64(1) << (bit & U64(63)))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(place.astype(np.int64)), pa.array(marks.view(np.int64))], names=["place", "mark"]
-            )
-
-    found = wanted.mapInArrow(cells, "place bigint, mark bigint").groupBy("place").agg(F.bit_or("mark").alias("mark")).toArrow()
-    return BitMap(bits, np.asarray(found.column("place"), np.int64), np.asarray(found.column("mark"), np.int64))
-
-
-def _shingles(line: str) -> set[str]:
-    return {line[i:i + SHINGLE] for i in range(len(line) - SHINGLE + 1)}
-
-
-def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The links (u, v) among pairs (h, other, line, other_line)."""
-    last, theirs = None, set()
-    for batch in batches:
-        linked = []
-        columns = (batch.column(name).to_pylist() for name in ("other", "other_line", "line"))
-        for other, other_line, line in zip(*columns):
-            if other != last:  # pairs come sorted by the line that many have in common
-                last, theirs = other, _shingles(other_line)
-            mine = _shingles(line)
-            shared = len(mine & theirs)
-            linked.append(100 * shared >= PERCENT * (len(mine) + len(theirs) - shared))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("h").filter(pa.array(linked, pa.bool_())), batch.column("other").filter(pa.array(linked, pa.bool_()))],
-            names=["u", "v"],
-        )
-
-
-def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (h, other) that are similar, as (u, v)."""
-    others = texts.select(F.col("h").alias("other"), F.col("line").alias("other_line"))
-    both = pairs.join(texts, "h").join(others, "other").select("h", "other", "line", "other_line")
-    return keep(both.mapInArrow(_similar, "u bigint, v bigint"))
+def _seeds() -> list[int]:
+    """Masks of 31 bits, one per minhash: multiples of the golden ratio."""
+    return [(i * 0x9E3779B1) % (1 << 31) for i in range(1, BANDS * ROWS + 1)]
+
+
+def _all_lines(rows: DataFrame) -> DataFrame:
+    """(doc_id, t, u, line_no, line) of every line of ``rows``, which has doc_id, text, t and u."""
+    split = rows.select("doc_id", "t", "u", F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
+    return split.select("doc_id", "t", "u", "line_no", plain(F.col("raw")).alias("line"))
+
+
+def _long(shortest: int) -> Column:
+    return F.length("line") >= shortest
 
 
-def line_components(texts: DataFrame, shortest: int) -> DataFrame:
-    """(h, component) of the lines in ``texts`` (text) that are linked with other lines."""
-    spark = texts.sparkSession
-    keyed = texts.select("text").mapInArrow(_signed(shortest), "key bigint, h bigint, n bigint")
-    crowded = keep(
-        keyed.repartition("key").sortWithinPartitions("key", "h").mapInArrow(_crowded, "key bigint, h bigint, n bigint")
+def _starts(coded: Column) -> Column:
+    """Where the shingles of a coded line begin, counted in bytes from 1."""
+    return F.sequence(F.lit(1), F.octet_length(coded) - (_WIDTH * SHINGLE - 1), F.lit(_WIDTH))
+
+
+def _shingle(coded: Column, at: Column) -> Column:
+    return F.substring(coded, at, F.lit(_WIDTH * SHINGLE))
+
+
+def signatures(lines: DataFrame) -> DataFrame:
+    """(h, mask, n, m0, m1, ...) per distinct line of (h, line); ``n`` rows have it. A signature is of
+    the shingles whose hash has no bit of ``mask``."""
+    masks = F.when(F.length("line") <= FEW_CHARACTERS, F.array(F.lit(SAMPLED - 1), F.lit(0))).otherwise(
+        F.array(F.lit(SAMPLED - 1))
     )
-    buckets = crowded.groupBy("key").agg(F.max(F.struct("n", "h")).alias("most")).select(
-        "key", F.col("most.h").alias("pivot")
+    coded = lines.select("h", F.encode("line", "UTF-32").alias("coded"), F.explode(masks).alias("mask"))
+    each = coded.select("h", "mask", "coded", F.explode(_starts(F.col("coded"))).alias("at")).select(
+        "h", "mask", "at", F.hash(_shingle(F.col("coded"), F.col("at"))).alias("shingle")
     )
-    places = crowded.select("key", "h").join(buckets, "key")
-    wanted = keep(crowded.select("h").distinct())
-    map_of = spark.sparkContext.broadcast(_bit_map(wanted))
-    lines = texts.select("text").mapInArrow(_texts_of(map_of, shortest), "h bigint, line binary")
+    chosen = F.col("shingle").bitwiseAND(F.col("mask")) == 0
+    least = [
+        F.min(F.when(chosen, F.col("shingle").bitwiseXOR(F.lit(seed)))).alias(f"m{i}") for i, seed in enumerate(_seeds())
+    ]
+    return each.where(chosen | (F.col("at") == 1)).groupBy("h", "mask").agg(F.count_if(F.col("at") == 1).alias("n"), *least)
+
+
+def band_keys(signed: DataFrame) -> DataFrame:
+    """(h, n, key), a row per signature and band."""
+    keys = [
+        F.xxhash64(F.lit(band), "mask", *[F.coalesce(f"m{band * ROWS + r}", F.lit(0)) for r in range(ROWS)])
+        for band in range(BANDS)
+    ]
+    return signed.select("h", "n", F.explode(F.array(*keys)).alias("key"))
+
+
+def _buckets(keyed: DataFrame) -> DataFrame:
+    """(key, h, pivot) of the keys with two or more lines; the pivot is the most frequent one."""
+    same = Window.partitionBy("key")
+    return keyed.select(
+        "key", "h", F.min("h").over(same).alias("low"), F.max("h").over(same).alias("high"),
+        F.max(F.struct("n", "h")).over(same).alias("most"),
+    ).where("low < high").select("key", "h", F.col("most.h").alias("pivot"))
+
+
+def shingle_set(line: Column) -> Column:
+    """Hashes of the distinct eight-character shingles."""
+    def of(coded: Column) -> Column:
+        return F.array_distinct(F.transform(_starts(coded), lambda at: F.xxhash64(_shingle(coded, at))))
+
+    # A variable of a lambda is computed once, an expression in it for every shingle.
+    return F.get(F.transform(F.array(F.encode(line, "UTF-32")), of), 0)
+
+
+def _measured(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (h, other) with the sizes of their ``shared`` and ``united`` shingles."""
+    others = texts.select(F.col("h").alias("other"), F.col("line").alias("other_line"))
+
+    def sizes(sets: Column) -> Column:
+        shared = F.size(F.array_intersect(sets[0], sets[1]))
+        return F.struct(shared.alias("shared"), (F.size(sets[0]) + F.size(sets[1]) - shared).alias("united"))
+
+    both = F.array(shingle_set(F.col("line")), shingle_set(F.col("other_line")))
+    found = F.get(F.transform(F.array(both), sizes), 0)
+    measured = pairs.join(texts, "h").join(others, "other").select("h", "other", found.alias("found"))
+    return keep(measured.select("h", "other", "found.shared", "found.united"))
+
+
+def _links(measured: DataFrame) -> DataFrame:
+    linked = 100 * F.col("shared") >= PERCENT * F.col("united")
+    return measured.where(linked).select(F.col("h").alias("u"), F.col("other").alias("v"))
+
+
+def line_components(lines: DataFrame) -> DataFrame:
+    """(h, component) of the lines (h, line) that are linked with other lines."""
+    places = keep(_buckets(band_keys(signatures(lines))))
+    wanted = keep(places.select("h").distinct())
+    few = wanted.count() <= BROADCAST_LINES
     texts = keep(
-        lines.groupBy("h").agg(F.min("line").alias("line")).join(wanted, "h")
-        .select("h", F.col("line").cast("string").alias("line"))
+        lines.join(F.broadcast(wanted) if few else wanted, "h", "left_semi")
+        .groupBy("h").agg(F.first("line").alias("line"))
     )
-    stars = places.where("h != pivot").select("h", F.col("pivot").alias("other")).distinct()
-    links = _links(stars, texts)
-    parts = keep(components(links))
+    stars = _measured(places.where("h != pivot").select("h", F.col("pivot").alias("other")).distinct(), texts)
+    parts = keep(components(_links(stars)))
     named = parts.select(F.col("node").alias("h"), F.col("component").alias("part"))
-    placed = places.join(named, "h", "left").withColumn("part", F.coalesce("part", "h"))
     homes = parts.select(F.col("node").alias("pivot"), F.col("component").alias("home"))
-    placed = keep(placed.join(homes, "pivot", "left").withColumn("home", F.coalesce("home", "pivot")))
-    asked = placed.where("part != home").select("key", F.col("h").alias("asked"), F.col("part").alias("asked_part"))
+    away = stars.select("h", F.col("other").alias("pivot"), (1 - F.col("shared") / F.col("united")).alias("away"))
+    placed = keep(
+        places.where("h != pivot").join(away, ["h", "pivot"]).join(named, "h", "left").join(homes, "pivot", "left")
+        .select("key", "h", "away", F.coalesce("part", "h").alias("part"), F.coalesce("home", "pivot").alias("home"))
+    )
+    asked = placed.where("part != home").select(
+        "key", F.col("h").alias("asked"), F.col("part").alias("asked_part"), F.col("away").alias("asked_away")
+    )
+    reach = 1 - PERCENT / 100 + 1e-9
     rest = (
         placed.join(asked, "key")
-        .where("part != asked_part AND h != pivot AND (part = home OR h < asked)")
+        .where(f"part != asked_part AND (part = home OR h < asked) AND abs(away - asked_away) <= {reach}")
         .select(F.greatest("h", "asked").alias("h"), F.least("h", "asked").alias("other")).distinct()
     )
-    more = _links(rest, texts)
+    more = _links(_measured(rest, texts))
     # Components again, of the links between the components so far.
     mine = named.select(F.col("h").alias("u"), F.col("part").alias("u_part"))
     theirs = named.select(F.col("h").alias("v"), F.col("part").alias("v_part"))
@@ -332,21 +173,22 @@ def line_components(texts: DataFrame, shortest: int) -> DataFrame:
 def _classes(rows: DataFrame, shortest: int) -> DataFrame:
     """(doc_id, t, u, line_no, first) of every line; ``first`` is the place of the line of its class that stays.
 
-    ``rows`` has doc_id, t, u and text as bytes.
+    ``rows`` has doc_id, t, u and text.
     """
     if shortest < SHINGLE:
         raise ValueError(f"lines of fewer than {SHINGLE} characters have no shingle")
-    known = line_components(rows, shortest).select(F.col("h").alias("known"), "component")
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    lines = rows.mapInArrow(_places_of(shortest), f"doc_id {kind}, t bigint, u int, line_no int, h bigint")
+    lines = _all_lines(rows)
+    long = lines.where(_long(shortest)).select(F.xxhash64("line").alias("h"), "line")
+    known = line_components(long).select(F.col("h").alias("known"), "component")
     order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "t", "u", "line_no")
-    named = keep(lines.join(known, F.col("h") == F.col("known"), "left").select(
+    # Short lines are of no part: each is its own first one.
+    hashed = lines.select("doc_id", "t", "u", "line_no", F.when(_long(shortest), F.xxhash64("line")).alias("h"))
+    named = keep(hashed.join(known, F.col("h") == F.col("known"), "left").select(
         "doc_id", "t", "u", "line_no", F.coalesce("component", "h").alias("part")
     ))
     firsts = named.where("part IS NOT NULL").groupBy("part").agg(
         F.min(order).alias("first"), F.count(F.lit(1)).alias("n")
     ).where("n > 1")
-    # Short lines are of no part: each is its own first one.
     return named.join(firsts, "part", "left").select(
         "doc_id", "t", "u", "line_no", F.coalesce("first", order).alias("first")
     )
@@ -370,7 +212,7 @@ def line_classes(docs: DataFrame, shortest: int = SHORTEST_LINE) -> DataFrame:
     """
     rows = docs.select(
         "doc_id", F.xxhash64("doc_id", "text").alias("t"), F.hash("text", "doc_id").alias("u"),
-        F.col("text").cast("binary").alias("text"),
+        "text",
     )
     return _classes(rows, shortest).select(
         "doc_id", "line_no", F.col("first.doc_id").alias("first_doc_id"), F.col("first.line_no").alias("first_line_no"),
@@ -389,7 +231,7 @@ def dedup_lines(docs: DataFrame, shortest: int = SHORTEST_LINE) -> DataFrame:
     packed = docs.select(F.struct("*").alias("row"))
     known = packed.select("row", F.xxhash64("row").alias("t"), F.hash(F.lit(1), "row").alias("u"))
     rows = known.select(
-        F.col("row.doc_id").alias("doc_id"), "t", "u", F.col("row.text").cast("binary").alias("text")
+        F.col("row.doc_id").alias("doc_id"), "t", "u", F.col("row.text").alias("text")
     )
     gone = _classes(rows, shortest).where(~_is_first()).groupBy(F.col("t").alias("gone_t"), F.col("u").alias("gone_u")).agg(
         F.collect_set("line_no").alias("gone")

@@ -7,8 +7,8 @@ import random
 import re
 
 import numpy as np
-import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from railpulse.llm import exact_dedup, line_dedup, minhash_dedup, substring_dedup, suffix_dedup
 from railpulse.llm.components import components
@@ -182,6 +182,10 @@ def test_odd_rows_and_empty_tables(frame, odd_rows, name):
 
 # --- recall of line dedup
 
+def _shingles(line):
+    return {line[i:i + 8] for i in range(len(line) - 7)}
+
+
 def _similar_pairs(kind, pick):
     """Two lines of 40 characters or more whose similarity is 0.75 or more."""
     letters = "abcdefghijklmnopqrstuvwxyz"
@@ -213,63 +217,32 @@ def _similar_pairs(kind, pick):
         else:
             line = word(44, 44)
             near = line[:-1] + other(line[-1])
-        if len(line) >= 40 and len(near) >= 40 and plain.similar(line_dedup._shingles(line), line_dedup._shingles(near)):
+        if len(line) >= 40 and len(near) >= 40 and plain.similar(_shingles(line), _shingles(near)):
             return line, near
 
 
 KINDS = ("two long words", "three words", "short words at the end", "two letters", "a word replaced", "one token")
 
 
-def band_keys(lines):
-    found = line_dedup.Lines(pa.array(["\n".join(lines)]))
-    return line_dedup._band_keys(found, np.arange(len(lines)))
-
-
-@pytest.mark.parametrize("kind", KINDS)
-def test_similar_lines_meet_in_a_band(kind):
-    pick = random.Random(kind)
-    n, met = 600, 0
-    for _ in range(n):
-        keys = band_keys(_similar_pairs(kind, pick))
-        met += bool((keys[:, 0] == keys[:, 1]).any())
-    assert met >= 0.99 * n
+def test_similar_lines_meet_in_a_band(spark):
+    n, rows = 600, []
+    for kind in KINDS:
+        pick = random.Random(kind)
+        rows += [(f"{kind} {k}", line) for k in range(n) for line in _similar_pairs(kind, pick)]
+    lines = spark.createDataFrame(rows, "pair string, line string").selectExpr("pair", "line", "xxhash64(line) AS h")
+    keys = line_dedup.band_keys(line_dedup.signatures(lines.select("h", "line"))).select("h", "key")
+    met = lines.join(keys, "h").groupBy("pair", "key").agg(F.count_distinct("h").alias("lines")).where("lines = 2")
+    found = {}
+    for row in met.select("pair").distinct().collect():
+        kind = row.pair.rsplit(" ", 1)[0]
+        found[kind] = found.get(kind, 0) + 1
+    assert {kind: found.get(kind, 0) >= 0.99 * n for kind in KINDS} == dict.fromkeys(KINDS, True), found
 
 
-def test_signatures_count_characters_not_bytes():
+def test_shingles_are_of_characters(spark):
     lines = ["ä" * 50, "日本" * 30, "x" * 45 + "\U0001F600", "plain ascii of more than forty characters"]
-    found = line_dedup.Lines(pa.array(["short\n" + "\n".join(lines[:2]), None, "\n".join(lines[2:])]))
-    which = np.flatnonzero(found.chars >= 40)
-    hashes, begins = found.shingles(which)
-    assert np.diff(np.append(begins, len(hashes))).tolist() == [len(x) - 7 for x in lines]
-    assert len(set(hashes[:43].tolist())) == 1
-    keys = line_dedup._band_keys(found, which)
-    for k, line in enumerate(lines):  # the same alone
-        assert (band_keys([line])[:, 0] == keys[:, k]).all()
-
-
-def test_lines_are_cut_and_trimmed():
-    texts = ["", None, "\n", " a\tb \n\r\n" + " " * 200 + "x" + "\t" * 100, "é\n", "\x0b", "z"]
-    found = line_dedup.Lines(pa.array(texts))
-    want = [(i, n, re.sub("[\t\x0b\x0c\r]", " ", line).strip(" "))
-            for i, text in enumerate(texts) if text is not None for n, line in enumerate(text.split("\n"))]
-    got = [x.decode() for x in found.bytes_of(np.arange(len(found.text)))]
-    assert list(zip(found.text.tolist(), found.no.tolist(), got)) == want
-    assert found.chars.tolist() == [len(line) for _, _, line in want]
-
-
-@pytest.mark.parametrize("size", [1, 2, 3, 100])
-def test_crowded_keys_over_batches(size):
-    pick = random.Random(size)
-    rows = sorted((pick.randrange(12), pick.randrange(3), pick.randint(1, 4)) for _ in range(40))
-    rows = [r for r in rows if r[0] % 3 or r[1] == 1]  # some keys have one line
-    table = pa.table({name: pa.array(values, pa.int64()) for name, values in zip(("key", "h", "n"), zip(*rows))})
-    got = pa.Table.from_batches(line_dedup._crowded(iter(table.to_batches(max_chunksize=size))))
-    sums = {}
-    for key, h, n in rows:
-        sums[key, h] = sums.get((key, h), 0) + n
-    lines = [key for key, _ in sums]
-    assert [tuple(r.values()) for r in got.to_pylist()] == sorted((*k, n) for k, n in sums.items() if lines.count(k[0]) > 1)
-    assert list(line_dedup._crowded(iter([]))) == []
+    df = spark.createDataFrame([(x,) for x in lines], "line string").select("line", F.size(line_dedup.shingle_set(F.col("line"))).alias("n"))
+    assert {r.line: r.n for r in df.collect()} == {x: len(_shingles(x)) for x in lines}
 
 
 def test_no_text_is_lost_under_one_id(frame, sentence):
