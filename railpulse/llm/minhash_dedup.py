@@ -237,7 +237,7 @@ def links_within(sets: list[np.ndarray], pivot: np.ndarray, asked: np.ndarray) -
 def _rest_links(pairs: DataFrame, parts: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (u, v) between classes around one pivot that the star of the pivot has left apart."""
     around = pairs.union(pairs.select(F.col("pivot"), F.col("pivot")).distinct())
-    placed = around.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
+    placed = keep(around.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")))
     home = placed.where("node = pivot").select("pivot", F.col("part").alias("home"))
     placed = placed.join(home, "pivot").withColumn("asked", F.col("part") != F.col("home"))
     sizes = sets.select(F.col("node").alias("pivot"), F.size("shingles").alias("n_pivot"))
@@ -249,10 +249,10 @@ def _rest_links(pairs: DataFrame, parts: DataFrame, sets: DataFrame) -> DataFram
         .select("pivot", F.ceil(F.col("n_asked") / block).cast("int").alias("askers"), F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     )
     # A block of classes to ask about meets every block of the group; the pivot is in all of them.
-    members = placed.select("pivot", "node", "asked").join(apart, "pivot").withColumns({
+    members = keep(placed.select("pivot", "node", "asked").join(apart, "pivot").withColumns({
         "own": F.pmod(F.xxhash64("node"), F.col("askers")).cast("int"),
         "place": F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int"),
-    })
+    }))
 
     def dealt(some: DataFrame, asker: Column, block: Column, here: bool) -> DataFrame:
         return some.select("pivot", asker.alias("asker"), "node", block.alias("block"), F.lit(here).alias("here"))

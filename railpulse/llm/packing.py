@@ -2,10 +2,12 @@
 
 Texts longer than the largest length are cut there. The pieces are dealt by hash into
 shards of bounded size, and each shard is packed by best fit, longest pieces first: a piece
-goes into the open bin that it fills best; where none has room, a bin is opened of the permitted
-length with the least cost per word it can still hope to hold. At the end every bin shrinks to
-the smallest permitted length that holds its contents. A shard wastes at most the few bins that it
-leaves open, so the loss against one global packing falls with the size of the shards.
+goes into the open bin that it fills best; where none has room, a bin is opened. For every permitted length the bin is
+filled on trial with the pieces that are left, the longest that fits first, and the length opens that costs least per
+word then held, counted for the length it would shrink to: so the lengths compete for what is left, a piece
+opens a short sequence where nothing would fill a long one, and a long one where small pieces will. At the end every bin
+shrinks to the smallest permitted length that holds its contents. A shard wastes at most the few bins
+that it leaves open, so the loss against one global packing falls with the size of the shards.
 """
 
 from __future__ import annotations
@@ -39,8 +41,8 @@ def pack_shard(
     ``sizes`` are in falling order, from 1 to the largest length.
     """
     permitted = sorted(lengths)
-    costs = [cost(length) for length in permitted]
-    left = int(np.sum(sizes))
+    costs = {length: cost(length) for length in permitted}
+    falling = [-int(size) for size in sizes]
     room: list[tuple[int, int]] = []  # (free words, bin), sorted
     filled: list[int] = []
     bins = np.empty(len(sizes), np.int64)
@@ -50,21 +52,30 @@ def pack_shard(
         if at < len(room):
             free, number = room.pop(at)
         else:
-            first = bisect_left(permitted, size)
-            best = min(
-                range(first, len(permitted)), key=lambda k: costs[k] / min(permitted[k], left)
-            )
-            free, number = permitted[best], len(filled)
+            free, number = _opened(falling, i, permitted, costs), len(filled)
             filled.append(0)
         bins[i], offsets[i] = number, filled[number]
         filled[number] += size
-        left -= size
         if free > size:
             insort(room, (free - size, number))
     fitted = np.array([permitted[bisect_left(permitted, f)] for f in filled], np.int64)
     return bins, offsets, fitted[bins] if len(filled) else bins
 
 
+def _opened(falling: Sequence[int], i: int, permitted: Sequence[int], costs: dict[int, float]) -> int:
+    """The length to open for piece ``i``; ``falling`` has the negative sizes of all pieces."""
+    size, found = -falling[i], []
+    for length in permitted[bisect_left(permitted, size):]:
+        free, at = length - size, i + 1
+        while free and (at := bisect_left(falling, -free, at)) < len(falling):
+            free += falling[at]
+            at += 1
+        held = length - free
+        # Of equal costs the longer one, which leaves more choice.
+        found.append((costs[permitted[bisect_left(permitted, held)]] / held, -length))
+    return -min(found)[1]
+
+
 def pieces_of(docs: DataFrame, longest: int) -> DataFrame:
     """(doc_id, piece, start, length) in words; a text without words has one empty piece."""
     sized = docs.select("doc_id", n_words(F.col("text")).alias("words"))

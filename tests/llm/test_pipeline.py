@@ -47,6 +47,17 @@ def test_the_pipeline_is_the_chain_of_its_stages(spark):
     assert {"doc_id", "bin_id", "length"} <= set(got.columns) and got.count() > 0
 
 
+def test_stages_on_odd_rows_and_empty_tables(spark, frame, odd_rows, sentence):
+    a, b = sentence(60), sentence(60)
+    odd = [*odd_rows, (20, a), (20, f"{b}\nq"), (None, f"{b}\nq"), (None, sentence(60)), (21, a)]
+    for rows in (odd, []):
+        docs = frame(rows)
+        for name, stage in corpus_pipeline.STAGES[1:]:  # the first one learns from labels of its own folder
+            columns, docs = docs.columns, stage(spark, docs, SF).checkpoint()
+            assert docs.columns == columns or name == "packing"
+        assert bool(docs.count()) == bool(rows)
+
+
 @pytest.fixture(scope="module")
 def duck() -> duckdb.DuckDBPyConnection:
     return connect(SF)

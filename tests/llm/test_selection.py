@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,6 +64,41 @@ def test_held_out_texts_are_told_apart(spark):
     assert in_order >= 0.8 * len(toxic) * len(clean)
 
 
+def test_scores_are_those_of_a_plain_network():
+    """Sums of word vectors, windows of every width, maxima and the output, one text and one window at a time."""
+    random = np.random.default_rng(5)
+    model = toxicity.ToxicityModel(
+        words=random.normal(0, 1, (toxicity.HASHED_WORDS + 1, toxicity.DIMENSIONS)).astype(np.float32),
+        filters=[random.normal(0, 1, (w, toxicity.DIMENSIONS, toxicity.FILTERS)).astype(np.float32) for w in toxicity.WIDTHS],
+        biases=[random.normal(0, 1, toxicity.FILTERS).astype(np.float32) for _ in toxicity.WIDTHS],
+        out=random.normal(0, 0.1, len(toxicity.WIDTHS) * toxicity.FILTERS).astype(np.float32), out_bias=0.3,
+    )
+    model.words[toxicity.HASHED_WORDS] = 0
+    ids = toxicity.WordIds()
+    texts = [ids.of(t) for t in ("", "one", "two words", "three short words", "a b c d e f g " * 30, None, "the end")]
+    for text, score in zip(texts, model.score(texts)):
+        vectors = [model.words[list(units)].sum(axis=0) for units in text] + [np.zeros(toxicity.DIMENSIONS)] * toxicity.PAD
+        features = []
+        for filters, bias in zip(model.filters, model.biases):
+            windows = [sum(vectors[at + j] @ filters[j] for j in range(len(filters))) for at in range(len(text))]
+            best = np.max(windows, axis=0) if windows else np.zeros(toxicity.FILTERS)
+            features.append(np.maximum(best + bias, 0))
+        plain_score = 1 / (1 + np.exp(-(np.concatenate(features) @ model.out + model.out_bias)))
+        assert score == pytest.approx(plain_score, abs=1e-4)
+
+
+def test_thresholds_are_calibrated_by_language(spark, frame, sentence):
+    rows = [(i, sentence(15) + (" vileword" if i % 2 else ""), ("en", "de", "fr")[i % 3], "web") for i in range(900)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(900) if i % 3 < 2 or i < 9], "doc_id long, toxic int")
+    model = toxicity.train(frame(rows), labels)
+    assert set(model.thresholds) == {"en", "de"} and model.threshold("fr") == toxicity.THRESHOLD == model.threshold(None)
+    got = toxicity.toxicity_scores(frame(rows), labels).collect()
+    assert all(r.threshold == model.threshold(rows[r.doc_id][2]) for r in got)
+    assert all(r.rejected == (r.score >= r.threshold) and r.predicted == int(r.score >= 0.3) for r in got)
+    kept = {r.doc_id for r in toxicity.without_toxic(frame(rows), labels).collect()}
+    assert kept == {r.doc_id for r in got if not r.rejected}
+
+
 def test_only_toxic_texts_go(spark, frame, sentence):
     rows = [(i, sentence(20) + (" vileword" if i % 3 == 0 else "") + " " + sentence(20)) for i in range(600)]
     labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(400)], "doc_id long, toxic int")
@@ -96,6 +133,31 @@ def test_rules_on_host_and_path(spark):
     assert url_filter.judge_urls(pages.limit(0)).collect() == []
 
 
+def plain_rule(url):
+    """(host, path, rule, verdict) in plain Python."""
+    url = url or ""
+    if "://" not in url:
+        return "", "", None, None
+    rest = url.split("://", 1)[1]
+    host = re.split("[/?#]", rest, maxsplit=1)[0]
+    path = re.split("[?#]", rest[len(host):], maxsplit=1)[0]
+    host = host.translate(str.maketrans(url_filter.UPPER, url_filter.LOWER))
+    fits = [r for r in url_filter.RULES if ("." + host).endswith("." + r.host) and path.startswith(r.path)]
+    best = max(fits, key=lambda r: len(r.text), default=None)
+    return (host, path, best.text, best.verdict) if best else (host, path, None, None)
+
+
+def test_all_pages_are_judged_as_by_plain_code(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url")
+    odd = [(10**6 + i, u) for i, u in enumerate(["HTTP://a.b.ORG/ES/", "http://x.org/" + "p/" * 3000, "http://org/", "http://:80/es/", "",
+                                                  None, "http://example.org/en/10?x", "http://example.org/en/2", "http://example.org/es"])]
+    pages = pages.union(spark.createDataFrame(odd * 2, pages.schema))
+    got = sorted((r.page_id, r.host, r.path, r.rule, r.verdict) for r in url_filter.judge_urls(pages).collect())
+    rows = sorted(((r.page_id, *plain_rule(r.url)) for r in pages.collect()), key=lambda r: r[:3])
+    assert [r[:4] for r in got] == [r[:4] for r in rows]
+    assert all(a[4] == b[4] if b[4] else a[4] in ("allow", "block") for a, b in zip(got, rows))
+
+
 def test_the_regression_learns_from_a_labelled_table(spark):
     rows = [(i, f"http://{'cheap-pills' if i % 2 else 'library'}{i}.net/p{i}", i % 2) for i in range(200)]
     labelled = spark.createDataFrame(rows, "page_id long, url string, label int")
@@ -146,6 +208,39 @@ def test_the_mix_comes_near_its_targets(frame, sentence):
     assert {r.doc_id: r["count"] for r in mixed} == {r.doc_id: r.taken // r["size"] for r in got if r.taken}
 
 
+def test_many_sources_are_joined_by_salt(frame, sentence, monkeypatch):
+    rows = [(i, sentence(3 + i % 20), "en", (None, *(f"s{k}" for k in range(40)))[i % 41]) for i in range(800)]
+    want = sorted(map(str, mixing.mix_plan(frame(rows)).collect()))
+    mixed = sorted(r.doc_id for r in mixing.mix(frame(rows)).collect())
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 5)
+    assert sorted(map(str, mixing.mix_plan(frame(rows)).collect())) == want
+    assert sorted(r.doc_id for r in mixing.mix(frame(rows)).collect()) == mixed
+
+
+def test_texts_stay_where_they_are(frame, sentence):
+    docs = frame([(i, sentence(20), "en", "web") for i in range(50)])
+    for df in (mixing.mix(docs), mixing.mix_plan(docs)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan and "Exchange hash" not in plan
+
+
+def test_rows_without_an_id_are_chosen_by_their_text(frame, sentence):
+    rows = [(None, sentence(20), "en", ("a", "b", "b")[i % 3]) for i in range(600)]
+    plan = mixing.mix_plan(frame(rows)).collect()
+    for source in {r.source_size for r in plan}:
+        mine = [r for r in plan if r.source_size == source]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= 40
+    assert len(plan) == 600 and all(r.doc_id is None for r in plan)
+    mixed = mixing.mix(frame(rows)).collect()
+    assert sum(len(plain.words(r.text)) for r in mixed) == sum(r.taken for r in plan) and mixed[0].gone == "gone"
+
+
+def test_the_mix_of_odd_rows(frame, odd_rows):
+    taken = sorted(str(r.doc_id) for r in mixing.mix(frame(odd_rows)).collect())
+    assert set(taken) <= {str(r[0]) for r in odd_rows}
+    assert mixing.mix(frame([])).collect() == []
+
+
 # --- odd tables
 
 @pytest.mark.parametrize("name", ["quality", "toxicity", "reject", "mix"])
