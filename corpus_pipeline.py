@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept and returns a
 frame; all but the last return the columns of documents. Between stages the rows are written
-to reliable storage, so a lost executor costs at most one stage.
+to reliable storage, so a lost executor costs at most one stage. An empty table passes through all stages, texts are
+whole, however long, and columns of any other name are carried along.
 """
 
 from __future__ import annotations
@@ -19,27 +20,31 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go, by the threshold of their language."""
+    """Documents that the classifier rejects go, by the threshold of their language; without two kinds of
+    labels, or where texts are NULL or empty, all are judged by one score. Columns stay."""
     return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines like an earlier line go; every document stays, with what is left of its text."""
+    """Lines like an earlier line go; every row stays, with what is left of its text, and loses lines of its own
+    only, also where rows have one id or none. NULL texts stay NULL. Columns stay."""
     return line_dedup.dedup_lines(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One row of each group of near copies stays, that of the smallest id; rows of one id or without one are
+    different documents, rows without words all stay. Columns stay."""
     return minhash_dedup.without_near_copies(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them, none to two times."""
+    """Rows as often as the mix of sources takes them, none to two times; a NULL source is one of its own. Columns
+    stay."""
     return mixing.mix(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document lies in which training sequence."""
+    """Where each piece of each row lies in which training sequence; rows without words have a row without one."""
     return packing.pack(docs)
 
 
