@@ -9,8 +9,8 @@
 3. In every bucket the lines are compared with its most frequent one, the pivot. Where some are then still apart from
    it, these are compared with all others of the bucket that they are not connected with already, but for two
    kinds of pairs. Jaccard distance is a metric: two lines whose distances from the pivot differ by more than a quarter cannot
-   be similar. And lines of a similarity of 0.75 that have fewer than 13 of their 27 minimum hashes in common
-   are three pairs of 1000; where one such link is missed, the lines mostly are connected through others.
+   be similar. And of 128 further minimum hashes, which only lines of such buckets get, similar ones have fewer than 80 in
+   common once in 1000 pairs; so a large group of variants, each unlike the others, is not compared pair by pair.
 4. The Jaccard similarity of the two sets of all shingles decides. Links become components, and of every component the first
    line stays.
 
@@ -36,8 +36,8 @@ SAMPLED, FEW_CHARACTERS = 4, 128
 #: Candidate lines that are broadcast as hashes, some MB; more of them are joined by shuffling.
 BROADCAST_LINES = 500_000
 
-#: Minimum hashes that two lines must have in common to be compared away from a pivot.
-AGREEING = 13
+#: Minimum hashes of lines that are compared away from a pivot, and how many of them they must have in common.
+FINE, AGREEING = 128, 80
 
 _WIDTH = 4  # bytes of a character in the coding that shingles are cut from
 
@@ -47,9 +47,9 @@ def plain(line: Column) -> Column:
     return F.trim(blank_breaks(line))
 
 
-def _seeds() -> list[int]:
+def _seeds(first: int, last: int) -> list[int]:
     """Masks of 31 bits, one per minhash: multiples of the golden ratio."""
-    return [(i * 0x9E3779B1) % (1 << 31) for i in range(1, BANDS * ROWS + 1)]
+    return [(i * 0x9E3779B1) % (1 << 31) for i in range(first, last + 1)]
 
 
 def _all_lines(rows: DataFrame) -> DataFrame:
@@ -83,7 +83,7 @@ def signatures(lines: DataFrame) -> DataFrame:
     )
     chosen = F.col("shingle").bitwiseAND(F.col("mask")) == 0
     least = [
-        F.min(F.when(chosen, F.col("shingle").bitwiseXOR(F.lit(seed)))).alias(f"m{i}") for i, seed in enumerate(_seeds())
+        F.min(F.when(chosen, F.col("shingle").bitwiseXOR(F.lit(seed)))).alias(f"m{i}") for i, seed in enumerate(_seeds(1, BANDS * ROWS))
     ]
     return each.where(chosen | (F.col("at") == 1)).groupBy("h", "mask").agg(F.count_if(F.col("at") == 1).alias("n"), *least)
 
@@ -100,27 +100,38 @@ def band_keys(signed: DataFrame) -> DataFrame:
 # Seven bytes in a number, so that sums of them stay positive.
 _PACKED = 7
 _LOW, _HIGH = int("7f" * _PACKED, 16), int("80" * _PACKED, 16)
+_HALF = FINE // 2  # as many minimum hashes as Spark compiles into one aggregation
 
 
-def _packed(signed: DataFrame) -> DataFrame:
-    """(h, mask, s0, s1, ...) with a byte of every minimum hash; of the two signatures of a short line that of all shingles."""
-    parts = []
-    for k, begin in enumerate(range(0, BANDS * ROWS, _PACKED)):
-        part = F.lit(0).cast("bigint")
-        for i in range(begin, min(begin + _PACKED, BANDS * ROWS)):
-            byte = F.shiftright(F.coalesce(f"m{i}", F.lit(0)), SAMPLED.bit_length()).bitwiseAND(255).cast("bigint")
-            part = F.shiftleft(part, 8).bitwiseOR(byte)
-        parts.append(part.alias(f"s{k}"))
-    every = signed.select("h", "mask", *parts)
-    names = [c for c in every.columns if c != "h"]
-    return every.groupBy("h").agg(F.min(F.struct(*names)).alias("least")).select("h", *[f"least.{c}" for c in names])
-
-
-def _agreeing(mine: str, theirs: str) -> Column:
-    """How many bytes of two packed signatures are equal."""
-    count = F.lit(BANDS * ROWS)
-    for k in range(-(-BANDS * ROWS // _PACKED)):
-        x = F.col(f"{mine}.s{k}").bitwiseXOR(F.col(f"{theirs}.s{k}"))
+def _fine(lines: DataFrame) -> DataFrame:
+    """(h, s0, s1, ...) with a byte of FINE minimum hashes of every line of (h, line)."""
+    coded = lines.select("h", F.encode("line", "UTF-32").alias("coded"))
+    each = coded.select("h", "coded", F.explode(_starts(F.col("coded"))).alias("at")).select(
+        "h", F.hash(_shingle(F.col("coded"), F.col("at"))).alias("shingle")
+    )
+    found = None
+    for half in range(2):
+        first = BANDS * ROWS + 1 + half * _HALF
+        least = [
+            F.min(F.col("shingle").bitwiseXOR(F.lit(seed))).alias(f"m{i}")
+            for i, seed in enumerate(_seeds(first, first + _HALF - 1))
+        ]
+        parts = []
+        for begin in range(0, _HALF, _PACKED):
+            part = F.lit(0).cast("bigint")
+            for i in range(begin, min(begin + _PACKED, _HALF)):
+                part = F.shiftleft(part, 8).bitwiseOR(F.col(f"m{i}").bitwiseAND(255).cast("bigint"))
+            parts.append(part.alias(f"s{half}_{begin}"))
+        packed = each.groupBy("h").agg(*least).select("h", *parts)
+        found = packed if found is None else found.join(packed, "h")
+    return found
+
+
+def _agreeing(names: list[str]) -> Column:
+    """How many bytes of the packed signatures of the rows ``a`` and ``b`` are equal."""
+    count = F.lit(FINE)
+    for name in names:
+        x = F.col(f"a.{name}").bitwiseXOR(F.col(f"b.{name}"))
         # The highest bit of every byte that is not zero.
         marks = x.bitwiseOR(x.bitwiseAND(_LOW) + F.lit(_LOW)).bitwiseAND(_HIGH)
         count = count - F.bit_count(marks)
@@ -166,8 +177,7 @@ def _links(measured: DataFrame) -> DataFrame:
 
 def line_components(lines: DataFrame) -> DataFrame:
     """(h, component) of the lines (h, line) that are linked with other lines."""
-    signed = keep(signatures(lines))
-    places = keep(_buckets(band_keys(signed)))
+    places = keep(_buckets(band_keys(signatures(lines))))
     wanted = keep(places.select("h").distinct())
     few = wanted.count() <= BROADCAST_LINES
     texts = keep(
@@ -185,14 +195,15 @@ def line_components(lines: DataFrame) -> DataFrame:
     )
     apart = keep(apart)
     open_keys = apart.where("part != home").select("key").distinct()
-    packed = _packed(signed.join(wanted, "h", "left_semi"))
-    placed = keep(apart.join(open_keys, "key").join(packed, "h"))
+    crowded = keep(apart.join(open_keys, "key"))
+    fine = keep(_fine(texts.join(crowded.select("h").distinct(), "h", "left_semi")))
+    placed = crowded.join(fine, "h")
     asked = placed.where("part != home")
     reach = 1 - PERCENT / 100 + 1e-9
     compared = (
         (F.col("a.part") != F.col("b.part")) & ((F.col("b.part") == F.col("b.home")) | (F.col("b.h") < F.col("a.h")))
         & (F.abs(F.col("a.away") - F.col("b.away")) <= reach)
-        & ((F.col("a.mask") != F.col("b.mask")) | (_agreeing("a", "b") >= AGREEING))
+        & (_agreeing(fine.columns[1:]) >= AGREEING)
     )
     rest = (
         asked.alias("a").join(placed.alias("b"), (F.col("a.key") == F.col("b.key")) & compared)
