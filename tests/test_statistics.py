@@ -32,8 +32,7 @@ KINDS = {
 }
 
 
-@pytest.mark.parametrize("kind", KINDS)
-@pytest.mark.parametrize("q", [0.0, 0.5, 0.9, 1.0])
+@pytest.mark.parametrize("kind, q", [*((kind, 0.5) for kind in KINDS), ("bigint", 0.0), ("bigint", 1.0), ("double", 0.9)])
 def test_quantiles_of_every_kind(spark, kind, q):
     pick = random.Random(kind)
     rows = [(k, KINDS[kind](pick) if pick.random() < 0.9 else None) for k in ("a", "b", None) for _ in range(pick.randint(1, 60))]
