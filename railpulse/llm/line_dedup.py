@@ -7,7 +7,7 @@
    shingles 7 of 1000 pairs share none, at 0.8 one of 1000. Keys of three keep lines that are not similar out of each other's
    buckets.
 3. In every bucket the lines are compared with its most frequent one, the pivot. Where some are then still apart from
-   it, these are compared with all others of the bucket that they are not connected with already, but for two
+   it, these are compared with all others around the pivot that they are not connected with already, but for two
    kinds of pairs. Jaccard distance is a metric: two lines whose distances from the pivot differ by more than a quarter cannot
    be similar. And of 128 further minimum hashes, which only lines of such buckets get, similar ones have fewer than 80 in
    common once in 1000 pairs; so a large group of variants, each unlike the others, is not compared pair by pair.
@@ -188,16 +188,16 @@ def line_components(lines: DataFrame) -> DataFrame:
     parts = keep(components(_links(stars)))
     named = parts.select(F.col("node").alias("h"), F.col("component").alias("part"))
     homes = parts.select(F.col("node").alias("pivot"), F.col("component").alias("home"))
-    away = stars.select("h", F.col("other").alias("pivot"), (1 - F.col("shared") / F.col("united")).alias("away"))
-    apart = (
-        places.where("h != pivot").join(away, ["h", "pivot"]).join(named, "h", "left").join(homes, "pivot", "left")
-        .select("key", "h", "away", F.coalesce("part", "h").alias("part"), F.coalesce("home", "pivot").alias("home"))
+    # A row per line and pivot: where some lines are apart from the pivot, all lines around it are looked at.
+    around = keep(
+        stars.withColumn("away", 1 - F.col("shared") / F.col("united")).select("h", F.col("other").alias("pivot"), "away")
+        .join(named, "h", "left").join(homes, "pivot", "left")
+        .select("pivot", "h", "away", F.coalesce("part", "h").alias("part"), F.coalesce("home", "pivot").alias("home"))
     )
-    apart = keep(apart)
-    open_keys = apart.where("part != home").select("key").distinct()
-    crowded = keep(apart.join(open_keys, "key"))
+    open_pivots = around.where("part != home").select("pivot").distinct()
+    crowded = keep(around.join(open_pivots, "pivot"))
     fine = keep(_fine(texts.join(crowded.select("h").distinct(), "h", "left_semi")))
-    placed = crowded.join(fine, "h")
+    placed = keep(crowded.join(fine, "h"))
     asked = placed.where("part != home")
     reach = 1 - PERCENT / 100 + 1e-9
     compared = (
@@ -206,7 +206,7 @@ def line_components(lines: DataFrame) -> DataFrame:
         & (_agreeing(fine.columns[1:]) >= AGREEING)
     )
     rest = (
-        asked.alias("a").join(placed.alias("b"), (F.col("a.key") == F.col("b.key")) & compared)
+        asked.alias("a").join(placed.alias("b"), (F.col("a.pivot") == F.col("b.pivot")) & compared)
         .select(F.greatest("a.h", "b.h").alias("h"), F.least("a.h", "b.h").alias("other")).distinct()
     )
     more = _links(_measured(rest, texts))
