@@ -99,6 +99,21 @@ def test_thresholds_are_calibrated_by_language(spark, frame, sentence):
     assert kept == {r.doc_id for r in got if not r.rejected}
 
 
+def test_training_takes_all_labelled_rows(spark, frame):
+    """Toxic texts and a language that only rows beyond the first 6000 by hash have."""
+    seen = spark.range(9000).where("crc32(cast(id AS string)) % 4 != 2").orderBy(F.xxhash64("id"), "id")
+    late = {r.id for r in seen.collect()[6000:]}
+    toxic = {i for i in late if i % 2}
+    rows = [(i, "a vileword here" if i in toxic else "a good word here", "de" if i in late else "en", "web") for i in range(9000)]
+    labels = spark.createDataFrame([(i, int(i in toxic)) for i in range(9000)], "doc_id long, toxic int")
+    model = toxicity.train(frame(rows), labels)
+    ids = toxicity.WordIds()
+    bad, good = model.score([ids.of("a vileword here"), ids.of("a good word here")])
+    assert bad > 0.5 > 0.1 > good and set(model.thresholds) == {"de"} and good < model.threshold("de") < bad
+    total = sum(i % 4 != 2 for i in map(lambda i: zlib.crc32(str(i).encode()), range(9000)))
+    assert model.prior == pytest.approx(len(toxic) / total, abs=0.01)
+
+
 def test_only_toxic_texts_go(spark, frame, sentence):
     rows = [(i, sentence(20) + (" vileword" if i % 3 == 0 else "") + " " + sentence(20)) for i in range(600)]
     labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(400)], "doc_id long, toxic int")
