@@ -167,6 +167,20 @@ def test_latest_per_request_equals_the_batch_form(spark, logs, tmp_path):
     assert run_latest(spark, tmp_path, quiet=timedelta(hours=2)) == expected
 
 
+def test_open_requests_share_state(spark, tmp_path):
+    """Many open requests cost a bounded number of state rows and timers, and none is lost."""
+    many = 2 * latest.GROUPS * 3
+    for rows in ([(i, "2024-01-30 08:55:00", f"m{i}") for i in range(many)], [(-1, "2024-01-30 12:00:00", None)]):
+        write(answers(spark, rows), tmp_path, "txn_responses")
+        stream = latest.latest_per_request(live.read_stream(spark, f"{tmp_path}/txn_responses", "txn_responses"))
+        query = live.start(stream, f"{tmp_path}/out", f"{tmp_path}/progress", every=None, partitions=2, settings=latest.KEYED_STATE)
+        query.awaitTermination(120)
+        held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+        assert 0 < max(held) <= 3 * latest.GROUPS + 3  # a table, and a timer by group and by time
+    closed = spark.read.schema(stream.schema).parquet(f"{tmp_path}/out").collect()
+    assert {r.request_id: r.message for r in closed} == {i: f"m{i}" for i in range(many)} and len(closed) == many
+
+
 def test_batches_are_reduced_before_the_state(spark):
     rows = pa.table({
         "request_id": [7, 7, 8, 7, 8], "op_time": pa.array([1, 3, 5, 3, 5], pa.timestamp("us", "UTC")),
