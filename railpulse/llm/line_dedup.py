@@ -9,8 +9,9 @@
 3. In every bucket the lines are compared with its most frequent one, the pivot. Where some are then still apart from
    it, these are compared with all others of the bucket that they are not connected with already, but for two
    kinds of pairs. Jaccard distance is a metric: two lines whose distances from the pivot differ by more than a quarter cannot
-   be similar. And of 128 further minimum hashes, which only lines of such buckets get, similar ones have fewer than 80 in
-   common once in 1000 pairs; so a large group of variants, each unlike the others, is not compared pair by pair.
+   be similar. And lines of such buckets get sketches: 1536 bits, on each of which an even or an odd number of shingles falls. The bits
+   that differ bound from below how many shingles two lines do not share. So of a large group of variants, each unlike
+   the others, few pairs are compared.
 4. The Jaccard similarity of the two sets of all shingles decides. Links become components, and of every component the first
    line stays.
 
@@ -36,8 +37,9 @@ SAMPLED, FEW_CHARACTERS = 4, 128
 #: Candidate lines that are broadcast as hashes, some MB; more of them are joined by shuffling.
 BROADCAST_LINES = 500_000
 
-#: Minimum hashes of lines that are compared away from a pivot, and how many of them they must have in common.
-FINE, AGREEING = 128, 80
+#: Sketches of lines that are compared away from a pivot: bits, one shingle in how many is in them, and up to how many
+#: shingles that only one of two lines has they serve.
+STRATA = ((1536, 1, 1400), (256, 16, 2400), (256, 64, 1 << 40))
 
 _WIDTH = 4  # bytes of a character in the coding that shingles are cut from
 
@@ -97,45 +99,49 @@ def band_keys(signed: DataFrame) -> DataFrame:
     return signed.select("h", "n", F.explode(F.array(*keys)).alias("key"))
 
 
-# Seven bytes in a number, so that sums of them stay positive.
-_PACKED = 7
-_LOW, _HIGH = int("7f" * _PACKED, 16), int("80" * _PACKED, 16)
-_HALF = FINE // 2  # as many minimum hashes as Spark compiles into one aggregation
+def _sketches(lines: DataFrame) -> DataFrame:
+    """(h, size, w0, w1, ...) of every line of (h, line): how many distinct shingles it has, and for each of STRATA
+    how many fall on each of its bits, even or odd."""
+    each = lines.select("h", F.explode(shingle_set(F.col("line"))).alias("shingle"))
+    words, first = [], 0
+    for bits, rate, _ in STRATA:
+        at = F.pmod(F.shiftright("shingle", 12), F.lit(bits))
+        chosen = F.col("shingle").bitwiseAND(rate - 1) == 0
+        place = F.when(chosen, F.shiftright(at, 6).cast("int")).otherwise(-1)
+        bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), at.bitwiseAND(63).cast("int"))
+        each = each.withColumns({f"place{first}": place, f"bit{first}": bit})
+        words += [
+            F.bit_xor(F.when(F.col(f"place{first}") == i, F.col(f"bit{first}")).otherwise(F.lit(0).cast("bigint")))
+            for i in range(bits // 64)
+        ]
+        first += bits // 64
+    # Never NULL, and known not to be: the code that compares them gets half as long.
+    words = [F.coalesce(word, F.lit(0).cast("bigint")).alias(f"w{i}") for i, word in enumerate(words)]
+    return each.groupBy("h").agg(F.count(F.lit(1)).alias("size"), *words)
 
 
-def _fine(lines: DataFrame) -> DataFrame:
-    """(h, s0, s1, ...) with a byte of FINE minimum hashes of every line of (h, line)."""
-    coded = lines.select("h", F.encode("line", "UTF-32").alias("coded"))
-    each = coded.select("h", "coded", F.explode(_starts(F.col("coded"))).alias("at")).select(
-        "h", F.hash(_shingle(F.col("coded"), F.col("at"))).alias("shingle")
-    )
-    found = None
-    for half in range(2):
-        first = BANDS * ROWS + 1 + half * _HALF
-        least = [
-            F.min(F.col("shingle").bitwiseXOR(F.lit(seed))).alias(f"m{i}")
-            for i, seed in enumerate(_seeds(first, first + _HALF - 1))
-        ]
-        parts = []
-        for begin in range(0, _HALF, _PACKED):
-            part = F.lit(0).cast("bigint")
-            for i in range(begin, min(begin + _PACKED, _HALF)):
-                part = F.shiftleft(part, 8).bitwiseOR(F.col(f"m{i}").bitwiseAND(255).cast("bigint"))
-            parts.append(part.alias(f"s{half}_{begin}"))
-        packed = each.groupBy("h").agg(*least).select("h", *parts)
-        found = packed if found is None else found.join(packed, "h")
-    return found
-
-
-def _agreeing(names: list[str]) -> Column:
-    """How many bytes of the packed signatures of the rows ``a`` and ``b`` are equal."""
-    count = F.lit(FINE)
-    for name in names:
-        x = F.col(f"a.{name}").bitwiseXOR(F.col(f"b.{name}"))
-        # The highest bit of every byte that is not zero.
-        marks = x.bitwiseOR(x.bitwiseAND(_LOW) + F.lit(_LOW)).bitwiseAND(_HIGH)
-        count = count - F.bit_count(marks)
-    return count
+def _may_link() -> Column:
+    """Whether the shingles of the rows ``a`` and ``b``, with their sketches, may be similar enough.
+
+    Bits on which two sketches differ are those on which an odd number of shingles fall that only one line has. Similar
+    lines have at most a seventh of both sizes of such shingles, and never more odd bits than that. They seldom have as many, since
+    some fall on one bit: four standard deviations above the mean are asked for.
+    """
+    sizes = F.col("a.size") + F.col("b.size")
+    most = sizes * ((100 - PERCENT) / (100 + PERCENT))
+    found, first = None, 0
+    for bits, rate, up_to in STRATA:
+        odd = sum(
+            (F.bit_count(F.col(f"a.w{i}").bitwiseXOR(F.col(f"b.w{i}"))) for i in range(first, first + bits // 64)), F.lit(0)
+        )
+        load = most / (rate * bits)
+        mean = (1 - F.exp(-2 * load)) * (bits / 2)
+        spread = F.sqrt(F.greatest(F.lit(0.0), ((1 - F.exp(-4 * load)) / 4 - load * F.exp(-4 * load) / rate) * bits))
+        few = odd <= F.least(most, mean + 4 * spread) + 1e-6
+        found = F.when(most <= up_to, few) if found is None else found.when(most <= up_to, few)
+        first += bits // 64
+    longer = F.greatest("a.size", "b.size") * PERCENT <= F.least("a.size", "b.size") * 100
+    return longer & found.otherwise(F.lit(True))
 
 
 def _buckets(keyed: DataFrame) -> DataFrame:
@@ -194,16 +200,16 @@ def line_components(lines: DataFrame) -> DataFrame:
         .select("key", "h", "away", F.coalesce("part", "h").alias("part"), F.coalesce("home", "pivot").alias("home"))
     )
     apart = keep(apart)
-    open_keys = apart.where("part != home").select("key").distinct()
+    open_keys = apart.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
     crowded = keep(apart.join(open_keys, "key"))
-    fine = keep(_fine(texts.join(crowded.select("h").distinct(), "h", "left_semi")))
-    placed = crowded.join(fine, "h")
+    sketches = keep(_sketches(texts.join(crowded.select("h").distinct(), "h", "left_semi")))
+    placed = crowded.join(sketches, "h")
     asked = placed.where("part != home")
     reach = 1 - PERCENT / 100 + 1e-9
     compared = (
         (F.col("a.part") != F.col("b.part")) & ((F.col("b.part") == F.col("b.home")) | (F.col("b.h") < F.col("a.h")))
         & (F.abs(F.col("a.away") - F.col("b.away")) <= reach)
-        & (_agreeing(fine.columns[1:]) >= AGREEING)
+        & _may_link()
     )
     rest = (
         asked.alias("a").join(placed.alias("b"), (F.col("a.key") == F.col("b.key")) & compared)

@@ -245,6 +245,60 @@ def test_shingles_are_of_characters(spark):
     assert {r.line: r.n for r in df.collect()} == {x: len(_shingles(x)) for x in lines}
 
 
+def test_few_lines_of_a_large_group_are_measured(spark, vocabulary, monkeypatch):
+    """Variants of one text, with three words replaced in each: below the limit to one another, but not far."""
+    pick = random.Random(8)
+    base = pick.choices(vocabulary, k=60)
+    lines = []
+    for _ in range(80):
+        words = list(base)
+        for at in pick.sample(range(60), 3):
+            words[at] = "".join(pick.choices("0123456789", k=6))
+        lines.append(" ".join(words))
+    sets = [_shingles(x) for x in lines]
+    close = [(i, j) for i in range(80) for j in range(i) if plain.similar(sets[i], sets[j])]
+    measured, real = [], line_dedup._measured
+
+    def counted(pairs, texts):
+        measured.append(pairs.count())
+        return real(pairs, texts)
+
+    monkeypatch.setattr(line_dedup, "_measured", counted)
+    table = spark.createDataFrame(list(enumerate(lines)), "i int, line string").selectExpr("i", "xxhash64(line) AS h", "line")
+    found = {r.h: r.component for r in line_dedup.line_components(table.select("h", "line")).collect()}
+    part = {r.i: found.get(r.h, r.h) for r in table.collect()}
+    assert all(part[i] == part[j] for i, j in close)
+    assert len(set(part.values())) >= 80 - len(close)
+    assert sum(measured) <= 80 * 79 / 2 / 3, (measured, len(close))
+
+
+def test_sketches_never_part_similar_lines(spark, vocabulary):
+    """Pairs of any length whose similarity is at the limit or above; most of those well below it go."""
+    pick = random.Random(21)
+    rows = []
+    for k in range(240):
+        size = pick.choice([12, 60, 150, 700, 2500])
+        words = pick.choices(vocabulary, k=size)
+        other = list(words)
+        for _ in range(max(1, int(size * pick.choice([0.02, 0.06, 0.08, 0.3])))):
+            other[pick.randrange(size)] = pick.choice(vocabulary)
+        rows.append((k, " ".join(words), " ".join(other)))
+    pairs = spark.createDataFrame(rows, "k int, x string, y string").selectExpr("k", "xxhash64(x) AS x", "xxhash64(y) AS y")
+    lines = spark.createDataFrame([(x,) for r in rows for x in r[1:]], "line string").distinct()
+    sketches = line_dedup._sketches(lines.selectExpr("xxhash64(line) AS h", "line")).cache()
+    both = pairs.join(sketches.alias("a"), F.col("x") == F.col("a.h")).join(sketches.alias("b"), F.col("y") == F.col("b.h"))
+    passed = {r.k for r in both.where(line_dedup._may_link()).select("k").collect()}
+    far = 0
+    for k, x, y in rows:
+        a, b = _shingles(x), _shingles(y)
+        if plain.similar(a, b):
+            assert k in passed
+        elif len(a & b) < 0.4 * len(a | b):
+            far += 1
+            assert k not in passed, (len(x), len(a & b) / len(a | b))
+    assert far > 10
+
+
 def test_no_text_is_lost_under_one_id(frame, sentence):
     x, y, z = (sentence(12) for _ in range(3))
     rows = [(0, x), (1, f"{x}\nq"), (1, f"{y}\nq"), (None, f"{y}!\nq"), (None, f"{z}\nq"), (None, None)]
