@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from railpulse.llm.common import blank_breaks
+from railpulse.llm.common import WORD_BREAKS, blank_breaks
 from railpulse.llm.components import components
 from railpulse.operators.durable import keep
 
@@ -46,7 +46,11 @@ _WIDTH = 4  # bytes of a character in the coding that shingles are cut from
 
 def plain(line: Column) -> Column:
     """The line as it is compared: word breaks as blanks, none at the ends."""
-    return F.trim(blank_breaks(line))
+    # Looking for a mark is far cheaper than replacing it, and few lines have one.
+    broken = F.lit(False)
+    for mark in WORD_BREAKS:
+        broken |= F.contains(line, F.lit(mark))
+    return F.trim(F.when(broken, blank_breaks(line)).otherwise(F.coalesce(line, F.lit(""))))
 
 
 def _seeds(first: int, last: int) -> list[int]:
@@ -73,12 +77,13 @@ def _shingle(coded: Column, at: Column) -> Column:
     return F.substring(coded, at, F.lit(_WIDTH * SHINGLE))
 
 
-def signatures(lines: DataFrame) -> DataFrame:
-    """(h, mask, n, m0, m1, ...) per distinct line of (h, line); ``n`` rows have it. A signature is of
-    the shingles whose hash has no bit of ``mask``."""
-    masks = F.when(F.length("line") <= FEW_CHARACTERS, F.array(F.lit(SAMPLED - 1), F.lit(0))).otherwise(
-        F.array(F.lit(SAMPLED - 1))
-    )
+def signatures(lines: DataFrame, shortest: int = SHORTEST_LINE) -> DataFrame:
+    """(h, mask, n, m0, m1, ...) per distinct line of (h, line) of ``shortest`` characters or more; ``n`` rows have it.
+    A signature is of the shingles whose hash has no bit of ``mask``."""
+    # No mask, no row: a filter would compute every line once for itself and once for what follows.
+    masks = F.when(F.length("line") < shortest, F.lit(None)).when(
+        F.length("line") <= FEW_CHARACTERS, F.array(F.lit(SAMPLED - 1), F.lit(0))
+    ).otherwise(F.array(F.lit(SAMPLED - 1)))
     coded = lines.select("h", F.encode("line", "UTF-32").alias("coded"), F.explode(masks).alias("mask"))
     each = coded.select("h", "mask", "coded", F.explode(_starts(F.col("coded"))).alias("at")).select(
         "h", "mask", "at", F.hash(_shingle(F.col("coded"), F.col("at"))).alias("shingle")
@@ -153,27 +158,30 @@ def _buckets(keyed: DataFrame) -> DataFrame:
     ).where("low < high").select("key", "h", F.col("most.h").alias("pivot"))
 
 
-def shingle_set(line: Column) -> Column:
-    """Hashes of the distinct eight-character shingles."""
+def _shingles(line: Column) -> Column:
+    """Hashes of the eight-character shingles, repeats included."""
     def of(coded: Column) -> Column:
-        return F.array_distinct(F.transform(_starts(coded), lambda at: F.xxhash64(_shingle(coded, at))))
+        return F.transform(_starts(coded), lambda at: F.xxhash64(_shingle(coded, at)))
 
     # A variable of a lambda is computed once, an expression in it for every shingle.
     return F.get(F.transform(F.array(F.encode(line, "UTF-32")), of), 0)
 
 
+def shingle_set(line: Column) -> Column:
+    """Hashes of the distinct eight-character shingles."""
+    return F.array_distinct(_shingles(line))
+
+
 def _measured(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (h, other) with the sizes of their ``shared`` and ``united`` shingles."""
     others = texts.select(F.col("h").alias("other"), F.col("line").alias("other_line"))
-
-    def sizes(sets: Column) -> Column:
-        shared = F.size(F.array_intersect(sets[0], sets[1]))
-        return F.struct(shared.alias("shared"), (F.size(sets[0]) + F.size(sets[1]) - shared).alias("united"))
-
-    both = F.array(shingle_set(F.col("line")), shingle_set(F.col("other_line")))
-    found = F.get(F.transform(F.array(both), sizes), 0)
-    measured = pairs.join(texts, "h").join(others, "other").select("h", "other", found.alias("found"))
-    return keep(measured.select("h", "other", "found.shared", "found.united"))
+    both = pairs.join(texts, "h").join(others, "other")
+    # Outside of lambdas, and of hashes instead of sets: so Spark compiles both operations for whole numbers.
+    hashed = both.select("h", "other", _shingles(F.col("line")).alias("mine"), _shingles(F.col("other_line")).alias("theirs"))
+    return keep(hashed.select(
+        "h", "other", F.size(F.array_intersect("mine", "theirs")).alias("shared"),
+        F.size(F.array_union("mine", "theirs")).alias("united"),
+    ))
 
 
 def _links(measured: DataFrame) -> DataFrame:
@@ -181,9 +189,9 @@ def _links(measured: DataFrame) -> DataFrame:
     return measured.where(linked).select(F.col("h").alias("u"), F.col("other").alias("v"))
 
 
-def line_components(lines: DataFrame) -> DataFrame:
-    """(h, component) of the lines (h, line) that are linked with other lines."""
-    places = keep(_buckets(band_keys(signatures(lines))))
+def line_components(lines: DataFrame, shortest: int = SHORTEST_LINE) -> DataFrame:
+    """(h, component) of the lines (h, line) of ``shortest`` characters or more that are linked with other lines."""
+    places = keep(_buckets(band_keys(signatures(lines, shortest))))
     wanted = keep(places.select("h").distinct())
     few = wanted.count() <= BROADCAST_LINES
     texts = keep(
@@ -237,8 +245,7 @@ def _classes(rows: DataFrame, shortest: int) -> DataFrame:
     if shortest < SHINGLE:
         raise ValueError(f"lines of fewer than {SHINGLE} characters have no shingle")
     lines = _all_lines(rows)
-    long = lines.where(_long(shortest)).select(F.xxhash64("line").alias("h"), "line")
-    known = line_components(long).select(F.col("h").alias("known"), "component")
+    known = line_components(lines.select(F.xxhash64("line").alias("h"), "line"), shortest).select(F.col("h").alias("known"), "component")
     order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "t", "u", "line_no")
     # Short lines are of no part: each is its own first one.
     hashed = lines.select("doc_id", "t", "u", "line_no", F.when(_long(shortest), F.xxhash64("line")).alias("h"))
