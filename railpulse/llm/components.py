@@ -13,8 +13,11 @@ from pyspark.sql import functions as F
 from railpulse.operators.durable import keep
 
 
-def _fingerprint(links: DataFrame) -> tuple:
-    return tuple(links.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
+def _are_stars(links: DataFrame) -> bool:
+    """Whether every node either has one smaller neighbour, without others, or is itself the smallest of its neighbours."""
+    ends = links.select("u", F.lit(1).alias("below")).union(links.select("v", F.lit(0)))
+    counted = ends.groupBy("u").agg(F.sum("below").alias("below"), F.count(F.lit(1)).alias("n"))
+    return counted.where("below > 0 AND n > 1").isEmpty()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -25,8 +28,8 @@ def components(links: DataFrame) -> DataFrame:
         links.where(F.col(a) != F.col(b))
         .select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     )
-    seen = _fingerprint(now)
-    while seen[0]:
+    # Links that are stars stay as they are.
+    while not _are_stars(now):
         both = now.union(now.select("v", "u"))
         lowest = both.groupBy("u").agg(F.min("v").alias("m")).select(
             F.col("u").alias("at"), F.least("u", "m").alias("m")
@@ -42,9 +45,6 @@ def components(links: DataFrame) -> DataFrame:
             small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .union(least.select("at", "m")).distinct()
         )
-        before, seen = seen, _fingerprint(now)
-        if seen == before:
-            break
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         now.select("v", "v").distinct()
     )

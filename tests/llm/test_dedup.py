@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from railpulse.llm import exact_dedup, line_dedup, minhash_dedup, substring_dedup, suffix_dedup
 from railpulse.llm.components import components
+from railpulse.operators.durable import keep
 from tests.llm import plain
 
 
@@ -155,6 +156,19 @@ def test_near_copies_are_linked_as_by_brute_force(frame, sentence):
     assert pairs_of(left, "doc_id") == sorted({(c,) for _, c in want.values()})
 
 
+def test_stars_take_no_further_rounds(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr("railpulse.llm.components.keep", lambda df: kept.append(1) or keep(df))
+    links = spark.createDataFrame([(9, 1), (1, 8), (7, 1), (5, 4), (4, 5), (3, 3), (None, 2)], "a bigint, b bigint")
+    found = {r.node: r.component for r in components(links).collect()}
+    assert found == {1: 1, 7: 1, 8: 1, 9: 1, 4: 4, 5: 4}
+    assert len(kept) == 1
+    kept.clear()
+    chain = spark.createDataFrame([(3, 2), (2, 1)], "a bigint, b bigint")
+    assert {r.node: r.component for r in components(chain).collect()} == {1: 1, 2: 1, 3: 1}
+    assert len(kept) == 3
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(90, 91), (91, 91), (None, 3)], "a long, b long")
     got = {r.node: r.component for r in components(links).collect()}
