@@ -1,6 +1,6 @@
 """Fuzzy line dedup by MinHash, in DataFrame operations only.
 
-1. The signature of a line are 27 minimum hashes of its eight-character shingles, of one in four, chosen by their own
+1. The signature of a line are 27 minimum hashes of its eight-character shingles, of one in eight, chosen by their own
    hash; lines of up to 128 characters, in which few are chosen, have a second signature of all their shingles. Equal
    lines have one signature; rows are combined in map tasks, so a line that a third of all rows share costs each one row.
 2. Three minhashes make a band key; lines that share one of nine keys are candidates. At a similarity of 0.75 of the chosen
@@ -32,8 +32,9 @@ PERCENT = 75
 #: Lines of fewer characters are only ever alone: their few shingles say little.
 SHORTEST_LINE = 40
 BANDS, ROWS = 9, 3
-#: One shingle in so many is signed, and in lines of few characters all as well.
-SAMPLED, FEW_CHARACTERS = 4, 128
+#: Bits of the hash of a shingle, and which of them are set in those that are signed, one in eight; in lines of few characters all are
+#: signed as well. Seeds leave the sign alone, so the minima of one in four, of any sign, are the same, but for lines with positive ones only.
+SAMPLED, SIGNED, FEW_CHARACTERS = -(1 << 31) + 3, -(1 << 31), 128
 #: Candidate lines that are broadcast as hashes, some MB; more of them are joined by shuffling.
 BROADCAST_LINES = 500_000
 
@@ -45,11 +46,12 @@ _WIDTH = 4  # bytes of a character in the coding that shingles are cut from
 
 
 def plain(line: Column) -> Column:
-    """The line as it is compared: word breaks as blanks, none at the ends."""
+    """The line as it is compared: word breaks as blanks, none at the ends. A line has no \\n."""
     # Looking for a mark is far cheaper than replacing it, and few lines have one.
     broken = F.lit(False)
     for mark in WORD_BREAKS:
-        broken |= F.contains(line, F.lit(mark))
+        if mark != "\n":
+            broken |= F.contains(line, F.lit(mark))
     return F.trim(F.when(broken, blank_breaks(line)).otherwise(F.coalesce(line, F.lit(""))))
 
 
@@ -79,26 +81,29 @@ def _shingle(coded: Column, at: Column) -> Column:
 
 def signatures(lines: DataFrame, shortest: int = SHORTEST_LINE) -> DataFrame:
     """(h, mask, n, m0, m1, ...) per distinct line of (h, line) of ``shortest`` characters or more; ``n`` rows have it.
-    A signature is of the shingles whose hash has no bit of ``mask``."""
+    A signature is of the shingles whose hash has, of the bits of ``mask``, the sign only; lines without one have one signature.
+    """
     # No mask, no row: a filter would compute every line once for itself and once for what follows.
     masks = F.when(F.length("line") < shortest, F.lit(None)).when(
-        F.length("line") <= FEW_CHARACTERS, F.array(F.lit(SAMPLED - 1), F.lit(0))
-    ).otherwise(F.array(F.lit(SAMPLED - 1)))
+        F.length("line") <= FEW_CHARACTERS, F.array(F.lit(SAMPLED), F.lit(0))
+    ).otherwise(F.array(F.lit(SAMPLED)))
     coded = lines.select("h", F.encode("line", "UTF-32").alias("coded"), F.explode(masks).alias("mask"))
     each = coded.select("h", "mask", "coded", F.explode(_starts(F.col("coded"))).alias("at")).select(
         "h", "mask", "at", F.hash(_shingle(F.col("coded"), F.col("at"))).alias("shingle")
     )
-    chosen = F.col("shingle").bitwiseAND(F.col("mask")) == 0
-    least = [
-        F.min(F.when(chosen, F.col("shingle").bitwiseXOR(F.lit(seed)))).alias(f"m{i}") for i, seed in enumerate(_seeds(1, BANDS * ROWS))
-    ]
-    return each.where(chosen | (F.col("at") == 1)).groupBy("h", "mask").agg(F.count_if(F.col("at") == 1).alias("n"), *least)
+    chosen = F.col("shingle").bitwiseAND(F.col("mask")) == F.col("mask").bitwiseAND(F.lit(SIGNED))
+    # The first shingle is always there, for the count; as a positive number it takes no minimum from negative ones.
+    signed = each.where(chosen | (F.col("at") == 1)).select(
+        "h", "mask", "at", F.when(chosen, F.col("shingle")).otherwise(F.lit((1 << 31) - 1)).alias("shingle")
+    )
+    least = [F.min(F.col("shingle").bitwiseXOR(F.lit(seed))).alias(f"m{i}") for i, seed in enumerate(_seeds(1, BANDS * ROWS))]
+    return signed.groupBy("h", "mask").agg(F.count_if(F.col("at") == 1).alias("n"), *least)
 
 
 def band_keys(signed: DataFrame) -> DataFrame:
     """(h, n, key), a row per signature and band."""
     keys = [
-        F.xxhash64(F.lit(band), "mask", *[F.coalesce(f"m{band * ROWS + r}", F.lit(0)) for r in range(ROWS)])
+        F.xxhash64(F.lit(band), "mask", *[f"m{band * ROWS + r}" for r in range(ROWS)])
         for band in range(BANDS)
     ]
     return signed.select("h", "n", F.explode(F.array(*keys)).alias("key"))
@@ -152,10 +157,9 @@ def _may_link() -> Column:
 def _buckets(keyed: DataFrame) -> DataFrame:
     """(key, h, pivot) of the keys with two or more lines; the pivot is the most frequent one."""
     same = Window.partitionBy("key")
-    return keyed.select(
-        "key", "h", F.min("h").over(same).alias("low"), F.max("h").over(same).alias("high"),
-        F.max(F.struct("n", "h")).over(same).alias("most"),
-    ).where("low < high").select("key", "h", F.col("most.h").alias("pivot"))
+    # Most keys are of one line. The others, which lie together in order already, are gone over again.
+    shared = keyed.select("key", "h", "n", F.min("h").over(same).alias("low"), F.max("h").over(same).alias("high")).where("low < high")
+    return shared.select("key", "h", F.max(F.struct("n", "h")).over(same).alias("most")).select("key", "h", F.col("most.h").alias("pivot"))
 
 
 def _shingles(line: Column) -> Column:

@@ -253,6 +253,30 @@ def test_similar_lines_meet_in_a_band(spark):
     assert {kind: found.get(kind, 0) >= 0.99 * n for kind in KINDS} == dict.fromkeys(KINDS, True), found
 
 
+def test_signatures_of_one_shingle_in_eight(spark, sentence):
+    """They are the minima of one in four, since negative numbers are less; lines without a shingle to sign are alike."""
+    texts = [sentence(n) for n in (40, 60, 200)]
+    plain_lines = [chr(97 + i) * 200 for i in range(26)]
+    lines = spark.createDataFrame([(x,) for x in texts + plain_lines], "line string").selectExpr("xxhash64(line) AS h", "line")
+    signed = {r.h: r for r in line_dedup.signatures(lines).where(F.col("mask") != 0).collect()}
+    each = lines.select("h", F.explode(F.sequence(F.lit(1), F.length("line") - 7)).alias("at"), "line").select(
+        "h", F.hash(F.encode(F.substring("line", F.col("at"), F.lit(8)), "UTF-32")).alias("shingle")
+    )
+    found = {}
+    for r in each.collect():
+        found.setdefault(r.h, set()).add(r.shingle)
+    seeds, alike = line_dedup._seeds(1, line_dedup.BANDS * line_dedup.ROWS), set()
+    for h, shingles in found.items():
+        got = tuple(signed[h][f"m{i}"] for i in range(len(seeds)))
+        quarter = {x for x in shingles if x & 3 == 0}
+        if any(x < 0 for x in quarter):
+            assert got == tuple(min(x ^ seed for x in quarter) for seed in seeds)
+        else:
+            alike.add(got)
+    assert len(alike) == 1 and None not in alike.pop()
+    assert all(r.n == 1 for r in signed.values()) and len(signed) == len(texts + plain_lines)
+
+
 def test_shingles_are_of_characters(spark):
     lines = ["ä" * 50, "日本" * 30, "x" * 45 + "\U0001F600", "plain ascii of more than forty characters"]
     df = spark.createDataFrame([(x,) for x in lines], "line string").select("line", F.size(line_dedup.shingle_set(F.col("line"))).alias("n"))
